@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, table
+from foliant.llm.common import Scratch, fold, table
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.quality import fit, with_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_quality(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return _judged(scored, "quality_score", 3, 1)
+
+
+def _judged(scored: DataFrame, score: str, parts: int, held_out: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", parts) == held_out).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.png_media import text_media_features
 
@@ -51,6 +68,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.language import fit, with_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return with_language(docs, fit(docs), keep=["doc_id"]).select(
+        "doc_id",
+        (fold("doc_id", 4) == 2).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_ambiguous").alias("ambiguous"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.simhash import fingerprint_hex, near_duplicates
 
@@ -69,10 +99,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_quality": op3_quality,
     "op4_png_media": op4_png_media,
     "op5_warc": op5_warc,
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
+    "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
@@ -92,5 +124,25 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d JOIN f USING (k)
+""",
+    "op6_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, lag(role, 1, '') OVER w AS was, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last,
+    length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10)) AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars,
+  bool_and(((was = '' AND role IN ('system', 'user')) OR (was = 'system' AND role = 'user') OR (was = 'user' AND role = 'assistant')
+    OR (was = 'assistant' AND role IN ('user', 'tool')) OR (was = 'tool' AND role IN ('assistant', 'tool')))
+    AND (NOT last OR role = 'assistant')) AS valid
+FROM e GROUP BY conv_id
 """,
 }
