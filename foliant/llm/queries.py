@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from foliant.llm.common import Scratch, fold, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.toxicity import fit, with_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return _judged(scored, "toxicity", 5, 0)
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.embedding_dedup import near_duplicates
 
@@ -98,6 +106,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_quality": op3_quality,
     "op4_png_media": op4_png_media,
