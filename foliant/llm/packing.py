@@ -9,21 +9,21 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.chunks import Chunks
 from foliant.llm.common import _pieces
 
-#: The cut that a byte-level tokenizer file with "use_regex" stands for (a fixed value).
-BYTE_LEVEL_CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+#: Chunks whose ids a worker remembers.
+REMEMBERED = 1_500_000
 
 _loaded: dict[str, PieceTokenizer] = {}
 
@@ -31,9 +31,9 @@ _loaded: dict[str, PieceTokenizer] = {}
 class PieceTokenizer:
     """Ids of a `tokenizers` file, as little-endian unsigned 32-bit bytes.
 
-    A byte-level tokenizer encodes each match of its cut by itself, so the ids of each distinct
-    match are asked of the library once and remembered. Texts that hold an added token's string,
-    and files of another kind, go to the library whole.
+    A byte-level tokenizer is asked once for each distinct chunk between spaces and the ids are
+    remembered. Texts that hold an added token's string, and files of another kind, go to the library
+    whole.
     """
 
     def __init__(self, path: str):
@@ -43,7 +43,7 @@ class PieceTokenizer:
         self.lib = Tokenizer.from_file(path)
         spec = json.loads(self.lib.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_match = (
+        self.by_chunk = (
             pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
@@ -51,8 +51,7 @@ class PieceTokenizer:
             and spec["model"].get("dropout") is None
         )
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.cut = regex.compile(BYTE_LEVEL_CUT).findall
-        self.known: dict[str, bytes] = {}
+        self.chunks = Chunks(self._each, REMEMBERED, encode_words=self._words)
 
     @staticmethod
     def of(path: str) -> PieceTokenizer:
@@ -60,25 +59,32 @@ class PieceTokenizer:
             _loaded[path] = PieceTokenizer(path)
         return _loaded[path]
 
-    def _whole(self, text: str) -> bytes:
-        return _packed(self.lib.encode(text, add_special_tokens=False).ids)
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def _words(self, words: list[str], together: int = 256) -> list[bytes]:
+        """Ids of words, many to a call: a line end between them is a token of its own."""
+        (line_end,) = self.lib.encode("\n", add_special_tokens=False).ids
+        lines = ["\n".join(words[i : i + together]) for i in range(0, len(words), together)]
+        out: list[bytes] = []
+        for e in self.lib.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data = ids.tobytes()
+            ends = (np.flatnonzero(ids == line_end) * 4).tolist()
+            out += [data[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(data)], strict=True)]
+        if len(out) != len(words):
+            raise AssertionError("a line end was not a token of its own")
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_match:
-            return [self._whole(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cuts = [None if any(a in t for a in self.added) else self.cut(t) for t in texts]
-        new = list({m for c in cuts if c for m in c} - self.known.keys())
-        rare = {}
-        for m, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self.known if len(m) <= LONGEST else rare)[m] = _packed(e.ids)
-        get = (self.known | rare if rare else self.known).__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
-
-
-def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+        if not self.by_chunk:
+            return self._each(texts)
+        special = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        out = self.chunks.ids(["" if k in special else t for k, t in enumerate(texts)]) if special else self.chunks.ids(texts)
+        for k, x in zip(special, self._each([texts[k] for k in special]), strict=True):
+            out[k] = x
+        return out
 
 
 def binary_lengths(n: int, context: int) -> list[int]:
