@@ -32,6 +32,8 @@ NOTHING = SYMBOLS - 1
 PATTERNS = tuple((a, b, d) for d in range(3, SPAN) for a, b in combinations(range(1, d), 2))
 #: Landmarks from toxic documents, landmarks from clean ones, rounds of choosing windows, symbols scored at once.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, ROUNDS, AT_ONCE = 96, 32, 3, 1 << 18
+#: Log-likelihood ratio from which a string may be a toxic landmark; weight of the toxic class in the calibration.
+LEAST_WORTH, TOXIC_WEIGHT = 10.0, 0.25
 
 
 def fold_text(text: str | None) -> np.ndarray:
@@ -133,9 +135,20 @@ def choose_landmarks(streams: list[np.ndarray], y: np.ndarray) -> list[bytes]:
     for s, k in zip(streams, y.tolist(), strict=True):
         counts[k].update(_candidates(s))
     n = np.maximum(1, np.bincount(y, minlength=2))
-    ratio = lambda c, k: np.log((counts[k][c] + 0.5) / (n[k] + 1)) - np.log((counts[1 - k][c] + 0.5) / (n[1 - k] + 1))
-    worth = lambda c, k: ratio(c, k) * np.sqrt(counts[k][c])
-    toxic = sorted((c for c, v in counts[1].items() if v >= 2 and ratio(c, 1) > 1), key=lambda c: (-worth(c, 1), c))[:TOXIC_LANDMARKS]
+    total = n.sum()
+
+    def worth(c: bytes) -> float:
+        """Log-likelihood ratio of the string's document counts, if it leans to the toxic class."""
+        v, u = counts[1][c], counts[0][c]
+        even = (v + u) * n[1] / total
+        if v / n[1] <= 2 * u / n[0]:
+            return 0.0
+        return 2 * (v * np.log(v / even) + (u * np.log(u / (v + u - even)) if u else 0.0))
+
+    worths = {c: w for c, v in counts[1].items() if v >= 2 and (w := worth(c)) > LEAST_WORTH}
+    if not worths:
+        return []
+    toxic = sorted(worths, key=lambda c: (-worths[c], c))[:TOXIC_LANDMARKS]
     clean = sorted((c for c, v in counts[0].items() if v >= 2), key=lambda c: (-counts[0][c], c))[:CLEAN_LANDMARKS]
     return list(dict.fromkeys(toxic + clean))
 
@@ -229,7 +242,7 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, c: float = 1.0)
         machine = linear_svm(x, label, cost)
         model = StringMachine(marks.table(machine[:-1]), np.array([1.0, machine[-1]]))
     worst = np.array([model.windows(s).max() for s in streams])
-    w = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    w = np.where(y == 1, TOXIC_WEIGHT / (y == 1).mean(), (1 - TOXIC_WEIGHT) / (y == 0).mean())
     model.calibration = logistic(worst[:, None], y, w, ridge=1.0)
     return model
 
