@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -20,51 +21,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliant.llm.chunks import CUT_AT_SPACES, Chunks
 from foliant.llm.common import append_arrow
 
-#: Pre-tokens whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 900_000, 64
-
-
-class RankQueue:
-    """Buckets by rank with a three-level bitmap; `take` gives the lowest rank that has entries."""
-
-    def __init__(self, ranks: int):
-        self.bits = [[0] * (max(0, ranks - 1) // 64**k // 64 + 1) for k in range(3)]
-        while len(self.bits[-1]) > 1:
-            self.bits.append([0] * ((len(self.bits[-1]) - 1) // 64 + 1))
-        self.buckets: dict[int, list[int]] = {}
-
-    def put(self, rank: int, position: int) -> None:
-        b = self.buckets.get(rank)
-        if b is not None:
-            b.append(position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.bits:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            was = level[word]
-            level[word] = was | bit
-            if was:
-                return
-            rank = word
-
-    def take(self) -> tuple[int, list[int]] | None:
-        """The lowest rank and its positions, which leave the queue; None if the queue is empty."""
-        at = 0
-        for level in reversed(self.bits):
-            word = level[at]
-            if not word:
-                return None
-            at = at << 6 | (word & -word).bit_length() - 1
-        rank = at
-        for level in self.bits:
-            word = at >> 6
-            level[word] &= ~(1 << (at & 63))
-            if level[word]:
-                break
-            at = word
-        return rank, self.buckets.pop(rank)
+#: Chunks between spaces, and pre-tokens, whose ids a worker remembers; the longest pre-token of them.
+CHUNKS, PIECES, LONGEST = 1_500_000, 800_000, 64
 
 
 class Bpe:
@@ -82,9 +43,26 @@ class Bpe:
         if min(self.single) < 0:
             raise ValueError("the ranks must hold all 256 single bytes")
         self.cut = regex.compile(pattern).findall
-        self.queue = RankQueue(len(self.bytes))
-        self.pairs: dict[int, int] = {}
+        if len(self.bytes) > 1 << 18:
+            raise ValueError("three levels of 64-bit words hold 2^18 ranks")
+        # The queue, empty between calls: which words of the level below are not zero, and the buckets.
+        self.level0, self.level1, self.buckets = [0] * (1 << 12), [0] * (1 << 6), {}
+        self.merges = self._merges()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.chunks = Chunks(self._each, CHUNKS)
+        self.by_chunk = pattern in CUT_AT_SPACES
+
+    def _merges(self) -> dict[int, int]:
+        """Rank of the merge of tokens a and b under a << 18 | b."""
+        rank = self.ranks.get
+        out = {}
+        for whole, r in self.ranks.items():
+            for k in range(1, len(whole)):
+                a, b = rank(whole[:k]), rank(whole[k:])
+                if a is not None and b is not None:
+                    out[a << 18 | b] = r
+        return out
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Bpe:
@@ -94,81 +72,98 @@ class Bpe:
             cls._loaded[path, pattern] = cls(ranks, pattern)
         return cls._loaded[path, pattern]
 
-    def _pair(self, a: int, b: int) -> int:
-        """Rank of the merge of tokens a and b, or -1."""
-        key = a << 32 | b
-        r = self.pairs.get(key)
-        if r is None:
-            r = self.ranks.get(self.bytes[a] + self.bytes[b], -1)
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[key] = r
-        return r
-
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        level0, level1, buckets, merge = self.level0, self.level1, self.buckets, self.merges.get
+        level2 = 0
         n = len(piece)
         tok = [self.single[c] for c in piece]
         nxt = list(range(1, n + 1))
         prv = list(range(-1, n - 1))
-        pair, put = self._pair, self.queue.put
-        now = [pair(tok[i], tok[i + 1]) for i in range(n - 1)]  # rank of the pair that starts at i
+        now = [merge(a << 18 | b, -1) for a, b in zip(tok, tok[1:])]  # noqa: B905  rank of the pair that starts here
         now.append(-1)
-        for i, r in enumerate(now):
-            if r >= 0:
-                put(r, i)
-        while (got := self.queue.take()) is not None:
-            rank, places = got
+        fresh = [(r, i) for i, r in enumerate(now) if r >= 0]
+        while True:
+            for r, i in fresh:  # into their buckets
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    level0[r >> 6] |= 1 << (r & 63)
+                    level1[r >> 12] |= 1 << (r >> 6 & 63)
+                    level2 |= 1 << (r >> 12)
+            if not level2:
+                return [t for t in tok if t >= 0]
+            # Find-first-set on each level gives the lowest rank; its bucket leaves the queue.
+            rank = (level2 & -level2).bit_length() - 1
+            word = level1[rank]
+            rank = rank << 6 | (word & -word).bit_length() - 1
+            word = level0[rank]
+            rank = rank << 6 | (word & -word).bit_length() - 1
+            word &= word - 1
+            level0[rank >> 6] = word
+            if not word:
+                word = level1[rank >> 12] & ~(1 << (rank >> 6 & 63))
+                level1[rank >> 12] = word
+                if not word:
+                    level2 &= ~(1 << (rank >> 12))
+            places = buckets.pop(rank)
             if len(places) > 1:
                 places.sort()
+            fresh = []
             for k, i in enumerate(places):
                 if now[i] != rank:
                     continue  # stale
                 j = nxt[i]
                 after = nxt[j]
                 tok[i] = rank
-                now[j] = -1
-                tok[j] = -1
+                now[j] = tok[j] = -1
                 nxt[i] = after
                 low = rank
                 if after < n:
                     prv[after] = i
-                    now[i] = r = pair(rank, tok[after])
+                    now[i] = r = merge(rank << 18 | tok[after], -1)
                     if r >= 0:
-                        put(r, i)
-                        low = min(low, r)
+                        fresh.append((r, i))
+                        low = r
                 else:
                     now[i] = -1
                 before = prv[i]
                 if before >= 0:
-                    now[before] = r = pair(tok[before], rank)
+                    now[before] = r = merge(tok[before] << 18 | rank, -1)
                     if r >= 0:
-                        put(r, before)
-                        low = min(low, r)
+                        fresh.append((r, before))
+                        if r < low:
+                            low = r
                 if low < rank:  # a lower rank has come up: it goes first, the rest waits
-                    for rest in places[k + 1 :]:
-                        put(rank, rest)
+                    fresh += [(rank, x) for x in places[k + 1 :]]
                     break
-        return [t for t in tok if t >= 0]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without special tokens."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, []
+    def _each(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        out = []
         for text in texts:
-            cut = self.cut(text)
-            long = {}
-            for m in set(cut).difference(known):
-                ids = np.array(self.encode_piece(m.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                (known if len(m) <= LONGEST else long)[m] = ids
-            get = known.__getitem__ if not long else lambda m, long=long: long.get(m) or known[m]
-            out.append(np.frombuffer(b"".join(map(get, cut)), "<u4"))
+            made = []
+            for m in self.cut(text):
+                ids = self.known.get(m) or self.before.get(m)
+                if ids is None:
+                    got = self.encode_piece(m.encode("utf-8", "surrogatepass"))
+                    ids = struct.pack(f"<{len(got)}I", *got)
+                if len(m) <= LONGEST:
+                    if len(self.known) >= PIECES // 2:  # what has been in use of late outlives this
+                        self.known, self.before = {}, self.known
+                    self.known[m] = ids
+                made.append(ids)
+            out.append(b"".join(made))
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without special tokens."""
+        return [np.frombuffer(x, "<u4") for x in (self.chunks.ids(texts) if self.by_chunk else self._each(texts))]
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
