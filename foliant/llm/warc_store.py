@@ -89,14 +89,14 @@ def write_archive(
         .write.parquet(f"{path}/headers")
     )
     # The bytes of a digest come from its response, else (null ids, small payloads) from any row that has it.
+    # Rows that repeat a response meet in the partition of their id, so the bytes move once.
     named = rows.select("record_id", "sha256", "payload").join(
         index.select(F.col("response_id").alias("record_id"), F.col("sha256").alias("of")), "record_id"
-    ).where("sha256 = of")
+    )
+    named = named.where("sha256 = of").groupBy("record_id", "sha256").agg(F.any_value("payload").alias("payload"))
     rest = rows.where((F.col("payload_bytes") < min_revisit_bytes) | F.col("record_id").isNull()).select("sha256", "payload")
-    rest = rest.join(index, "sha256", "left_anti")
-    named.groupBy("sha256").agg(F.any_value("payload").alias("payload")).unionByName(
-        rest.groupBy("sha256").agg(F.any_value("payload").alias("payload"))
-    ).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    rest = rest.join(index, "sha256", "left_anti").groupBy("sha256").agg(F.any_value("payload").alias("payload"))
+    named.select("sha256", "payload").unionByName(rest).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
