@@ -118,7 +118,7 @@ def page_spans(spans: DataFrame, pages: DataFrame, blocks: DataFrame | None = No
     marked = (
         spans.withColumns({"bad": X.is_garbled(F.col("text")), "page_bad": X.is_garbled(joined)})
         .join(plain, (F.col("doc_id") == F.col("p_doc")) & (F.col("page") == F.col("p_page")), "left")
-        .withColumn("swap", F.col("page_bad") & ~F.coalesce("plain_bad", F.lit(True)))
+        .withColumn("swap", F.lit(blocks is not None) & F.col("page_bad") & ~F.coalesce("plain_bad", F.lit(True)))
     )
     clean = F.count_if(~F.col("bad")).over(page_window())
     least = F.greatest(F.lit(1), F.floor(F.count("*").over(page_window()) * 0.35))
