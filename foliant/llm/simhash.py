@@ -200,12 +200,13 @@ def fingerprint_hex(fp: str = "fp"):
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` whose id is their component's; of rows that repeat such an id one stays.
 
-    Rows with a null id cannot be told apart and stay.
+    Rows with a null id cannot be told apart and stay. The ids to keep grow with the documents, so the
+    join is a sort-merge one at every size.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
     kept = Scratch(docs.sparkSession, "kept").write(found.where(F.col(id_col) == F.col("component_id")).select(id_col), "ids")
     n, ids = kept.agg(F.count("*"), F.count_distinct(id_col)).first()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept.distinct() if n != ids else kept, id_col, "left_semi")
+    named = docs.where(F.col(id_col).isNotNull()).hint("merge").join(kept.distinct() if n != ids else kept, id_col, "left_semi")
     if n != ids:
         named = named.dropDuplicates([id_col])
     return named.union(docs.where(F.col(id_col).isNull())).select(docs.columns)
