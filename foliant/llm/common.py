@@ -48,6 +48,7 @@ def append_arrow(
                 made = fn(*(batch.column(i).to_pylist() for i in at))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+        pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
     return src.mapInArrow(run, schema)
 

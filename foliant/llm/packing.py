@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 from foliant.llm.chunks import Chunks
 from foliant.llm.common import _pieces
 
-#: Chunks whose ids a worker remembers.
+#: Chunks whose ids a worker remembers, at some 200 bytes each.
 REMEMBERED = 1_500_000
 
-_loaded: dict[str, PieceTokenizer] = {}
+_loaded: dict[tuple[str, int], PieceTokenizer] = {}
 
 
 class PieceTokenizer:
@@ -36,7 +36,7 @@ class PieceTokenizer:
     whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,13 +51,13 @@ class PieceTokenizer:
             and spec["model"].get("dropout") is None
         )
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.chunks = Chunks(self._each, REMEMBERED, encode_words=self._words)
+        self.chunks = Chunks(self._each, remembered, encode_words=self._words)
 
     @staticmethod
-    def of(path: str) -> PieceTokenizer:
-        if path not in _loaded:
-            _loaded[path] = PieceTokenizer(path)
-        return _loaded[path]
+    def of(path: str, remembered: int = REMEMBERED) -> PieceTokenizer:
+        if (path, remembered) not in _loaded:
+            _loaded[path, remembered] = PieceTokenizer(path, remembered)
+        return _loaded[path, remembered]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
@@ -103,6 +103,7 @@ def pack(
     context: int = 2048,
     end_id: int = 1,
     with_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (and ids).
 
@@ -129,7 +130,7 @@ def pack(
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = PieceTokenizer.of(tokenizer_path)
+        tokens = PieceTokenizer.of(tokenizer_path, remembered)
         for whole in batches:
             for batch in _pieces(whole):
                 at, start, length, crc, total, ids = [], [], [], [], [], []
