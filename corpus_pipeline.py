@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from foliant.llm import language, packing, queries, simhash, toxicity
 from foliant.llm.common import Scratch, table
 
-#: A document is toxic from this score on.
-TOXIC = 0.5
+#: A document is toxic from this score on; an ambiguous language is rejected under this one.
+TOXIC, SURE = 0.5, 0.5
+#: Chunks that a worker remembers in packing, fewer than by itself, as the stages before fill its memory too.
+REMEMBERED = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was told; texts without a letter and ambiguous ones go."""
+    """Documents in a language that was told; texts without a letter go, and those that no language
+    has half the probability of."""
     named = language.with_language(docs, language.fit(docs))
-    told = (F.col("lang_pred") != language.UNDETERMINED) & ~F.col("lang_ambiguous")
+    told = (F.col("lang_pred") != language.UNDETERMINED) & ~(F.col("lang_ambiguous") & (F.col("lang_score") < SURE))
     return named.where(told).select(docs.columns)
 
 
@@ -32,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens of what is left."""
-    return packing.pack(docs, queries.public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, queries.public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
