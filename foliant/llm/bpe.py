@@ -1,6 +1,6 @@
 """Byte-level BPE by a rank queue over a hierarchical bitmap.
 
-A pre-token is a doubly linked list of tokens. For every merge rank there is a bucket of list
+Pre-tokens are doubly linked lists of tokens; many share a pass. For every merge rank there is a bucket of list
 positions whose pair has that rank; a bitmap of three levels of 64-bit words marks the buckets that
 are not empty, so the next rank is found by find-first-set on three words. A merge puts its two new
 pairs into their buckets and leaves old entries where they are: an entry whose pair has changed
@@ -26,6 +26,8 @@ from foliant.llm.common import append_arrow
 
 #: Chunks between spaces, and pre-tokens, whose ids a worker remembers; the longest pre-token of them.
 CHUNKS, PIECES, LONGEST = 1_500_000, 800_000, 64
+#: Bytes of new pre-tokens that share a pass of the queue.
+PASS_BYTES = 100_000
 
 
 class Bpe:
@@ -72,93 +74,124 @@ class Bpe:
             cls._loaded[path, pattern] = cls(ranks, pattern)
         return cls._loaded[path, pattern]
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token, in one pass of the queue.
+
+        The pre-tokens lie one behind the other with a barrier, -1, after each, which merges with
+        nothing. The lowest rank goes first and, of its places, the leftmost; as pre-tokens don't
+        touch, that is each one's own order too.
+        """
         level0, level1, buckets, merge = self.level0, self.level1, self.buckets, self.merges.get
+        bucket, single = buckets.get, self.single
         level2 = 0
-        n = len(piece)
-        tok = [self.single[c] for c in piece]
+        tok: list[int] = []
+        for p in pieces:
+            tok += [single[c] for c in p]
+            tok.append(-1)
+        n = len(tok)
         nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
+        prv = list(range(-1, n - 1))  # of the first place the last barrier
         now = [merge(a << 18 | b, -1) for a, b in zip(tok, tok[1:])]  # noqa: B905  rank of the pair that starts here
         now.append(-1)
-        fresh = [(r, i) for i, r in enumerate(now) if r >= 0]
+        waiting, at = now, range(n)  # ranks, and where their pairs start, that go into their buckets
         while True:
-            for r, i in fresh:  # into their buckets
-                if r in buckets:
-                    buckets[r].append(i)
-                else:
-                    buckets[r] = [i]
-                    level0[r >> 6] |= 1 << (r & 63)
-                    level1[r >> 12] |= 1 << (r >> 6 & 63)
-                    level2 |= 1 << (r >> 12)
+            for r, i in zip(waiting, at):  # noqa: B905
+                if r >= 0:
+                    b = bucket(r)
+                    if b is not None:
+                        b.append(i)
+                    else:
+                        buckets[r] = [i]
+                        level0[r >> 6] |= 1 << (r & 63)
+                        level1[r >> 12] |= 1 << (r >> 6 & 63)
+                        level2 |= 1 << (r >> 12)
             if not level2:
-                return [t for t in tok if t >= 0]
+                break
             # Find-first-set on each level gives the lowest rank; its bucket leaves the queue.
-            rank = (level2 & -level2).bit_length() - 1
-            word = level1[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-            word = level0[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
+            top = (level2 & -level2).bit_length() - 1
+            word = level1[top]
+            mid = top << 6 | (word & -word).bit_length() - 1
+            word = level0[mid]
+            rank = mid << 6 | (word & -word).bit_length() - 1
             word &= word - 1
-            level0[rank >> 6] = word
+            level0[mid] = word
             if not word:
-                word = level1[rank >> 12] & ~(1 << (rank >> 6 & 63))
-                level1[rank >> 12] = word
+                word = level1[top] = level1[top] & ~(1 << (mid & 63))
                 if not word:
-                    level2 &= ~(1 << (rank >> 12))
+                    level2 &= ~(1 << top)
             places = buckets.pop(rank)
             if len(places) > 1:
                 places.sort()
-            fresh = []
-            for k, i in enumerate(places):
+            waiting, at = [], []
+            wait_until = 0
+            for i in places:
                 if now[i] != rank:
                     continue  # stale
+                if i < wait_until:
+                    waiting.append(rank)
+                    at.append(i)
+                    continue
                 j = nxt[i]
                 after = nxt[j]
+                before = prv[i]
                 tok[i] = rank
-                now[j] = tok[j] = -1
+                now[j] = -1
+                tok[j] = -2
                 nxt[i] = after
-                low = rank
-                if after < n:
-                    prv[after] = i
-                    now[i] = r = merge(rank << 18 | tok[after], -1)
-                    if r >= 0:
-                        fresh.append((r, i))
+                prv[after] = i
+                now[i] = low = merge(rank << 18 | tok[after], -1)
+                now[before] = r = merge(tok[before] << 18 | rank, -1)
+                if low >= 0:
+                    waiting.append(low)
+                    at.append(i)
+                if r >= 0:
+                    waiting.append(r)
+                    at.append(before)
+                    if r < low or low < 0:
                         low = r
-                else:
-                    now[i] = -1
-                before = prv[i]
-                if before >= 0:
-                    now[before] = r = merge(tok[before] << 18 | rank, -1)
-                    if r >= 0:
-                        fresh.append((r, before))
-                        if r < low:
-                            low = r
-                if low < rank:  # a lower rank has come up: it goes first, the rest waits
-                    fresh += [(rank, x) for x in places[k + 1 :]]
-                    break
+                if 0 <= low < rank:  # a lower rank has come up: it goes first, what is left of this pre-token waits
+                    wait_until = tok.index(-1, i)
+        left = [t for t in tok if t != -2]
+        out, start = [], 0
+        for _ in pieces:
+            end = left.index(-1, start)
+            out.append(left[start:end])
+            start = end + 1
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new pre-tokens, some PASS_BYTES of them to a pass; remembers those that are not too long."""
+        made: dict[str, bytes] = {}
+        group: list[str] = []
+        data: list[bytes] = []
+        size = 0
+        for k, m in enumerate(new):
+            piece = m.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                made[m] = struct.pack("<I", whole)
+            else:
+                group.append(m)
+                data.append(piece)
+                size += len(piece)
+            if group and (size > PASS_BYTES or k == len(new) - 1):
+                for x, ids in zip(group, self.encode_pieces(data), strict=True):
+                    made[x] = struct.pack(f"<{len(ids)}I", *ids)
+                group, data, size = [], [], 0
+        if len(self.known) + len(made) > PIECES // 2:  # what has been in use of late outlives this
+            self.known, self.before = {}, self.known
+        self.known.update((m, ids) for m, ids in made.items() if len(m) <= LONGEST)
+        return made
 
     def _each(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        out = []
-        for text in texts:
-            made = []
-            for m in self.cut(text):
-                ids = self.known.get(m) or self.before.get(m)
-                if ids is None:
-                    got = self.encode_piece(m.encode("utf-8", "surrogatepass"))
-                    ids = struct.pack(f"<{len(got)}I", *got)
-                if len(m) <= LONGEST:
-                    if len(self.known) >= PIECES // 2:  # what has been in use of late outlives this
-                        self.known, self.before = {}, self.known
-                    self.known[m] = ids
-                made.append(ids)
-            out.append(b"".join(made))
-        return out
+        cut = [self.cut(t) for t in texts]
+        known = self.known
+        new = set().union(*cut).difference(known)
+        again = {m: self.before[m] for m in new & self.before.keys()}
+        found = self._learn(sorted(new - again.keys())) | again
+        self.known.update(again)
+        return [b"".join([found[m] if m in found else known[m] for m in c]) for c in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""

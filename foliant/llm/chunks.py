@@ -15,8 +15,12 @@ from collections.abc import Callable
 CUT_AT_SPACES = frozenset({r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""})
 
 
+#: Stands for the ids of a chunk at whose edges the text may not be cut; bytes cannot be joined with it.
+ODD = "odd"
+
+
 class Chunks:
-    """Remembers chunk -> bytes of its ids, or None for one at whose edges the text may not be cut.
+    """Remembers chunk -> bytes of its ids, or ODD.
 
     A chunk that begins with a line end stands for itself, any other for itself behind a space.
     `encode` gives the ids of each string of a list, and `encode_words` those of strings that hold no
@@ -33,44 +37,57 @@ class Chunks:
     ):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.encode_words = encode_words or encode
-        self.known: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | str] = {}
+        self.before: dict[str, bytes | str] = {}
 
-    def _learn(self, new: list[str]) -> dict[str, bytes | None]:
-        """Remembers the new chunks; returns those that are too long for it."""
-        made: dict[str, bytes | None] = {}
+    def _learnt(self, new: set[str]) -> dict[str, bytes | str]:
+        """A table with the new chunks; remembers those that are not too long."""
+        if len(self.known) + len(new) > self.limit // 2:  # what has been in use of late outlives this
+            self.known, self.before = {}, self.known
+        made: dict[str, bytes | str] = {}
         for c in new:
+            if c in self.before:
+                made[c] = self.before[c]
+                continue
             body = c[1:] if c[:1] == "\n" else c
             if not body or body[0].isspace() or body[-1].isspace():
-                made[c] = None
+                made[c] = ODD
+        # A stop or comma behind a letter is a match of its own, so the word before it may be known.
+        stops = dict(zip(".,", self.encode([".", ","]), strict=True))
+        for c in new:
+            if c[-1:] in stops and c[-2:-1].isalpha() and c not in made and (word := self.known.get(c[:-1])) not in (None, ODD):
+                made[c] = word + stops[c[-1]]
         whole = [c for c in new if c not in made]
         (line_end,) = self.encode(["\n"])
         ids = self.encode_words([c[1:] if c[0] == "\n" else " " + c for c in whole])
         made.update((c, line_end + x if c[0] == "\n" else x) for c, x in zip(whole, ids, strict=True))
-        long = {c: made.pop(c) for c in new if len(c) > self.longest}
         self.known.update(made)
-        return long
+        for c in (c for c in new if len(c) > self.longest):
+            del self.known[c]
+        return made
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of the whole texts, as `encode` would give them."""
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        firsts = [c.pop(0) for c in cut]
-        new = set().union(*cut).difference(self.known)
+        begun = self.encode([c.pop(0) for c in cut])
+        get = self.known.get
+        found = [list(map(get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = set()
+        for c, gap in zip(cut, gaps, strict=True):
+            new.update(map(c.__getitem__, gap))
         if len(new) > self.limit // 2:  # more at once than may be remembered
             return self.encode(texts) if len(texts) == 1 else [x for t in texts for x in self.ids([t])]
-        if len(self.known) + len(new) > self.limit // 2:  # what has been in use of late outlives this
-            self.known, self.before = {}, self.known
-            new = set().union(*cut)
-        again = new & self.before.keys()
-        self.known.update((c, self.before[c]) for c in again)
-        long = self._learn(list(new - again))
-        get = (self.known | long if long else self.known).__getitem__
-        begun = self.encode(firsts)
+        if new:
+            table = self._learnt(new)
+            for c, f, gap in zip(cut, found, gaps, strict=True):
+                for i in gap:
+                    f[i] = table[c[i]]
         out: list[bytes | None] = []
-        for first, head, rest in zip(firsts, begun, cut, strict=True):
+        for head, f in zip(begun, found, strict=True):
             try:
-                out.append(None if first[-1:].isspace() else head + b"".join(map(get, rest)))
-            except TypeError:  # a None: white space next to a cut
+                out.append(head + b"".join(f))
+            except TypeError:  # an ODD one
                 out.append(None)
         odd = [k for k, x in enumerate(out) if x is None]
         for k, x in zip(odd, self.encode([texts[k] for k in odd]), strict=True):
