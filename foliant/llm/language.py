@@ -20,8 +20,9 @@ from foliant.llm.common import append_arrow, fold
 from foliant.llm.training import labelled_sample, sigmoid
 
 UNDETERMINED = "und"
-#: Hash buckets of the n-grams, characters that are hashed at once, documents learnt from in all.
-BUCKETS, AT_ONCE, SAMPLE = 8192, 1_000_000, 4000
+#: Hash buckets of the n-grams, characters that are hashed at once, texts that are decoded together,
+#: documents learnt from in all.
+BUCKETS, AT_ONCE, TOGETHER, SAMPLE = 8192, 1_000_000, 128, 4000
 #: Share of the second-best codeword's probability from which a text is ambiguous.
 CLOSE = 0.5
 
@@ -89,7 +90,7 @@ def fit_ecoc(x: np.ndarray, y: list[str], steps: int = 150, rate: float = 8.0, r
     target = code[k]
     size = np.bincount(k)
     weight = (1 / (size[k] * len(languages)))[:, None]
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     w = np.zeros((x.shape[1], code.shape[1]), np.float32)
     b = np.zeros(code.shape[1])
     vw, vb = w.copy(), b.copy()
@@ -113,8 +114,12 @@ def fit(
     known = docs.select(id_col, F.col(lang_col).alias("label")).where(F.col("label").isNotNull())
     n = max(1, known.select("label").distinct().limit(sample).count())
     texts, y = labelled_sample(docs, known, fold(id_col, parts) != held_out, id_col, text_col, max(20, sample // n))
-    rows = [(c, v) for c, v in zip(map(_counts, texts), y, strict=True) if c is not None]
-    return fit_ecoc(np.array([c for c, _ in rows]), [v for _, v in rows]) if rows else None
+    x, kept = np.empty((len(texts), BUCKETS), np.float32), []
+    for text, v in zip(texts, y, strict=True):
+        if (c := _counts(text)) is not None:
+            x[len(kept)] = c
+            kept.append(v)
+    return fit_ecoc(x[: len(kept)], kept) if kept else None
 
 
 def with_language(docs: DataFrame, model: Ecoc | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -131,8 +136,8 @@ def with_language(docs: DataFrame, model: Ecoc | None, text_col: str = "text", k
 
     def predict(texts: list[str | None]) -> list:
         pred, score, odd = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        for s in range(0, len(texts) if model else 0, 500):
-            found = [(i, c) for i, c in ((i, _counts(texts[i])) for i in range(s, min(s + 500, len(texts)))) if c is not None]
+        for s in range(0, len(texts) if model else 0, TOGETHER):
+            found = [(i, c) for i, c in ((i, _counts(texts[i])) for i in range(s, min(s + TOGETHER, len(texts)))) if c is not None]
             if found:
                 best, p, close = model.decode(np.array([c for _, c in found]))
                 for (i, _), k, q, o in zip(found, best.tolist(), p.tolist(), close.tolist(), strict=True):
