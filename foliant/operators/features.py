@@ -137,8 +137,9 @@ def with_context(lines: DataFrame) -> DataFrame:
     below = F.array_min(
         F.transform(F.filter(others, lambda o: ~is_above(o) & (o["y0"] >= F.col("y1") - 0.4)), lambda o: o["y0"] - F.col("y1"))
     )
+    # Dealt by document at once: else the first window, by document and size, has an exchange of its own.
     return (
-        lines.withColumns({"size_key": F.round(size, 1), "size_or_0": size, "weight": weight})
+        lines.repartition("doc_id").withColumns({"size_key": F.round(size, 1), "size_or_0": size, "weight": weight})
         .withColumns({"size_chars": F.sum("weight").over(by_size), "size_ord": F.min("ord").over(by_size)})
         .withColumns(
             {

@@ -170,11 +170,14 @@ def title_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best line of each document, unmerged, with its confidence over the next line."""
-    ranked = _scored(spark, sf_dir).where("score is not null").withColumn("score", F.round("score", 4))
-    order = doc_window().orderBy(F.desc("score"), "ord")
-    ranked = ranked.withColumns({"rank": F.row_number().over(order), "next": F.lead("score", 1, 0.0).over(order)})
-    sure = titles.confidence_of(F.col("score"), F.col("score") - F.col("next"))
-    return ranked.where("rank = 1").select(F.col("doc_id").alias("b_doc"), F.col("text").alias("title"), "score", "page", sure.alias("confidence"))
+    # One aggregation, not a filter and two windows: what a filter says of the score is carried into
+    # every later expression, and planning took seconds.
+    scored = _scored(spark, sf_dir).withColumn("score", F.round("score", 4))
+    first = F.min_by(F.struct("text", "score", "page"), F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), F.col("ord"))))
+    best = scored.groupBy("doc_id").agg(first.alias("b"), F.sort_array(F.collect_list("score"), asc=False).alias("scores")).where("b is not null")
+    score = F.col("b.score")
+    sure = titles.confidence_of(score, score - F.coalesce(F.get("scores", F.lit(1)), F.lit(0.0)))
+    return best.select(F.col("doc_id").alias("b_doc"), F.col("b.text").alias("title"), score.alias("score"), F.col("b.page").alias("page"), sure.alias("confidence"))
 
 
 def title_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
