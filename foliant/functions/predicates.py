@@ -90,12 +90,13 @@ def looks_like_author(text: Column, n_words: Column, topical: Column) -> Column:
     )
     listed = F.when((F.length(text) <= NAME_LIST_CHARS) & (n_words <= 16), matches(text, rules.NAME_LIST)).otherwise(False)
     return (
-        matches(text, r"\b[A-Z]{2,}\d{3,}/\d+", case=True)
-        | matches(text, r"[\w.+-]+@[\w-]+\.")
+        (text.contains("/") & matches(text, r"\b[A-Z]{2,}\d{3,}/\d+", case=True))
+        | (text.contains("@") & matches(text, r"[\w.+-]+@[\w-]+\.", case=True))
         | matches(text, r"\bcorresponding author\b")
         | plain
         | listed
-        | matches(text, r"[^\W\d_][\w.'-]+(?:\s+[\w.'-]+){0,3}\s*[\d*†‡]+(?:\s*,\s*[^\W\d_])", case=True)
+        # The second pattern tries four words from every letter; its end alone is cheap to look for.
+        | (matches(text, r"[\d*†‡]\s*,\s*[^\W\d_]", case=True) & matches(text, r"[^\W\d_][\w.'-]+(?:\s+[\w.'-]+){0,3}\s*[\d*†‡]+(?:\s*,\s*[^\W\d_])", case=True))
         | (matches(text, r"\b[A-Z]\.\s*[A-Z]\.\s*[A-Z][a-z]+", case=True) & text.contains(","))
         | looks_like_person_names(text, n_words, topical)
     )

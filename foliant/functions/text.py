@@ -33,7 +33,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def collapse_space(text: Column) -> Column:
     """Without soft hyphens, white-space runs as one space, trimmed; null counts as empty."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "­", ""), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00ad"), F.lit("")), r"(?U)\s+", " "))
 
 
 def normalize_space(text: Column, compose: bool = False) -> Column:
@@ -157,7 +157,7 @@ def clean_line(text: Column, compose: bool = False) -> Column:
     t = F.regexp_replace(t, "[\"'«»“”]+$", "")
     t = F.regexp_replace(t, r"(?U)\s*\(\s*©[^)]*\)", " ")
     for cut in (r"(?U)\s+©\s+.*$", rx(r"\s+you\s+may\s+also\s+like\b.*$"), rx(r"^paper\s*[•·\-]?\s*open\s+access\s*"),
-                rx(r"\s+e-?issn\b.*$"), rx(r"\s+M\.?\s*Tech\b.*$"), rx(r"\s+Department\s+Of\b.*$")):
+                rx(r"\s+(?:e-?issn|M\.?\s*Tech|Department\s+Of)\b.*$")):
         t = F.regexp_replace(t, cut, "")
     t = F.regexp_replace(t, r"(?U)([A-Za-z])\s+[A-Z]\.[A-Z][a-z]+\s+[A-Z][a-z]+.*$", "$1")
     return collapse_space(t)

@@ -41,22 +41,28 @@ def annotate(lines: DataFrame, compose: bool = False) -> DataFrame:
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Adds one column per classifier, and `reject_bare`: the reject reason without page context."""
+    """Adds one column per classifier, and `reject_bare`: the reject reason without page context.
+
+    Lines of more words than a title can have are rejected for that, and are neither merged nor
+    chosen; what only matters for titles is not computed for them (false, or null).
+    """
     t, n = F.col("text"), F.col("word_count")
     topical = F.col("topical")
+    fits = n <= rules.MAX_WORDS
+    if_fits = lambda test: F.when(fits, test).otherwise(False)
     return (
-        lines.withColumns({"topical": P.looks_topical(t), "boilerplate": P.boilerplate_reason(t), "venue": P.venue_reason(t)})
+        lines.withColumns({"topical": P.looks_topical(t), "boilerplate": F.when(fits, P.boilerplate_reason(t)), "venue": F.when(fits, P.venue_reason(t))})
         .withColumns(
             {
                 "author": P.looks_like_author(t, n, topical),
-                "fragment": P.looks_like_fragment(t, n),
-                "sentence": P.looks_like_sentence(t, n, topical),
-                "short_name": P.looks_like_short_name(t, topical),
-                "garbled": X.is_garbled(t),
+                "fragment": if_fits(P.looks_like_fragment(t, n)),
+                "sentence": if_fits(P.looks_like_sentence(t, n, topical)),
+                "short_name": if_fits(P.looks_like_short_name(t, topical)),
+                "garbled": if_fits(X.is_garbled(t)),
                 "abstract_mark": P.is_abstract_marker(t),
                 "cover_role": P.is_cover_role(t),
-                "all_caps": X.mostly_all_caps(t),
-                "period_end": X.ends_with_period(t),
+                "all_caps": if_fits(X.mostly_all_caps(t)),
+                "period_end": if_fits(X.ends_with_period(t)),
             }
         )
         .withColumn("reject_bare", reject_reason())
@@ -121,7 +127,10 @@ def reject_reason(header: Column | None = None, chrome_page: Column | None = Non
 
 def with_context(lines: DataFrame) -> DataFrame:
     """Adds per-document statistics over all lines, before any is rejected: body size, weighted share
-    of characters not larger, first page, markers, running headers, chrome pages, page neighbours."""
+    of characters not larger, first page, markers, running headers, chrome pages, page neighbours.
+
+    Deal the lines by doc_id before they are classified: all windows are then in place, where the
+    first one, by document and size, would else have an exchange of its own."""
     size = F.coalesce("font_size", F.lit(0.0))
     weight = F.greatest(F.length("text"), F.lit(1))
     by_size = W.partitionBy("doc_id", "size_key")
@@ -137,9 +146,8 @@ def with_context(lines: DataFrame) -> DataFrame:
     below = F.array_min(
         F.transform(F.filter(others, lambda o: ~is_above(o) & (o["y0"] >= F.col("y1") - 0.4)), lambda o: o["y0"] - F.col("y1"))
     )
-    # Dealt by document at once: else the first window, by document and size, has an exchange of its own.
     return (
-        lines.repartition("doc_id").withColumns({"size_key": F.round(size, 1), "size_or_0": size, "weight": weight})
+        lines.withColumns({"size_key": F.round(size, 1), "size_or_0": size, "weight": weight})
         .withColumns({"size_chars": F.sum("weight").over(by_size), "size_ord": F.min("ord").over(by_size)})
         .withColumns(
             {

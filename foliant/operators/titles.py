@@ -240,7 +240,7 @@ def layout_candidates(raw: DataFrame) -> DataFrame:
 
     The windows and the fold share one exchange; the windows after the fold take a second.
     """
-    usable = merge.merge_adjacent(merge.with_merge_flags(drop_cover_pages(raw)), together=True)
+    usable = merge.merge_adjacent(merge.with_merge_flags(drop_cover_pages(raw)), together=True).repartition("doc_id")
     return features.with_scores(features.classify(features.geometry(usable)))
 
 
@@ -249,11 +249,12 @@ def layout_titles(lines: DataFrame, compose: bool = False) -> DataFrame:
 
     What is known of a document as a whole rides on its first line from step to step.
     """
-    raw = with_label(features.classify(features.annotate(lines.select(*LINES.names), compose)))
+    dealt = lines.select(*LINES.names).repartition("doc_id")  # before the costly expressions, which are then spread too
+    raw = with_label(features.classify(features.annotate(dealt, compose)))
     whole = F.struct(first_label().over(doc_window()).alias("raw_label"), keys_of_first_pages(doc_window()).alias("blob"))
     raw = drop_cover_pages(raw.withColumn("carried", whole).drop("label"))
     raw = raw.withColumn("carried", F.when(F.row_number().over(doc_window().orderBy("ord")) == 1, F.col("carried")))
-    usable = merge.merge_adjacent(merge.with_merge_flags(raw), together=True)
+    usable = merge.merge_adjacent(merge.with_merge_flags(raw), together=True).repartition("doc_id")
     scored = merge.with_merge_flags(with_label(features.with_scores(features.classify(features.geometry(usable)))))
     names = list(rules.WEIGHTS)
     pairs = F.array(*(F.struct(F.lit(n).alias("key"), F.round(f"s_{n}", 2).alias("value")) for n in names))

@@ -47,8 +47,13 @@ def _classified(lines: DataFrame) -> DataFrame:
     return features.classify(features.annotate(lines))
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Classified lines, dealt by document for what follows."""
+    return _classified(lines.repartition("doc_id"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_scores(_classified(_pages(spark, sf_dir)))
+    return features.with_scores(_dealt(_pages(spark, sf_dir)))
 
 
 def _value(of: Column, name: str = "value") -> Column:
@@ -60,19 +65,19 @@ def _of_lines(make: Callable[[], Column], source: Callable = _pages, prepare: Ca
 
 
 def body_font_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_context(_classified(_pages(spark, sf_dir))).select("doc_id", "body_size").distinct()
+    return features.with_context(_dealt(_pages(spark, sf_dir))).select("doc_id", "body_size").distinct()
 
 
 def in_context(make: Callable[[], Column]) -> Query:
-    return lambda spark, sf_dir: features.with_context(_classified(_pages(spark, sf_dir))).select("doc_id", "ord", _value(make()))
+    return lambda spark, sf_dir: features.with_context(_dealt(_pages(spark, sf_dir))).select("doc_id", "ord", _value(make()))
 
 
 def isolation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_context(_classified(_pages(spark, sf_dir))).select("doc_id", "ord", _value(F.col("gap_above"), "gap_above"), _value(F.col("gap_below"), "gap_below"))
+    return features.with_context(_dealt(_pages(spark, sf_dir))).select("doc_id", "ord", _value(F.col("gap_above"), "gap_above"), _value(F.col("gap_below"), "gap_below"))
 
 
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features.with_context(_classified(_turns(spark, sf_dir)))
+    found = features.with_context(_dealt(_turns(spark, sf_dir)))
     return found.where("header").select("doc_id", "norm").distinct()
 
 
@@ -81,7 +86,7 @@ def cover_pages_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features.with_context(_classified(_pages(spark, sf_dir))).where("author_at is not null")
+    found = features.with_context(_dealt(_pages(spark, sf_dir))).where("author_at is not null")
     return found.select("doc_id", F.col("author_at.page").alias("page"), F.col("author_at.y0").alias("y0")).distinct()
 
 
@@ -275,7 +280,7 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiline_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = merge.with_merge_flags(titles.layout_candidates(_classified(_pages(spark, sf_dir))))
+    scored = merge.with_merge_flags(titles.layout_candidates(_dealt(_pages(spark, sf_dir))))
     return merge.grow_candidates(scored, ["text"]).select("doc_id", "ord", "text", "merged_text", _value(F.col("merged_score"), "merged_score"))
 
 
