@@ -45,24 +45,30 @@ class Chunks:
         if len(self.known) + len(new) > self.limit // 2:  # what has been in use of late outlives this
             self.known, self.before = {}, self.known
         made: dict[str, bytes | str] = {}
+        known, before = self.known.get, self.before.get
+        # A stop or comma behind a letter is a match of its own, so the word before it may be known.
+        line_end, *ends = self.encode(["\n", ".", ","])
+        stops = dict(zip(".,", ends, strict=True))
+        words, begun, long = [], [], []
         for c in new:
-            if c in self.before:
-                made[c] = self.before[c]
+            if (ids := before(c)) is not None:
+                made[c] = ids
                 continue
-            body = c[1:] if c[:1] == "\n" else c
-            if not body or body[0].isspace() or body[-1].isspace():
+            if len(c) > self.longest:
+                long.append(c)
+            if not c or c[-1].isspace() or (c[1] if c[0] == "\n" else c[0]).isspace():
                 made[c] = ODD
-        # A stop or comma behind a letter is a match of its own, so the word before it may be known.
-        stops = dict(zip(".,", self.encode([".", ","]), strict=True))
-        for c in new:
-            if c[-1:] in stops and c[-2:-1].isalpha() and c not in made and (word := self.known.get(c[:-1])) not in (None, ODD):
+            elif c[-1] in stops and c[-2:-1].isalpha() and (word := known(c[:-1])) is not None and word is not ODD:
                 made[c] = word + stops[c[-1]]
-        whole = [c for c in new if c not in made]
-        (line_end,) = self.encode(["\n"])
-        ids = self.encode_words([c[1:] if c[0] == "\n" else " " + c for c in whole])
-        made.update((c, line_end + x if c[0] == "\n" else x) for c, x in zip(whole, ids, strict=True))
+            elif c[0] == "\n":
+                begun.append(c)
+            else:
+                words.append(c)
+        ids = self.encode_words([" " + c for c in words] + [c[1:] for c in begun])
+        made.update(zip(words, ids))  # noqa: B905  the rest is of the chunks that begin with a line end
+        made.update((c, line_end + x) for c, x in zip(begun, ids[len(words) :], strict=True))
         self.known.update(made)
-        for c in (c for c in new if len(c) > self.longest):
+        for c in long:
             del self.known[c]
         return made
 
