@@ -41,28 +41,23 @@ def annotate(lines: DataFrame, compose: bool = False) -> DataFrame:
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Adds one column per classifier, and `reject_bare`: the reject reason without page context.
-
-    Lines of more words than a title can have are rejected for that, and are neither merged nor
-    chosen; what only matters for titles is not computed for them (false, or null).
-    """
+    """Adds one column per classifier, for lines of any length, and `reject_bare`: the reject reason
+    without page context."""
     t, n = F.col("text"), F.col("word_count")
     topical = F.col("topical")
-    fits = n <= rules.MAX_WORDS
-    if_fits = lambda test: F.when(fits, test).otherwise(False)
     return (
-        lines.withColumns({"topical": P.looks_topical(t), "boilerplate": F.when(fits, P.boilerplate_reason(t)), "venue": F.when(fits, P.venue_reason(t))})
+        lines.withColumns({"topical": P.looks_topical(t), "boilerplate": P.boilerplate_reason(t), "venue": P.venue_reason(t)})
         .withColumns(
             {
                 "author": P.looks_like_author(t, n, topical),
-                "fragment": if_fits(P.looks_like_fragment(t, n)),
-                "sentence": if_fits(P.looks_like_sentence(t, n, topical)),
-                "short_name": if_fits(P.looks_like_short_name(t, topical)),
-                "garbled": if_fits(X.is_garbled(t)),
+                "fragment": P.looks_like_fragment(t, n),
+                "sentence": P.looks_like_sentence(t, n, topical),
+                "short_name": P.looks_like_short_name(t, topical),
+                "garbled": X.is_garbled(t),
                 "abstract_mark": P.is_abstract_marker(t),
                 "cover_role": P.is_cover_role(t),
-                "all_caps": if_fits(X.mostly_all_caps(t)),
-                "period_end": if_fits(X.ends_with_period(t)),
+                "all_caps": X.mostly_all_caps(t),
+                "period_end": X.ends_with_period(t),
             }
         )
         .withColumn("reject_bare", reject_reason())

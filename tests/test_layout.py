@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant import schemas
+from foliant.functions import predicates as P
 from foliant.functions import rules
+from foliant.functions import text as X
 from foliant.operators import features, front, merge, spans, titles
 from foliant.plans.extract import Options, extract_titles, lines_from_pages
 from foliant.sources import adapters, pdf
@@ -73,6 +75,22 @@ def test_labelled_title_wins(spark):
     assert dict(out.signals) == {"labeled": 95.0}
 
 
+def test_lines_too_long_for_a_title_are_classified_too(spark):
+    many = " ".join(["word"] * 30)
+    texts = [f"The {many} is", f"and so it goes on {many}", f"ISSN 1234-5678 {many}", many.upper(), f"{many}."]
+    lines = features.annotate(lines_df(spark, [line(k, t) for k, t in enumerate(texts)]))
+    t, n = F.col("text"), F.col("word_count")
+    topical = P.looks_topical(t)
+    alone = {
+        "boilerplate": P.boilerplate_reason(t), "venue": P.venue_reason(t), "fragment": P.looks_like_fragment(t, n), "sentence": P.looks_like_sentence(t, n, topical),
+        "short_name": P.looks_like_short_name(t, topical), "garbled": X.is_garbled(t), "all_caps": X.mostly_all_caps(t), "period_end": X.ends_with_period(t),
+    }
+    want = lines.select("ord", *(c.alias(k) for k, c in alone.items())).orderBy("ord").collect()
+    got = features.classify(lines).select("ord", *alone).orderBy("ord").collect()
+    assert got == want
+    assert got[0].sentence and got[1].fragment and got[2].boilerplate and got[3].all_caps and got[4].period_end
+
+
 def test_course_lines_and_print_chrome(spark):
     cases = {
         1: ["Course: Electronics Smart Dryer Design", "x"], 2: ["Subject: Physics", "Solar Dryer Design Study"], 3: ["8/30/26, 1:25 PM | I Made a Dryer | by Bob | Medium", "x"],
