@@ -1,8 +1,9 @@
 """Embedding near-duplicates by sorted projection passes.
 
 Each pass orders the distinct vectors by the concatenated signs of random projections and compares
-each with the bounded window of its neighbours; verified pairs are united across passes. Links inside
-a component are then counted exactly: by blocks of bounded size, and in large components by an angle
+each with the bounded window of its neighbours; verified pairs are united across passes. Vectors of
+different components are then compared with one another, all of them, block by block, so that no
+pair is missed where the windows don't reach. Links inside a component are counted exactly: by blocks of bounded size, and in large components by an angle
 bound, as two vectors whose angles to a third sum to at most the link angle must be linked.
 """
 
@@ -26,6 +27,8 @@ THRESHOLD = 0.95
 PASSES, WINDOW, BITS = 16, 32, 64
 #: Vectors of a component that one task compares with each other.
 BLOCK = 1024
+#: Numbers of a block of vectors that are compared across components, and blocks at least.
+ACROSS, LEAST_BLOCKS = 1 << 21, 8
 SEED = 20_240_601
 
 VECTOR = T.ArrayType(T.DoubleType())
@@ -184,6 +187,55 @@ def _edge_batch(edges: list[tuple], schema: T.StructType, like: pa.Schema) -> pa
     )
 
 
+def missed_edges(
+    parts: DataFrame, scratch: Scratch, threshold: float, numbers: int = ACROSS, least: int = LEAST_BLOCKS
+) -> DataFrame:
+    """(a, b) components that a linked pair of (id, component, unit) joins, from all pairs of vectors.
+
+    The vectors of each length are dealt to blocks of about `numbers` numbers, and each task compares
+    two blocks. Work and exchange grow with the square of the rows; no task grows.
+    """
+    comp_type = parts.schema["component"].dataType
+    sized = parts.select("id", "component", "unit", F.size("unit").alias("dims"))
+    blocks = scratch.write(
+        sized.groupBy(F.col("dims").alias("of")).agg(F.count("*").alias("n")).select(
+            "of", F.greatest(F.lit(least), F.ceil(F.col("n") * F.col("of") / numbers)).cast("long").alias("blocks")
+        ),
+        "blocks",
+    )
+    own, other = F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = sized.join(F.broadcast(blocks), F.col("dims") == F.col("of")).select("dims", "component", "unit", own.alias("block"), other.alias("other"))
+    dealt = dealt.select("dims", "component", "unit", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    out = T.StructType([T.StructField("a", comp_type), T.StructField("b", comp_type)])
+
+    def compare(t: pa.Table) -> pa.Table:
+        comps = t.column("component").combine_chunks().dictionary_encode()
+        code = comps.indices.to_numpy()
+        m = _matrix(t.column("unit").combine_chunks())
+        block = t.column("block").to_numpy()
+        rough = m.astype(np.float32)
+        # What single precision may lose of the product of two unit vectors.
+        least = np.float32(threshold - 2.0**-22 * (m.shape[1] + 16))
+        left = np.flatnonzero(block == t.column("i")[0].as_py())
+        right = np.flatnonzero(block == t.column("j")[0].as_py())
+        across = np.ascontiguousarray(rough[right].T)
+        found: set[tuple[int, int]] = set()
+        for s in range(0, len(left), 256):
+            rows = left[s : s + 256]
+            near = np.flatnonzero((rough[rows] @ across).ravel() >= least)
+            for k in range(0, len(near), 100_000):
+                x, y = np.divmod(near[k : k + 100_000], len(right))
+                x, y = rows[x], right[y]
+                apart = code[x] != code[y]
+                x, y = x[apart], y[apart]
+                linked = np.einsum("ij,ij->i", m[x], m[y]) >= threshold
+                found.update(zip(code[x[linked]].tolist(), code[y[linked]].tolist(), strict=True))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table([comps.dictionary.take(pa.array(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.groupBy("dims", "i", "j").applyInArrow(compare, out)
+
+
 def _count_small(members: DataFrame, threshold: float) -> DataFrame:
     """(id, links): copies of the linked classes, for components of at most BLOCK classes."""
     out = T.StructType([members.schema["id"], T.StructField("links", T.LongType())])
@@ -299,8 +351,8 @@ def near_duplicates(
 
     Equal vectors are one class: they are compared once and linked with each other. Vectors of
     different lengths, null, empty and zero ones, and those with null or non-finite components link
-    with nothing (n_links 0, a component of their own). Pairs are found by the passes; of pairs in one
-    component none is missed. Null ids are no component's id unless it has no other. Repeated rows
+    with nothing (n_links 0, a component of their own). The passes unite most pairs; what they leave
+    apart is compared in full, so no pair is missed, whatever `passes` and `window`. Null ids are no component's id unless it has no other. Repeated rows
     count as copies. Other columns are not read; an empty table gives an empty one.
     """
     scratch = Scratch(vectors.sparkSession, "embeddings")
@@ -311,6 +363,11 @@ def near_duplicates(
     )
     edges = sorted_pass_edges(classes, scratch, threshold, passes, window, bits)
     joined = scratch.write(connected_components(edges, "a", "b", scratch), "joined")
+    parts = classes.join(joined, classes.id == joined.node, "left").select("id", F.coalesce("component", "id").alias("component"), "unit")
+    missed = scratch.write(missed_edges(parts, scratch, threshold), "missed")
+    if missed.limit(1).count():
+        known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        joined = scratch.write(connected_components(known.union(missed), "a", "b", scratch), "joined")
     sizes = scratch.write(joined.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("classes")), "sizes")
     members = scratch.write(
         classes.join(joined, classes.id == joined.node).join(sizes, F.col("component") == F.col("of")).select("component", "id", "copies", "unit", "classes"),

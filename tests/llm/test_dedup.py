@@ -201,5 +201,33 @@ def test_embedding_recall_on_pairs_near_the_threshold(spark):
     assert out.where("n_links > 0").count() >= 0.97 * len(rows)
 
 
+def crowd(rng, rows, cosine, dims=64):
+    """`rows` vectors of which a third is in a cone of mutual cosine `cosine`, every other one of it with a linked partner."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    axis, n = unit(rng.normal(size=(1, dims))), rows // 6
+    side = lambda a: unit((d := rng.normal(size=(len(a), dims))) - (d * a).sum(axis=1, keepdims=True) * a)
+    axes = np.repeat(axis, n, axis=0)
+    cone = np.sqrt(cosine) * axes + np.sqrt(1 - cosine) * side(axes)
+    partner = 0.953 * cone + np.sqrt(1 - 0.953**2) * side(cone)
+    return np.r_[cone, partner, unit(rng.normal(size=(rows - 2 * n, dims)))], n
+
+
+def test_embedding_links_in_a_crowd_are_all_found(spark):
+    m, n = crowd(np.random.default_rng(4), 9000, 0.8)
+    near = m @ m.T >= 0.95
+    want = near.sum(axis=1) - 1
+    assert near[np.arange(n), np.arange(n, 2 * n)].all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(m))] == want.tolist()
+
+
+def test_embedding_groups_do_not_need_the_passes(spark):
+    rows = list(enumerate(vectors(6, 20, 6) + [v[:8] for v in vectors(7, 10, 4)]))
+    links, comps = brute(rows)
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), passes=1, window=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (links[i], comps[i]) for i in links}
+
+
 def test_window_edges_stay_within_passes(spark):
     assert E.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")).where(F.col("n_links") > 0).count() == 0
