@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from foliant.llm import language, packing, queries, simhash, toxicity
 from foliant.llm.common import Scratch, table
 
-#: A document is toxic from this score on; an ambiguous language is rejected under this one.
-TOXIC, SURE = 0.5, 0.5
+#: A document is toxic from this score on; a language is rejected under this one, or if the second-best
+#: has more than this share of its probability.
+TOXIC, SURE, ALIKE = 0.5, 0.5, 0.8
 #: Chunks that a worker remembers in packing, fewer than by itself, as the stages before fill its memory too.
 REMEMBERED = 500_000
 
@@ -22,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was told; texts without a letter go, and those that no language
-    has half the probability of."""
-    named = language.with_language(docs, language.fit(docs))
-    told = (F.col("lang_pred") != language.UNDETERMINED) & ~(F.col("lang_ambiguous") & (F.col("lang_score") < SURE))
+    has half the probability of, or of which two languages are nearly as likely, however many are learnt."""
+    named = language.with_language(docs, language.fit(docs), close=ALIKE)
+    told = (F.col("lang_pred") != language.UNDETERMINED) & ~F.col("lang_ambiguous") & (F.col("lang_score") >= SURE)
     return named.where(told).select(docs.columns)
 
 

@@ -70,7 +70,7 @@ class Ecoc:
     bias: np.ndarray
     trust: np.ndarray
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def decode(self, x: np.ndarray, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the nearest codeword, its probability, whether the second is close)."""
         margin = x @ self.weights + self.bias
         loss = (np.log1p(np.exp(-np.clip(margin[:, None, :] * self.code, -30, 30))) * self.trust).sum(axis=2)
@@ -78,8 +78,8 @@ class Ecoc:
         p /= p.sum(axis=1, keepdims=True)
         best = loss.argmin(axis=1)
         ordered = np.sort(p, axis=1)
-        close = ordered[:, -2] > CLOSE * ordered[:, -1] if p.shape[1] > 1 else np.zeros(len(p), bool)
-        return best, ordered[:, -1], close
+        odd = ordered[:, -2] > close * ordered[:, -1] if p.shape[1] > 1 else np.zeros(len(p), bool)
+        return best, ordered[:, -1], odd
 
 
 def fit_ecoc(x: np.ndarray, y: list[str], steps: int = 150, rate: float = 8.0, ridge: float = 1e-5) -> Ecoc:
@@ -122,9 +122,13 @@ def fit(
     return fit_ecoc(x[: len(kept)], kept) if kept else None
 
 
-def with_language(docs: DataFrame, model: Ecoc | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def with_language(
+    docs: DataFrame, model: Ecoc | None, text_col: str = "text", keep: list[str] | None = None, close: float = CLOSE
+) -> DataFrame:
     """Adds lang_pred, lang_score (0 to 1) and lang_ambiguous for every whole text.
 
+    Ambiguous is a text whose second-best language has more than `close` of the best one's probability.
+
     A null text, and one without a letter, is `und` with score 0, and ambiguous; so is every text when
     there is no model. Rows are scored one by one; input columns of the new names are replaced.
     """
@@ -139,8 +143,8 @@ def with_language(docs: DataFrame, model: Ecoc | None, text_col: str = "text", k
         for s in range(0, len(texts) if model else 0, TOGETHER):
             found = [(i, c) for i, c in ((i, _counts(texts[i])) for i in range(s, min(s + TOGETHER, len(texts)))) if c is not None]
             if found:
-                best, p, close = model.decode(np.array([c for _, c in found]))
-                for (i, _), k, q, o in zip(found, best.tolist(), p.tolist(), close.tolist(), strict=True):
+                best, p, flags = model.decode(np.array([c for _, c in found]), close)
+                for (i, _), k, q, o in zip(found, best.tolist(), p.tolist(), flags.tolist(), strict=True):
                     pred[i], score[i], odd[i] = model.languages[k], q, o
         return [pred, score, odd]
 

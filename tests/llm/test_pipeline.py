@@ -3,6 +3,7 @@
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from test_dedup import roots, slow_fingerprint
@@ -59,3 +60,13 @@ def test_stages_keep_columns_nulls_and_empty_tables(spark, k):
     if name == "language":
         assert not ids & {10_001, 10_002}
     assert stage(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_of_two_languages_an_even_mixture_is_rejected(spark, monkeypatch):
+    text = {"a": "the cat sat on the mat ", "b": "zoo quux jynx vow fez "}
+    x = [language._counts(t) for t in text.values()]
+    model = language.fit_ecoc(np.array(x), list(text))
+    mixed = next(t for t in (text["a"] * i + text["b"] * (40 - i) for i in range(1, 40)) if model.decode(language._counts(t)[None, :], corpus_pipeline.ALIKE)[2][0])
+    monkeypatch.setattr(language, "fit", lambda docs: model)
+    docs = spark.createDataFrame([(1, text["a"]), (2, text["b"]), (3, mixed), (4, "12 3")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_unidentified(spark, docs, DATA).collect()} == {1, 2}
