@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from foliant.llm import chars
 from foliant.llm.common import append_arrow, fold
-from foliant.llm.training import labelled_sample, sigmoid
+from foliant.llm.training import LABELS, LONGEST, labelled_sample, sigmoid
 
 UNDETERMINED = "und"
 #: Hash buckets of the n-grams, characters that are hashed at once, texts that are decoded together,
@@ -108,12 +108,16 @@ def fit_ecoc(x: np.ndarray, y: list[str], steps: int = 150, rate: float = 8.0, r
 
 def fit(
     docs: DataFrame, parts: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample: int = SAMPLE,
+    sample: int = SAMPLE, most_languages: int = LABELS,
 ) -> Ecoc | None:
-    """Learns from at most `sample` documents whose fold is not `held_out`, in equal numbers per language."""
-    known = docs.select(id_col, F.col(lang_col).alias("label")).where(F.col("label").isNotNull())
+    """Learns from at most `sample` documents whose fold is not `held_out`, in equal numbers per language.
+
+    Of a text of more than LONGEST characters the first LONGEST are learnt from. More than
+    `most_languages` languages raise ValueError.
+    """
+    known = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(lang_col).alias("label")).where(F.col("label").isNotNull())
     n = max(1, known.select("label").distinct().limit(sample).count())
-    texts, y = labelled_sample(docs, known, fold(id_col, parts) != held_out, id_col, text_col, max(20, sample // n))
+    texts, y = labelled_sample(docs, known, fold(id_col, parts) != held_out, id_col, text_col, max(20, sample // n), LONGEST, most_languages, heads=True)
     x, kept = np.empty((len(texts), BUCKETS), np.float32), []
     for text, v in zip(texts, y, strict=True):
         if (c := _counts(text)) is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of a training sample: documents of each label, characters of a document.
 PER_LABEL, LONGEST = 1500, 20_000
-#: Labels that a sample may have.
+#: Labels that a sample may have by default; more raise an error.
 LABELS = 500
 
 
@@ -20,17 +20,24 @@ def labelled_sample(
     text_col: str = "text",
     per_label: int = PER_LABEL,
     longest: int = LONGEST,
+    most_labels: int = LABELS,
+    heads: bool = False,
 ) -> tuple[list[str], list]:
     """(texts, labels): for each label at most `per_label` documents, whole, of at most `longest` characters.
 
+    With `heads` longer documents are not left out, but stand with their first `longest` characters.
+    More than `most_labels` labels raise ValueError.
+
     `labels` is (id, label), `learn` a condition on its id. Which documents are taken depends on a hash
     of the id alone, so neither partitioning nor row order matters. Only ids are sorted, and the
-    chosen ones, at most LABELS times `per_label`, are sent to the tasks that read the texts.
+    chosen ones, at most `most_labels` times `per_label`, are sent to the tasks that read the texts.
     """
     rows = labels.where(learn & F.col(id_col).isNotNull() & F.col("label").isNotNull())
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels + 1).collect()
     if not counts:
         return [], []
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels to learn; raise the bound to learn them all")
     at = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))
     chosen = None
     for r in counts:
@@ -39,9 +46,11 @@ def labelled_sample(
     ids = chosen.select(F.col(id_col).alias("chosen_id"), "label").dropDuplicates(["chosen_id"]).collect()
     spark = docs.sparkSession
     small = spark.createDataFrame(ids, chosen.select(F.col(id_col).alias("chosen_id"), "label").schema)
+    fits = F.lit(True) if heads else F.length(text_col) <= longest
+    text = F.substring(text_col, 1, longest) if heads else F.col(text_col)
     found = (
-        docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest))
-        .select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text"))
+        docs.where(F.col(text_col).isNotNull() & fits)
+        .select(F.col(id_col).alias("sample_id"), text.alias("sample_text"))
         .join(F.broadcast(small), F.col("sample_id") == F.col("chosen_id"))
         .select("sample_id", "sample_text", "label")
         .collect()

@@ -182,3 +182,11 @@ def test_labels_that_disagree_or_are_null_teach_nothing(spark):
     rows = [(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 1)]
     out = scored_labels(spark.createDataFrame(rows, "doc_id long, toxic int"), "doc_id", "toxic").collect()
     assert [tuple(r) for r in out] == [(2, 1)]
+
+
+def test_a_language_of_long_texts_alone_is_learnt_and_too_many_languages_raise(spark):
+    rows = [(i, "der die das und nicht " * 1500, "de") if i % 2 else (i, "the and of that with " * 3, "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == ["de", "en"]
+    with pytest.raises(ValueError, match="more than 1 labels"):
+        language.fit(docs, most_languages=1)
