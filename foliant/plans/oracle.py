@@ -309,13 +309,11 @@ def annotated(lines: str) -> str:
 
 
 def classified(lines: str) -> str:
-    fits = f"word_count <= {rules.MAX_WORDS}"
-    t = f"""SELECT *, {topical('text')} AS topical, CASE WHEN {fits} THEN {boilerplate('text')} END AS boilerplate,
-      CASE WHEN {fits} THEN {venue('text')} END AS venue FROM ({annotated(lines)})"""
+    t = f"""SELECT *, {topical('text')} AS topical, {boilerplate('text')} AS boilerplate, {venue('text')} AS venue FROM ({annotated(lines)})"""
     mark = without_number("text")
-    return f"""SELECT *, {author('text', 'word_count', 'topical')} AS author, {fits} AND ({fragment('text', 'word_count')}) AS fragment,
-      {fits} AND {sentence('text', 'word_count', 'topical')} AS sentence, {fits} AND {garbled('text')} AS garbled, {fits} AND {all_caps('text')} AS all_caps,
-      {fits} AND {period_end('text')} AS period_end, {hit('text', rules.COVER_ROLE)} AS cover_role,
+    return f"""SELECT *, {author('text', 'word_count', 'topical')} AS author, {fragment('text', 'word_count')} AS fragment,
+      {sentence('text', 'word_count', 'topical')} AS sentence, {garbled('text')} AS garbled, {all_caps('text')} AS all_caps,
+      {period_end('text')} AS period_end, {hit('text', rules.COVER_ROLE)} AS cover_role,
       ({key(mark)} IN {members(rules.ABSTRACT_KEYS)} OR starts_with({key(mark)}, 'abstract ')) AS abstract_mark FROM ({t})"""
 
 
