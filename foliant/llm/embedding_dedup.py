@@ -1,10 +1,14 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass orders the distinct vectors by the concatenated signs of random projections and compares
-each with the bounded window of its neighbours; verified pairs are united across passes. Vectors of
-different components are then compared with one another, all of them, block by block, so that no
-pair is missed where the windows don't reach. Links inside a component are counted exactly: by blocks of bounded size, and in large components by an angle
-bound, as two vectors whose angles to a third sum to at most the link angle must be linked.
+Each pass orders the distinct vectors lexicographically by concatenated random hashes and compares
+each with the bounded window of its neighbours; verified pairs are united across passes. The hashes
+of a pass are, one after the other, the nearest of some random rows, the nearest of random rows of
+that cell, and the signs of random projections of what is left; as the rows are drawn from the data, a
+crowded region gets as many cells as it has rows. Passes come in rounds, until a round unites nothing
+any more: what a round misses the next one mostly finds, so the links that are missed in the end are few
+whatever the number of vectors and however crowded they are. Links inside a component are then counted
+exactly: by blocks of bounded size, and in large components by an angle bound, as two vectors whose
+angles to a third sum to at most the link angle must be linked.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,318 +28,409 @@ from foliant.llm.common import Scratch
 from foliant.llm.components import connected_components
 
 THRESHOLD = 0.95
-#: Passes, neighbours compared on either side, bits of a sort key.
-PASSES, WINDOW, BITS = 16, 32, 64
-#: Vectors of a component that one task compares with each other.
-BLOCK = 1024
-#: Numbers of a block of vectors that are compared across components, and blocks at least.
-ACROSS, LEAST_BLOCKS = 1 << 21, 8
+#: Passes of a round, neighbours compared on either side, sign bits of a sort key.
+PASSES, WINDOW, BITS = 2, 2048, 64
+#: Cells of a pass, rows drawn for a round at most, and numbers that they hold at most.
+CELLS, DRAWN, DRAWN_NUMBERS = 64, 4096, 1 << 19
+#: Rows of a component that one task compares at once; rows of a matrix product; numbers of a block of vectors.
+BLOCK, STEP, NUMBERS = 1024, 512, 1 << 20
+#: Blocks at least in the comparison of all pairs.
+LEAST_BLOCKS = 8
 SEED = 20_240_601
 
-VECTOR = T.ArrayType(T.DoubleType())
+KEY = T.BinaryType()
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    """Rows of a list column without nulls, all of one length."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column without nulls, all of one length, as unit vectors in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _units(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
 
 
-def _lists(m: np.ndarray) -> pa.ListArray:
-    n, d = m.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, d, dtype=np.int32)), pa.array(m.ravel()))
+def _units(m: np.ndarray) -> np.ndarray:
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def units(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, key, unit): unit vectors in double precision and a digest of the vector as given.
+def _slack(dims: int) -> float:
+    """What single precision may lose of the product of two unit vectors."""
+    return 2.0**-22 * (dims + 16)
 
-    Vectors that are null, empty, zero, or hold null or non-finite components have null key and unit.
+
+def keyed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, key, v): the vector as given, and a digest of it in double precision.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components have null key and v.
     """
     src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    schema = T.StructType([src.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("unit", VECTOR)])
+    schema = T.StructType([src.schema["id"], T.StructField("key", KEY), src.schema["v"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, made = [], []
-            for row in b.column(1):
-                x = None
-                if row.is_valid and row.values is not None and len(row.values) and not row.values.null_count:
-                    x = row.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    if not np.isfinite(x).all() or not x.any():
-                        x = None
-                if x is None:
-                    keys.append(None)
-                    made.append(None)
-                    continue
-                keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                x = x / np.abs(x).max()
-                made.append(x / np.sqrt(x @ x))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.list_(pa.float64()))], names=["id", "key", "unit"]
-            )
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()  # without what null lists hold
+            x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+            ends = np.cumsum(sizes)
+            some = sizes > 0
+            starts = (ends - sizes)[some]
+            good = np.zeros(len(sizes), bool)
+            if len(x):
+                good[some] = np.logical_and.reduceat(np.isfinite(x), starts) & np.logical_or.reduceat(x != 0, starts)
+            raw = memoryview(x).cast("B")
+            keys = [
+                hashlib.blake2b(raw[8 * (e - n) : 8 * e], digest_size=16).digest() if ok else None
+                for e, n, ok in zip(ends.tolist(), sizes.tolist(), good.tolist(), strict=True)
+            ]
+            v = pc.if_else(pa.array(good), lists, pa.scalar(None, lists.type))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), v], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest index of each row's component in a symmetric matrix of links."""
-    n = len(linked)
-    label = np.arange(n)
-    linked = linked | np.eye(n, dtype=bool)
+class Hashes:
+    """The random hashes of one pass over vectors of one length, from rows drawn from the data."""
+
+    def __init__(self, drawn: np.ndarray, dims: int, bits: int, seed: list[int]):
+        rng = np.random.default_rng(seed)
+        own = drawn[rng.permutation(len(drawn))[: -(-len(drawn) // 2)]]
+        self.top = own[:CELLS]
+        cell = (own @ self.top.T).argmax(axis=1) if len(own) else np.zeros(0, int)
+        self.sub = [own[cell == c][:256] for c in range(len(self.top))]
+        self.planes = rng.standard_normal((dims, bits)).astype(np.float32)
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """One row of bytes for each unit vector: cell, cell within it, signs of the rest."""
+        first, second, rest = np.zeros(len(x), np.uint8), np.zeros(len(x), np.uint8), x
+        if len(self.top):
+            first = (x @ self.top.T).argmax(axis=1).astype(np.uint8)
+            rest = x.copy()
+            for c in np.unique(first).tolist():
+                at = np.flatnonzero(first == c)
+                near = (x[at] @ self.sub[c].T).argmax(axis=1)
+                second[at] = near
+                rest[at] -= self.sub[c][near]
+        return np.c_[first, second, np.packbits(rest @ self.planes > 0, axis=1)]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to the smallest node of each component of the graph with edges (a, b)."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
     while True:
-        new = np.where(linked, label, n).min(axis=1)
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
         new = new[new]
         if (new == label).all():
-            return label
+            break
         label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
 
 
-def _window_edges(units_: np.ndarray, ids: list, fresh: int, window: int, threshold: float) -> list[tuple]:
-    """Edges that unite the verified pairs at most `window` apart; rows before `fresh` were compared before."""
-    edges = []
-    for i in range(fresh, len(units_), 256):
-        lo, hi = max(0, i - window), min(len(units_), i + 256)
-        part = units_[lo:hi]
-        place = np.arange(hi - lo)
-        near = np.abs(place[:, None] - place[None, :]) <= window
-        root = _roots((part @ part.T >= threshold) & near)
-        edges += [(ids[lo + k], ids[lo + root[k]]) for k in np.flatnonzero(root != place)]
-    return edges
-
+def _links(
+    m: np.ndarray, code: np.ndarray, place: np.ndarray, first: int, window: int, threshold: float, until: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes (two arrays) that linked rows at most `window` places apart unite.
 
-def sorted_pass_edges(
-    classes: DataFrame, scratch: Scratch, threshold: float, passes: int, window: int, bits: int, seed: int = SEED
-) -> DataFrame:
-    """(a, b) pairs of the same component from every pass over (id, unit)."""
-    id_field = T.StructField("id", classes.schema["id"].dataType)
-    keyed = T.StructType([T.StructField("pass", T.LongType()), T.StructField("sort_key", T.BinaryType()), id_field, T.StructField("unit", VECTOR)])
+    Of each pair the later row is at index `first` or behind, the other one before `until`; rows are in
+    the order of their places.
+    """
+    rough, slack = m.astype(np.float32), _slack(m.shape[1])
+    for s in range(0, len(m) if until is None else until, STEP):
+        e = min(s + STEP, len(m))
+        lo, hi = max(s, first), int(np.searchsorted(place, place[e - 1] + window, "right"))
+        if lo >= hi:
+            continue
+        near = rough[s:e] @ rough[lo:hi].T
+        i, j = np.divmod(np.flatnonzero(near.ravel() >= np.float32(threshold - slack)), hi - lo)
+        value = near[i, j]
+        i, j = i + s, j + lo
+        on = (i < j) & (place[j] - place[i] <= window) & (code[i] != code[j])
+        i, j, value = i[on], j[on], value[on]
+        for k in np.array_split(np.flatnonzero(value < threshold + slack), len(i) // 50_000 + 1):
+            value[k] = np.where(np.einsum("ij,ij->i", m[i[k]], m[j[k]]) >= threshold, 2.0, -2.0)
+        i, j = i[value > -2], j[value > -2]
+        if len(i):
+            yield _forest(code[i], code[j])
+
+
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows with equal values in all columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    cuts = [*np.flatnonzero(new).tolist(), len(new)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _united(t: pa.Table, place: np.ndarray, first: int, window: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) components that linked rows of a pass unite; `t` has pass, component and v, in order."""
+    comps = t.column("component").combine_chunks().dictionary_encode()
+    code, v = comps.indices.to_numpy(), t.column("v").combine_chunks()
+    sizes = pc.list_value_length(v).to_numpy()
+    for s, e in _runs(t.column("pass").to_numpy(), sizes):
+        if e > first:
+            for a, b in _links(_matrix(v.slice(s, e - s)), code[s:e], place[s:e], max(0, first - s), window, threshold):
+                yield pa.RecordBatch.from_arrays([comps.dictionary.take(pa.array(x)) for x in (a, b)], names=["a", "b"])
+
+
+def pass_edges(classes: DataFrame, scratch: Scratch, threshold: float, passes: int, window: int, bits: int, round_no: int = 0, seed: int = SEED) -> DataFrame:
+    """(a, b) components of (key, component, v) that the passes of a round unite.
+
+    Every row is dealt by range of its sort key once per pass. A task compares the rows of its range as
+    they stream by; rows within a window of its ends are compared with those of other ranges by their
+    places in the whole order, so the pairs that are compared do not depend on the partitioning.
+    """
+    n, dims = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    drawn_rows = max(CELLS, min(DRAWN, DRAWN_NUMBERS // max(1, dims)))
+    cut = min(2**63 - 1, 2**64 * drawn_rows // max(1, n) - 2**63)
+    drawn: dict[int, list[np.ndarray]] = {}
+    for r in classes.where(F.xxhash64(F.lit(f"{seed}-{round_no}"), "key") <= cut).select("key", "v").limit(2 * drawn_rows).toArrow().sort_by("key").column("v"):
+        x = r.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        drawn.setdefault(len(x), []).append(_units(x[None, :])[0].astype(np.float32))
+    rows_of = {d: np.array(x) for d, x in drawn.items()}
+    v_field = classes.schema["v"]
+    own = [T.StructField("pass", T.LongType()), T.StructField("sort_key", KEY), T.StructField("component", KEY), T.StructField("key", KEY), v_field]
+    hashed_schema = T.StructType(own)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        made: dict[tuple[int, int], Hashes] = {}
         for b in batches:
-            lengths = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            lengths = pc.list_value_length(b.column(2)).to_numpy()
             for d in np.unique(lengths).tolist():
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
-                own = b.filter(pa.array(lengths == d))
-                for s in range(0, own.num_rows, 2000):
-                    part = own.slice(s, 2000)
-                    signs = np.packbits(_matrix(part.column(1)) @ planes[d] > 0, axis=1).reshape(part.num_rows, passes, bits // 8)
+                some = b.filter(pa.array(lengths == d))
+                for s in range(0, some.num_rows, 4096):
+                    part = some.slice(s, 4096)
+                    x = _matrix(part.column(2)).astype(np.float32)
                     for p in range(passes):
-                        keys = [x.tobytes() for x in signs[:, p]]
+                        if (d, p) not in made:
+                            made[d, p] = Hashes(rows_of.get(d, np.zeros((0, d), np.float32)), d, bits, [seed, round_no, p, d])
+                        head = d.to_bytes(4, "big")
+                        keys = [head + k.tobytes() for k in made[d, p].keys(x)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(part.num_rows, d * passes + p)), pa.array(keys, pa.binary()), part.column(0), part.column(1)],
-                            names=keyed.names,
+                            [pa.array(np.full(part.num_rows, p)), pa.array(keys, pa.binary()), part.column(1), part.column(0), part.column(2)],
+                            names=hashed_schema.names,
                         )
 
     found = T.StructType(
-        [T.StructField("a", id_field.dataType), T.StructField("b", id_field.dataType), T.StructField("border", T.LongType()), *keyed.fields]
+        [T.StructField("a", KEY), T.StructField("b", KEY), T.StructField("part", T.LongType()), T.StructField("at", T.LongType()), own[0], own[2], v_field]
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges within the partition, and its first and last rows for the borders to its neighbours."""
-        me = TaskContext.get().partitionId()
-        head, tail, n_head = [], None, 0
+        """Edges within the range; its rows near the ends, with their places in it; its number of rows."""
+        me, seen, tail = TaskContext.get().partitionId(), 0, None
+
+        def kept(t: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            made = pa.table([pa.nulls(len(at), pa.binary())] * 2 + [pa.array(np.full(len(at), me)), pa.array(at), *t.select(["pass", "component", "v"]).columns], names=found.names)
+            yield from made.to_batches()
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            if n_head < window:
-                head.append(b.slice(0, window - n_head))
-                n_head += head[-1].num_rows
-            old = 0 if tail is None else tail.num_rows
-            both = b if tail is None else pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
-            edges = _edges_by_pass(both, old, window, threshold)
-            if edges:
-                yield _edge_batch(edges, found, both.schema)
-            tail = both.slice(max(0, both.num_rows - window))
-        for border, rows in ((me - 1, head), (me, [tail] if tail is not None else [])):
-            for r in rows:
-                none = [pa.nulls(r.num_rows, r.schema.field("id").type)] * 2
-                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(r.num_rows, border)), *r.columns], names=found.names)
-
-    ordered = classes.select("id", "unit").mapInArrow(hashed, keyed).repartitionByRange("pass", "sort_key").sortWithinPartitions("pass", "sort_key", "id")
-    once = scratch.write(ordered.mapInArrow(compared, found), "windows")
+            for s in range(0, b.num_rows, 4096):
+                part = pa.Table.from_batches([b.slice(s, 4096)])
+                old = 0 if tail is None else tail.num_rows
+                both = part if tail is None else pa.concat_tables([tail, part]).combine_chunks()
+                for e in _united(both, np.arange(seen - old, seen + part.num_rows), old, window, threshold):
+                    none = [pa.nulls(e.num_rows, f.type) for f in (pa.field("part", pa.int64()), pa.field("at", pa.int64()), *(part.schema.field(c) for c in ("pass", "component", "v")))]
+                    yield pa.RecordBatch.from_arrays([*e.columns, *none], names=found.names)
+                if seen < window:
+                    yield from kept(part.slice(0, window - seen), np.arange(seen, min(window, seen + part.num_rows)))
+                seen += part.num_rows
+                tail = both.slice(max(0, both.num_rows - window))
+        if tail is not None:
+            last = tail.slice(max(0, tail.num_rows - max(0, seen - window)))  # the first ones were given before
+            yield from kept(last, np.arange(seen - last.num_rows, seen))
+            nothing = [pa.nulls(1, pa.binary())] * 2
+            kinds = [tail.schema.field(c).type for c in ("pass", "component", "v")]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([me]), pa.array([seen]), *(pa.nulls(1, k) for k in kinds)], names=found.names)
+
+    order = ["pass", "sort_key", "key"]
+    dealt = classes.select("key", "component", "v").mapInArrow(hashed, hashed_schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    once = scratch.write(dealt.mapInArrow(compared, found), "windows")
+    counts = sorted((r["part"], r["at"]) for r in once.where("a is null and pass is null").select("part", "at").collect())
+    ends = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    offsets = classes.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(counts, ends, strict=False)], "of long, before long")
     pair = T.StructType(found.fields[:2])
+    tile = 8 * window
 
     def across(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("pass", "ascending"), ("sort_key", "ascending"), ("id", "ascending")]).combine_chunks()
-        b = t.to_batches()[0]
-        edges = _edges_by_pass(b.select(keyed.names), 0, window, threshold)
-        kind = b.schema.field("id").type
-        return pa.table([pa.array([e[k] for e in edges], kind) for k in (0, 1)], names=["a", "b"])
-
-    borders = once.where("a is null").select("border", *keyed.names).groupBy("border").applyInArrow(across, pair)
-    return once.where("a is not null").select("a", "b").union(borders)
-
-
-def _edges_by_pass(b: pa.RecordBatch, old: int, window: int, threshold: float) -> list[tuple]:
-    passes = b.column(0).to_numpy()
-    cuts = np.flatnonzero(np.r_[True, passes[1:] != passes[:-1], True])
-    edges = []
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if e > old:
-            part = b.slice(s, e - s)
-            edges += _window_edges(_matrix(part.column(3)), part.column(2).to_pylist(), max(0, old - s), window, threshold)
-    return edges
-
-
-def _edge_batch(edges: list[tuple], schema: T.StructType, like: pa.Schema) -> pa.RecordBatch:
-    n = len(edges)
-    kind = like.field("id").type
-    rest = [pa.nulls(n, f.type) for f in like]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([e[0] for e in edges], kind), pa.array([e[1] for e in edges], kind), pa.nulls(n, pa.int64()), *rest], names=schema.names
+        t = t.sort_by("place").combine_chunks()
+        edges = list(_united(t, t.column("place").to_numpy(), 0, window, threshold))
+        return pa.Table.from_batches(edges) if edges else pa.table([pa.array([], pa.binary())] * 2, names=["a", "b"])
+
+    place = F.col("before") + F.col("at")
+    tiles = F.when(F.pmod(place, F.lit(tile)) < window, F.array(F.floor(place / tile), F.floor(place / tile) - 1)).otherwise(F.array(F.floor(place / tile)))
+    borders = (
+        once.where("a is null and pass is not null")
+        .join(F.broadcast(offsets), F.col("part") == F.col("of"))
+        .select(F.explode(tiles).alias("tile"), place.alias("place"), "pass", "component", "v")
+        .groupBy("tile")
+        .applyInArrow(across, pair)
     )
+    return once.where("a is not null").select("a", "b").union(borders)
 
 
-def missed_edges(
-    parts: DataFrame, scratch: Scratch, threshold: float, numbers: int = ACROSS, least: int = LEAST_BLOCKS
-) -> DataFrame:
-    """(a, b) components that a linked pair of (id, component, unit) joins, from all pairs of vectors.
+def all_edges(classes: DataFrame, scratch: Scratch, threshold: float, numbers: int = NUMBERS, least: int = LEAST_BLOCKS) -> DataFrame:
+    """(a, b) components that a linked pair of (key, component, v) joins, from all pairs of vectors.
 
     The vectors of each length are dealt to blocks of about `numbers` numbers, and each task compares
     two blocks. Work and exchange grow with the square of the rows; no task grows.
     """
-    comp_type = parts.schema["component"].dataType
-    sized = parts.select("id", "component", "unit", F.size("unit").alias("dims"))
+    sized = classes.select("key", "component", "v", F.size("v").alias("dims"))
     blocks = scratch.write(
         sized.groupBy(F.col("dims").alias("of")).agg(F.count("*").alias("n")).select(
             "of", F.greatest(F.lit(least), F.ceil(F.col("n") * F.col("of") / numbers)).cast("long").alias("blocks")
         ),
         "blocks",
     )
-    own, other = F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = sized.join(F.broadcast(blocks), F.col("dims") == F.col("of")).select("dims", "component", "unit", own.alias("block"), other.alias("other"))
-    dealt = dealt.select("dims", "component", "unit", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    out = T.StructType([T.StructField("a", comp_type), T.StructField("b", comp_type)])
+    mine, other = F.pmod(F.xxhash64("key"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = sized.join(F.broadcast(blocks), F.col("dims") == F.col("of")).select("dims", "component", "v", mine.alias("block"), other.alias("other"))
+    dealt = dealt.select("dims", "component", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    out = T.StructType([T.StructField("a", KEY), T.StructField("b", KEY)])
 
     def compare(t: pa.Table) -> pa.Table:
         comps = t.column("component").combine_chunks().dictionary_encode()
-        code = comps.indices.to_numpy()
-        m = _matrix(t.column("unit").combine_chunks())
-        block = t.column("block").to_numpy()
-        rough = m.astype(np.float32)
-        # What single precision may lose of the product of two unit vectors.
-        least = np.float32(threshold - 2.0**-22 * (m.shape[1] + 16))
-        left = np.flatnonzero(block == t.column("i")[0].as_py())
-        right = np.flatnonzero(block == t.column("j")[0].as_py())
-        across = np.ascontiguousarray(rough[right].T)
-        found: set[tuple[int, int]] = set()
-        for s in range(0, len(left), 256):
-            rows = left[s : s + 256]
-            near = np.flatnonzero((rough[rows] @ across).ravel() >= least)
-            for k in range(0, len(near), 100_000):
-                x, y = np.divmod(near[k : k + 100_000], len(right))
-                x, y = rows[x], right[y]
-                apart = code[x] != code[y]
-                x, y = x[apart], y[apart]
-                linked = np.einsum("ij,ij->i", m[x], m[y]) >= threshold
-                found.update(zip(code[x[linked]].tolist(), code[y[linked]].tolist(), strict=True))
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.table([comps.dictionary.take(pa.array(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+        order = np.argsort(t.column("block").to_numpy(), kind="stable")
+        split = int((t.column("block").to_numpy() == t.column("i")[0].as_py()).sum())
+        code, m = comps.indices.to_numpy()[order], _matrix(t.column("v"))[order]
+        found = list(_links(m, code, np.arange(len(m)), split if split < len(m) else 0, len(m), threshold, split))
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, int) for k in (0, 1))
+        return pa.table([comps.dictionary.take(pa.array(x)) for x in (a, b)], names=["a", "b"])
 
     return dealt.groupBy("dims", "i", "j").applyInArrow(compare, out)
 
 
-def _count_small(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): copies of the linked classes, for components of at most BLOCK classes."""
-    out = T.StructType([members.schema["id"], T.StructField("links", T.LongType())])
+def _count_small(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """(key, links): copies of the linked classes, for components of at most BLOCK classes, many in a task."""
+    out = T.StructType([T.StructField("key", KEY), T.StructField("links", T.LongType())])
+    n, dims = members.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    buckets = n * max(1, dims) // NUMBERS + 1
 
     def count(t: pa.Table) -> pa.Table:
-        m = _matrix(t.column("unit").combine_chunks())
-        copies = t.column("copies").to_numpy()
-        near = (m @ m.T >= threshold).astype(np.int64)
-        np.fill_diagonal(near, 0)
-        return pa.table([t.column("id"), pa.array(near @ copies)], names=["id", "links"])
-
-    return members.groupBy("component").applyInArrow(count, out)
-
-
-def _count_large(members: DataFrame, scratch: Scratch, threshold: float, block: int) -> DataFrame:
-    """(id, links) for larger components, in tasks of bounded size.
+        comp = t.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.argsort(comp, kind="stable")
+        t, comp = t.take(pa.array(order)), comp[order]
+        copies, links = t.column("copies").to_numpy(), np.zeros(len(comp), np.int64)
+        sizes = pc.list_value_length(t.column("v")).to_numpy()
+        for s, e in _grouped(_runs(comp), STEP, sizes):
+            m = _matrix(t.column("v").slice(s, e - s))
+            near = (m @ m.T >= threshold) & (comp[s:e, None] == comp[None, s:e])
+            np.fill_diagonal(near, False)
+            links[s:e] = near @ copies[s:e]
+        return pa.table([t.column("key"), pa.array(links)], names=["key", "links"])
+
+    bucket = F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket")
+    return members.select("key", "component", "copies", "v", bucket).groupBy("bucket").applyInArrow(count, out)
+
+
+def _grouped(runs: list[tuple[int, int]], rows: int, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole runs, of about `rows` rows and vectors of one length (those of a component are)."""
+    start = None
+    for s, e in runs:
+        if start is not None and (s - start >= rows or sizes[s] != sizes[start]):
+            yield start, s
+            start = None
+        start = s if start is None else start
+    if start is not None:
+        yield start, runs[-1][1]
+
+
+def _count_large(members: DataFrame, scratch: Scratch, threshold: float, numbers: int) -> DataFrame:
+    """(key, links) for larger components, in tasks of bounded size.
 
     Vectors within half the link angle of their component's mean are all linked with one another, by
     the triangle inequality for angles, and are only counted. What lies farther out is compared with
-    the whole component, block by block.
+    the whole component, in blocks of about `numbers` numbers.
     """
-    id_type = members.schema["id"].dataType
-    comp = members.schema["component"]
-    sums = T.StructType([comp, T.StructField("unit", VECTOR)])
+    sums = T.StructType([T.StructField("of", KEY), T.StructField("pivot", T.ArrayType(T.DoubleType()))])
+
+    def added(comps: pa.Array, m: np.ndarray) -> pa.Table:
+        comps = comps.dictionary_encode()
+        made = np.zeros((len(comps.dictionary), m.shape[1]))
+        np.add.at(made, comps.indices.to_numpy(), m)
+        return pa.table([comps.dictionary, pa.array(list(made), pa.list_(pa.float64()))], names=["of", "pivot"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield from _sums(pa.Table.from_batches([b])).to_batches()
+            sizes = pc.list_value_length(b.column(1)).to_numpy()
+            for d in np.unique(sizes).tolist():
+                own = b.filter(pa.array(sizes == d))
+                yield from added(own.column(0), _matrix(own.column(1))).to_batches()
 
-    def _sums(t: pa.Table) -> pa.Table:
-        comps = t.column("component").combine_chunks().dictionary_encode()
-        m = _matrix_by_length(t.column("unit").combine_chunks())
-        made = np.zeros((len(comps.dictionary), m.shape[1]))
-        np.add.at(made, comps.indices.to_numpy(), m)
-        return pa.table([comps.dictionary, _lists(made)], names=["component", "unit"])
-
-    pivots = (
-        members.select("component", "unit")
-        .mapInArrow(partial, sums)
-        .groupBy("component")
-        .applyInArrow(_sums, sums)
-        .withColumnRenamed("unit", "pivot")
-        .withColumnRenamed("component", "of")
-    )
-    pivots = scratch.write(pivots, "pivots")
+    def total(t: pa.Table) -> pa.Table:
+        flat = t.column("pivot").combine_chunks()
+        return added(t.column("of").combine_chunks(), flat.flatten().to_numpy().reshape(len(flat), -1))
+
+    pivots = scratch.write(members.select("component", "v").mapInArrow(partial, sums).groupBy("of").applyInArrow(total, sums), "pivots")
     half = float(np.arccos(threshold)) / 2 - 1e-9
-    dot = F.aggregate(F.zip_with("unit", "pivot", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate("pivot", F.lit(0.0), lambda s, x: s + x * x))
-    cos = F.when(norm > 0, dot / norm).otherwise(F.lit(-1.0))
-    placed = members.join(pivots, F.col("component") == F.col("of")).select(
-        "component", "id", "copies", "unit", (F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos))) <= half).alias("core")
-    )
+    kept = members.select("component", "key", "copies", "v", F.size("v").alias("dims"))
+    placed_schema = T.StructType([*kept.schema.fields, T.StructField("core", T.BooleanType())])
+
+    def placed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            core = np.zeros(b.num_rows, bool)
+            sizes = b.column(4).to_numpy()
+            for d in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == d)
+                own = b.take(pa.array(at))
+                pivot = own.column(5).flatten().to_numpy().reshape(len(at), d)
+                norm = np.sqrt((pivot * pivot).sum(axis=1))
+                cos = np.einsum("ij,ij->i", _matrix(own.column(3)), pivot) / np.maximum(norm, 1e-300)
+                core[at] = (norm > 0) & (np.arccos(np.clip(cos, -1, 1)) <= half)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(core)], names=placed_schema.names)
+
+    placed = kept.join(pivots, F.col("component") == F.col("of")).select(*kept.columns, "pivot").mapInArrow(placed_rows, placed_schema)
     placed = scratch.write(placed, "placed")
+    rows = F.greatest(F.lit(1), F.floor(F.lit(numbers) / F.max("dims")))
     totals = scratch.write(
         placed.groupBy(F.col("component").alias("of")).agg(
             F.coalesce(F.sum(F.when(F.col("core"), F.col("copies"))), F.lit(0)).alias("core_copies"),
-            F.ceil(F.count_if(~F.col("core")) / block).alias("outer_blocks"),
-            F.ceil(F.count("*") / block).alias("blocks"),
+            F.ceil(F.count_if(~F.col("core")) / rows).alias("outer_blocks"),
+            F.ceil(F.count("*") / rows).alias("blocks"),
         ),
         "totals",
     )
     known = placed.join(totals, F.col("component") == F.col("of"))
-    counted = known.where("core").select("id", (F.col("core_copies") - F.col("copies")).alias("links"))
+    counted = known.where("core").select("key", (F.col("core_copies") - F.col("copies")).alias("links"))
     sides = known.where("outer_blocks > 0")
-    spread = lambda n: F.pmod(F.xxhash64("id"), n)
+    spread = lambda n: F.pmod(F.xxhash64("key"), n)
     outer = sides.where("not core").select(
-        "component", "id", "copies", "unit", F.lit(True).alias("outer"), F.lit(False).alias("core"),
+        "component", "key", "copies", "v", F.lit(True).alias("outer"), F.lit(False).alias("core"),
         spread(F.col("outer_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
     )
     all_ = sides.select(
-        "component", "id", "copies", "unit", F.lit(False).alias("outer"), "core",
+        "component", "key", "copies", "v", F.lit(False).alias("outer"), "core",
         F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("i"), spread(F.col("blocks")).alias("j"),
     )
-    out = T.StructType([T.StructField("id", id_type), T.StructField("links", T.LongType())])
+    out = T.StructType([T.StructField("key", KEY), T.StructField("links", T.LongType())])
 
     def count(t: pa.Table) -> pa.Table:
         is_outer = t.column("outer").combine_chunks()
-        a, b = t.filter(is_outer), t.filter(pa.compute.invert(is_outer))
+        a, b = t.filter(is_outer), t.filter(pc.invert(is_outer))
         if not a.num_rows or not b.num_rows:
-            return pa.table([pa.nulls(0, t.schema.field("id").type), pa.array([], pa.int64())], names=["id", "links"])
-        near = (_matrix(a.column("unit").combine_chunks()) @ _matrix(b.column("unit").combine_chunks()).T >= threshold).astype(np.int64)
-        seat = {x: k for k, x in enumerate(b.column("id").to_pylist())}
-        for k, x in enumerate(a.column("id").to_pylist()):
-            if x in seat:
-                near[k, seat[x]] = 0  # itself
+            return pa.table([pa.nulls(0, pa.binary()), pa.array([], pa.int64())], names=["key", "links"])
+        x, y = _matrix(a.column("v")), np.ascontiguousarray(_matrix(b.column("v")).T)
+        seat = {k: n for n, k in enumerate(b.column("key").to_pylist())}
+        own = np.array([seat.get(k, -1) for k in a.column("key").to_pylist()])
+        mine, theirs = a.column("copies").to_numpy(), b.column("copies").to_numpy()
         core = b.column("core").to_numpy()
-        ids = pa.chunked_array([*a.column("id").chunks, *b.filter(b.column("core")).column("id").chunks], t.schema.field("id").type)
-        links = np.r_[near @ b.column("copies").to_numpy(), a.column("copies").to_numpy() @ near[:, core]]
-        return pa.table([ids, pa.array(links.astype(np.int64))], names=["id", "links"])
-
-    import pyarrow.compute  # noqa: F401
+        here, there = np.zeros(len(x), np.int64), np.zeros(len(core), np.int64)
+        for s in range(0, len(x), STEP):
+            near = x[s : s + STEP] @ y >= threshold
+            itself = np.flatnonzero(own[s : s + STEP] >= 0)
+            near[itself, own[s : s + STEP][itself]] = False
+            here[s : s + STEP] = near @ theirs
+            there += mine[s : s + STEP] @ near
+        keys = pa.chunked_array([*a.column("key").chunks, *b.filter(b.column("core")).column("key").chunks], pa.binary())
+        return pa.table([keys, pa.array(np.r_[here, there[core]])], names=["key", "links"])
 
     compared = outer.union(all_).groupBy("component", "i", "j").applyInArrow(count, out)
-    return counted.union(compared).groupBy("id").agg(F.sum("links").alias("links"))
-
-
-def _matrix_by_length(column: pa.ListArray) -> np.ndarray:
-    return _matrix(column)
+    return counted.union(compared).groupBy("key").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(
@@ -346,48 +442,65 @@ def near_duplicates(
     window: int = WINDOW,
     bits: int = BITS,
     block: int = BLOCK,
+    numbers: int = NUMBERS,
+    every_pair: bool = False,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Equal vectors are one class: they are compared once and linked with each other. Vectors of
     different lengths, null, empty and zero ones, and those with null or non-finite components link
-    with nothing (n_links 0, a component of their own). The passes unite most pairs; what they leave
-    apart is compared in full, so no pair is missed, whatever `passes` and `window`. Null ids are no component's id unless it has no other. Repeated rows
-    count as copies. Other columns are not read; an empty table gives an empty one.
+    with nothing (n_links 0, a component of their own). Rounds of `passes` passes go on until one unites
+    nothing; with `every_pair` what they leave apart is then compared in full, at a cost that grows with
+    the square of the rows, and no pair can be missed whatever `passes` and `window`. Rows with a null id
+    link with nothing. Repeated rows count as copies; of an id with several vectors each has its own row.
+    Other columns are not read; an empty table gives an empty one.
     """
-    scratch = Scratch(vectors.sparkSession, "embeddings")
-    rows = scratch.write(units(vectors, id_col, vector_col), "units")
-    classes = scratch.write(
-        rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("unit").alias("unit")),
-        "classes",
-    )
-    edges = sorted_pass_edges(classes, scratch, threshold, passes, window, bits)
-    joined = scratch.write(connected_components(edges, "a", "b", scratch), "joined")
-    parts = classes.join(joined, classes.id == joined.node, "left").select("id", F.coalesce("component", "id").alias("component"), "unit")
-    missed = scratch.write(missed_edges(parts, scratch, threshold), "missed")
-    if missed.limit(1).count():
-        known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = scratch.write(connected_components(known.union(missed), "a", "b", scratch), "joined")
-    sizes = scratch.write(joined.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("classes")), "sizes")
-    members = scratch.write(
-        classes.join(joined, classes.id == joined.node).join(sizes, F.col("component") == F.col("of")).select("component", "id", "copies", "unit", "classes"),
-        "members",
-    )
-    large = members.where(F.col("classes") > block).drop("classes")
-    links = _count_small(members.where(F.col("classes") <= block).drop("classes"), threshold)
-    if large.limit(1).count():
-        links = links.union(_count_large(large, scratch, threshold, block))
-    links = scratch.write(links, "links")
-    named = scratch.write(
-        classes.select("key", "id", "copies")
-        .join(joined.withColumnRenamed("node", "id"), "id", "left")
-        .join(links, "id", "left")
-        .select("key", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
-        "named",
-    )
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "embeddings")
+    rows = scratch.write(keyed(vectors, id_col, vector_col), "rows")
     usable = F.col("key").isNotNull() & F.col("id").isNotNull()
-    out = rows.where(usable).select("id", "key").join(named, "key").select("id", "n_links", "component_id")
-    alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.union(alone).select(
+    classes = scratch.write(rows.where(usable).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "classes")
+    joined = None
+    for n in range(1 << 10):
+        now = _with_components(classes, joined)
+        edges = scratch.write(pass_edges(now, scratch, threshold, passes, window, bits, n), "edges")
+        if not edges.limit(1).count():
+            break
+        joined = _joined(joined, edges, scratch)
+    if every_pair:
+        joined = _joined(joined, scratch.write(all_edges(_with_components(classes, joined), scratch, threshold, numbers), "edges"), scratch)
+    if joined is None:
+        links, named = None, classes.select("key", F.col("id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    else:
+        sizes = joined.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("classes"))
+        members = classes.join(joined, classes.key == joined.node).join(scratch.write(sizes, "sizes"), F.col("component") == F.col("of"))
+        members = scratch.write(members.select("component", "key", "id", "copies", "v", "classes"), "members")
+        large = members.where(F.col("classes") > block)
+        links = _count_small(members.where(F.col("classes") <= block), scratch, threshold)
+        if large.limit(1).count():
+            links = links.union(_count_large(large, scratch, threshold, numbers))
+        least = scratch.write(members.groupBy(F.col("component").alias("of")).agg(F.min("id").alias("component_id")), "least")
+        links = scratch.write(links, "links").withColumnRenamed("key", "linked")
+        known = members.select("key", "component", "copies").join(least, F.col("component") == F.col("of")).join(links, F.col("key") == F.col("linked"))
+        named = scratch.write(known.select("key", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "named")
+        alone = classes.join(named.select("key"), "key", "left_anti").select("key", F.col("id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+        named = scratch.write(named.union(alone), "named")
+    out = rows.where(usable).select("id", "key").join(named, "key").select("id", F.col("n_links").cast("long"), "component_id")
+    rest = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return out.union(rest).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def _with_components(classes: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(key, component, v): the component that the rounds so far found, or the class's own key."""
+    if joined is None:
+        return classes.select("key", F.col("key").alias("component"), "v")
+    return classes.join(joined, classes.key == joined.node, "left").select("key", F.coalesce("component", "key").alias("component"), "v")
+
+
+def _joined(joined: DataFrame | None, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the edges so far and new ones between components."""
+    if joined is not None:
+        edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges)
+    return scratch.write(connected_components(edges, "a", "b", scratch), "joined")

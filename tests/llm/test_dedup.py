@@ -217,17 +217,46 @@ def test_embedding_links_in_a_crowd_are_all_found(spark):
     near = m @ m.T >= 0.95
     want = near.sum(axis=1) - 1
     assert near[np.arange(n), np.arange(n, 2 * n)].all()
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
     got = {r.vec_id: r.n_links for r in E.near_duplicates(df).collect()}
+    assert np.array([got[i] == want[i] for i in range(len(m))]).mean() >= 0.99
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(df, window=64, every_pair=True).collect()}
     assert [got[i] for i in range(len(m))] == want.tolist()
 
 
 def test_embedding_groups_do_not_need_the_passes(spark):
     rows = list(enumerate(vectors(6, 20, 6) + [v[:8] for v in vectors(7, 10, 4)]))
     links, comps = brute(rows)
-    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), passes=1, window=1).collect()
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), passes=1, window=1, every_pair=True).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (links[i], comps[i]) for i in links}
 
 
+@pytest.mark.parametrize("window", [3, 40])
+def test_embedding_windows_reach_across_any_number_of_ranges(spark, window):
+    """The pairs compared are those of the whole order, however few rows a range has."""
+    data = vectors(1, 40, 5) + [v[:8] for v in vectors(2, 20, 3)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    found = []
+    try:
+        for n in (1, 4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            scratch = Scratch(spark, "t")
+            classes = scratch.write(E.keyed(df).where("key is not null").selectExpr("key", "key as component", "v"), "classes")
+            edges = [(bytes(r.a), bytes(r.b)) for r in E.pass_edges(classes, scratch, 0.95, 2, window, 64).collect()]
+            nodes = {x for e in edges for x in e}
+            found.append(roots(nodes, edges))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_embedding_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (3, [1.0, 0.01])]
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_window_edges_stay_within_passes(spark):
     assert E.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")).where(F.col("n_links") > 0).count() == 0
