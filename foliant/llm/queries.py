@@ -54,7 +54,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archive")
     write_archive(table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path).select(
-        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_bytes", F.sha2("header", 256).alias("header_sha256")
     )
 
 
@@ -119,20 +119,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op5_warc": """
+    "op5_warc": r"""
 WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+  SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g') AS uri, encode(coalesce(html, '')) AS payload FROM pages
 ), d AS (
-  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS k, sha1(payload) AS s FROM p
+  SELECT page_id, uri, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS k, sha1(payload) AS s FROM p
 ), f AS (
   SELECT k, min(page_id) AS first_id FROM d GROUP BY k
+), r AS (
+  SELECT page_id, uri, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || s[i * 5 // 4 + 1 : i * 5 // 4 + 2])::INT >> (3 - i * 5 % 4)::INT) & 31) + 1]), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+  FROM d JOIN f USING (k)
+), h AS (
+  SELECT *, CASE WHEN record_type = 'response' THEN payload_bytes ELSE 0 END AS body_bytes FROM r
+), t AS (
+  SELECT *, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: <urn:record:' || page_id || '>',
+    'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Target-URI: ' || uri, 'WARC-Payload-Digest: sha1:' || payload_digest,
+    'WARC-Refers-To: <urn:record:' || refers_to || '>',
+    CASE WHEN refers_to IS NOT NULL THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+    'Content-Type: text/html', 'Content-Length: ' || body_bytes, chr(13) || chr(10)) AS header
+  FROM h
 )
-SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(32), lambda i:
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || s[i * 5 // 4 + 1 : i * 5 // 4 + 2])::INT >> (3 - i * 5 % 4)::INT) & 31) + 1]), '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM d JOIN f USING (k)
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, octet_length(encode(header)) + body_bytes + 4 AS record_bytes, sha256(header) AS header_sha256 FROM t
 """,
     "op6_chat": r"""
 WITH t AS (

@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.common import Scratch
+
 #: Fixed values of the format: the version line, line end, and RFC 4648's alphabet in order of value.
 VERSION, LINE_END = "WARC/1.1", "\r\n"
+ENDS = (LINE_END * 2).encode()
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -75,59 +78,62 @@ def write_archive(
     """
     spark = pages.sparkSession
     rows = _with_digests(pages, id_col, url_col, body_col)
-    (
-        rows.where((F.col("payload_bytes") >= min_revisit_bytes) & F.col("record_id").isNotNull())
-        .groupBy("sha256")
-        .agg(F.min("record_id").alias("response_id"))
-        .write.parquet(f"{path}/index")
-    )
+    scratch = Scratch(spark, "warc")
+    told = scratch.write(rows.drop("payload"), "digests")  # what follows hashes no payload again but to write it
+    eligible = (F.col("payload_bytes") >= min_revisit_bytes) & F.col("record_id").isNotNull()
+    told.where(eligible).groupBy("sha256").agg(F.min("record_id").alias("response_id")).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
-    other = F.col("record_id") != F.col("response_id")
-    typed = rows.drop("payload").join(index, "sha256", "left").withColumn("refers_to", F.when(other, F.col("response_id")))
-    (
-        typed.select("record_id", "sha256", "refers_to", _header(date).alias("header"))
-        .write.parquet(f"{path}/headers")
-    )
+    other = eligible & (F.col("record_id") != F.col("response_id"))
+    typed = told.join(index, "sha256", "left").withColumn("refers_to", F.when(other, F.col("response_id")))
+    typed.select("record_id", "sha256", _header(date).alias("header")).write.parquet(f"{path}/headers")
     # The bytes of a digest come from its response, else (null ids, small payloads) from any row that has it.
     # Rows that repeat a response meet in the partition of their id, so the bytes move once.
     named = rows.select("record_id", "sha256", "payload").join(
         index.select(F.col("response_id").alias("record_id"), F.col("sha256").alias("of")), "record_id"
     )
-    named = named.where("sha256 = of").groupBy("record_id", "sha256").agg(F.any_value("payload").alias("payload"))
-    rest = rows.where((F.col("payload_bytes") < min_revisit_bytes) | F.col("record_id").isNull()).select("sha256", "payload")
-    rest = rest.join(index, "sha256", "left_anti").groupBy("sha256").agg(F.any_value("payload").alias("payload"))
-    named.select("sha256", "payload").unionByName(rest).write.parquet(f"{path}/payloads")
+    payloads = named.where("sha256 = of").groupBy("record_id", "sha256").agg(F.any_value("payload").alias("payload")).select("sha256", "payload")
+    if told.where(~F.coalesce(eligible, F.lit(False))).limit(1).count():
+        rest = rows.where(~F.coalesce(eligible, F.lit(False))).select("sha256", "payload")
+        rest = rest.join(index, "sha256", "left_anti").groupBy("sha256").agg(F.any_value("payload").alias("payload"))
+        payloads = payloads.unionByName(rest)
+    payloads.write.parquet(f"{path}/payloads")
+    scratch.drop(told)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """One row per record: record_id, record_type, refers_to, header, payload, record, sha256,
-    payload_bytes, payload_digest.
+    payload_bytes, payload_digest, record_bytes.
 
-    `payload` is the full one, for a revisit that of the response; `record` has the exact bytes of the
-    record as written. Length and digests are computed from the stored bytes before the join, so a
-    query that doesn't ask for payload or record moves no payload. A payload whose bytes don't have
-    its digest raises an error.
+    Type and both ids, of type `id_type`, are read from the header block; "none" is a null id. `payload` is
+    the full one, for a revisit that of the response; `record` has the exact bytes of the record as written.
+    Whatever is asked of a payload comes from bytes that were held against their digest; one whose bytes
+    don't have its digest, and one that is missing, raises an error. Lengths and digests are computed before
+    the join, so a query that asks for neither payload nor record moves no payload.
     """
-    stored = spark.read.parquet(f"{path}/payloads").withColumns(
-        {
-            "checked": F.sha2("payload", 256),
-            "payload_bytes": F.octet_length("payload").cast("long"),
-            "payload_digest": base32_of_hex(F.sha1("payload")),
-        }
-    )
-    stored = stored.withColumn(
-        "payload_bytes",
-        F.when(F.col("checked") == F.col("sha256"), F.col("payload_bytes")).otherwise(
-            F.raise_error(F.concat(F.lit("payload does not have its digest "), F.col("sha256"))).cast("long")
-        ),
-    ).drop("checked")
-    empty = F.lit(b"")
-    ends = F.lit(LINE_END.encode() * 2)
-    kind = F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nWARC-Type: (\w+)\r\n", 1)
+    stored = spark.read.parquet(f"{path}/payloads")
+    spoilt = F.raise_error(F.concat(F.lit("payload does not have its digest "), F.col("sha256"))).cast("binary")
+    stored = stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(spoilt))
+    stored = stored.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_of_hex(F.sha1("payload"))})
+    missing = F.raise_error(F.concat(F.lit("no payload of digest "), F.col("sha256")))
+    found = {c: F.coalesce(c, missing.cast(kind)) for c, kind in (("payload", "binary"), ("payload_bytes", "long"), ("payload_digest", "string"))}
+    text = F.decode("header", "UTF-8")
+    field = lambda name: F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    uri = lambda name: F.nullif(F.regexp_extract(field(name), "^<urn:record:(.*)>$", 1), F.lit("none"))
+    refers_to = uri("WARC-Refers-To")
+    heads = spark.read.parquet(f"{path}/headers").select(
+        uri("WARC-Record-ID").cast(id_type).alias("record_id"), field("WARC-Type").alias("record_type"),
+        F.when(refers_to != "", refers_to).cast(id_type).alias("refers_to"), "header", "sha256",
+    )
+    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    size = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
     return (
-        spark.read.parquet(f"{path}/headers")
-        .withColumn("record_type", kind)
-        .join(stored, "sha256")
-        .withColumn("record", F.concat("header", F.when(F.col("record_type") == "revisit", empty).otherwise(F.col("payload")), ends))
-        .select("record_id", "record_type", "refers_to", "header", "payload", "record", "sha256", "payload_bytes", "payload_digest")
+        heads.join(stored, "sha256", "left")
+        .withColumns(found)
+        .withColumns(
+            {
+                "record": F.concat("header", body, F.lit(ENDS)),
+                "record_bytes": F.octet_length("header") + size + len(ENDS),
+            }
+        )
+        .select("record_id", "record_type", "refers_to", "header", "payload", "record", "sha256", "payload_bytes", "payload_digest", "record_bytes")
     )

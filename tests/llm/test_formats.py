@@ -139,12 +139,27 @@ def test_warc_small_payloads_and_empty(spark):
     assert warc(spark, [])[1].count() == 0
 
 
-def test_warc_tells_a_changed_payload(spark):
-    path, _ = warc(spark, [(1, "u", "good")])
-    bad = spark.read.parquet(f"{path}/payloads").selectExpr("sha256", "encode('evil', 'UTF-8') AS payload").collect()
-    spark.createDataFrame(bad, "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
-    with pytest.raises(Exception, match="does not have its digest"):
-        warc_store.read_archive(spark, path).collect()
+@pytest.mark.parametrize("column", ["record", "payload", "payload_bytes", "payload_digest", "record_bytes"])
+def test_warc_tells_a_changed_or_missing_payload(spark, column):
+    path, archive = warc(spark, [(1, "u", "good"), (2, "u", "good"), (3, "u", "lone")])
+    assert archive.select(column).count() == 3
+    stored = spark.read.parquet(f"{path}/payloads")
+    bad = stored.selectExpr("sha256", "encode('evil', 'UTF-8') AS payload").collect()
+    good = stored.where("decode(payload, 'UTF-8') = 'good'").collect()
+    for rows, why in ((bad, "does not have its digest"), (good, "no payload of digest"), ([], "no payload of digest")):
+        spark.createDataFrame(rows, "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+        with pytest.raises(Exception, match=why):
+            warc_store.read_archive(spark, path).select(column).collect()
+
+
+def test_warc_ids_and_types_are_those_of_the_header(spark):
+    path, _ = warc(spark, [(1, "u", "good"), (2, "u", "good"), (None, "u", "good")])
+    heads = spark.read.parquet(f"{path}/headers")
+    assert heads.columns == ["record_id", "sha256", "header"]
+    out = warc_store.read_archive(spark, path).select("record_id", "record_type", "refers_to", "header", "record", "record_bytes").collect()
+    assert sorted((r.record_id or 0, r.record_type, r.refers_to) for r in out) == [(0, "response", None), (1, "response", None), (2, "revisit", 1)]
+    assert all(len(r.record) == r.record_bytes and bytes(r.record).startswith(bytes(r.header)) for r in out)
+    assert {r.record_id for r in warc_store.read_archive(spark, path, "string").collect()} == {None, "1", "2"}
 
 
 control = st.text(alphabet=st.sampled_from(["<", "|", "\\", ">", "i", "m", "_", "e", "n", "d", "\n", "é"]), max_size=30)
