@@ -256,7 +256,7 @@ def pass_edges(classes: DataFrame, scratch: Scratch, threshold: float, passes: i
     ends = np.cumsum([0, *(n for _, n in counts)]).tolist()
     offsets = classes.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(counts, ends, strict=False)], "of long, before long")
     pair = T.StructType(found.fields[:2])
-    tile = 8 * window
+    tile = 2 * window
 
     def across(t: pa.Table) -> pa.Table:
         t = t.sort_by("place").combine_chunks()
