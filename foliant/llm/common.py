@@ -72,22 +72,6 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts
 
 
-def scored_labels(labels: DataFrame, id_col: str, label: str) -> DataFrame:
-    """One row per id, (id, label): rows with nulls, and ids with both labels, are left out."""
-    return (
-        labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
-        .groupBy(id_col)
-        .agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
-        .where("lo = hi")
-        .select(F.col(id_col), F.col("lo").cast("int").alias("label"))
-    )
-
-
-def bounded_sample(df: DataFrame, order: Sequence[Column], rows: int) -> list:
-    """At most `rows` rows to the driver, the same whatever the partitioning."""
-    return df.orderBy(*order).limit(rows).collect()
-
-
 class Scratch:
     """Parquet tables in the folder that the cluster shares, to cut lineage.
 

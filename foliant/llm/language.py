@@ -46,18 +46,20 @@ def _counts(text: str | None) -> np.ndarray | None:
     """Hellinger-scaled counts of hashed n-grams of 1 to 3 letters; None for a text without a letter."""
     low = (text or "").lower()
     total = np.zeros(BUCKETS)
+    last = np.zeros(1, np.uint32)  # the symbols before, at most two; a boundary at first
     for i in range(0, len(low), AT_ONCE):
-        c = chars.code_points(low[max(0, i - 2) : i + AT_ONCE])
-        c = np.where(chars.letters()[c], c, 0).astype(np.uint32)
-        c = c[(c != 0) | np.r_[True, c[:-1] != 0]]  # one boundary between words
-        if i == 0:
-            c = np.r_[np.uint32(0), c]
+        c = chars.code_points(low[i : i + AT_ONCE])
+        c = np.r_[last, np.where(chars.letters()[c], c, 0).astype(np.uint32)]
+        k = len(last)
+        c = c[(c != 0) | np.r_[True, c[:-1] != 0] | (np.arange(len(c)) < k)]  # one boundary between words
         c = np.r_[c, np.uint32(0)] if i + AT_ONCE >= len(low) else c
         a = c * np.uint32(2654435761)
         two = (a[:-1] >> np.uint32(7)) + c[1:] * np.uint32(40503) ^ a[1:]
         three = two[:-1] * np.uint32(31) + (a[2:] >> np.uint32(3))
-        for h, on in ((a, c != 0), (two, (c[:-1] != 0) | (c[1:] != 0)), (three, c[1:-1] != 0)):
-            total += np.bincount((h[on] * np.uint32(2246822519)) >> np.uint32(19), minlength=BUCKETS)
+        # n-grams whose last symbol is new
+        for h, on, new in ((a, c != 0, k), (two, (c[:-1] != 0) | (c[1:] != 0), k - 1), (three, c[1:-1] != 0, max(0, k - 2))):
+            total += np.bincount((h[new:][on[new:]] * np.uint32(2246822519)) >> np.uint32(19), minlength=BUCKETS)
+        last = c[-2:]
     n = total.sum()
     return np.sqrt(total / n) if n else None
 
@@ -112,8 +114,8 @@ def fit(
 ) -> Ecoc | None:
     """Learns from at most `sample` documents whose fold is not `held_out`, in equal numbers per language.
 
-    Of a text of more than LONGEST characters the first LONGEST are learnt from. More than
-    `most_languages` languages raise ValueError.
+    Of a text of more than LONGEST characters the first LONGEST are learnt from. An id with several
+    languages teaches nothing. More than `most_languages` languages raise ValueError.
     """
     known = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(lang_col).alias("label")).where(F.col("label").isNotNull())
     n = max(1, known.select("label").distinct().limit(sample).count())

@@ -14,10 +14,11 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import chars
-from foliant.llm.common import append_arrow, fold, scored_labels
+from foliant.llm.common import append_arrow, fold
 from foliant.llm.training import PER_LABEL, labelled_sample, logistic, sigmoid
 
 STATISTICS = (
@@ -111,8 +112,9 @@ def fit(
     docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "quality", per_label: int = PER_LABEL,
 ) -> Quadratic | None:
-    """Learns from at most `per_label` documents of each label whose fold is not `held_out`."""
-    known = scored_labels(labels, id_col, label_col).where("label in (0, 1)")
+    """Learns from at most `per_label` documents of each label whose fold is not `held_out`; labels but 0
+    and 1 are no labels."""
+    known = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     texts, y = labelled_sample(docs, known, fold(id_col, parts) != held_out, id_col, text_col, per_label)
     if not texts:
         return None

@@ -83,6 +83,23 @@ def test_toxicity_finds_held_out_and_obfuscated_insults(machine):
         assert machine.score([text])[0] >= 0.5, text
 
 
+def test_toxicity_finds_inserted_letters_in_held_out_documents(spark):
+    """An insult with a random letter inside, put into held-out clean documents of the driver's tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    machine = toxicity.fit(docs, labels)
+    held = docs.join(labels, "doc_id").where("lang = 'en' AND toxic = 0 AND crc32(CAST(doc_id AS STRING)) % 5 = 0 AND length(text) < 20000").orderBy("doc_id").limit(60)
+    texts, rng, caught = [r.text for r in held.collect()], np.random.default_rng(0), []
+    for insult in ("trash", "clown", "idiot", "scum", "worthless", "moron", "pathetic", "loser", "disgusting", "stupid"):
+        for t in texts:
+            at, k = int(rng.integers(0, len(t.split(" ")) + 1)), int(rng.integers(1, len(insult)))
+            words = t.split(" ")
+            words.insert(at, insult[:k] + chr(97 + int(rng.integers(0, 26))) + insult[k:])
+            caught.append(" ".join(words))
+    assert (machine.score(texts) >= 0.5).mean() < 0.05
+    assert (machine.score(caught) >= 0.5).mean() >= 0.9
+
+
 def test_toxicity_odd_input(spark, machine):
     rows = [(1, None, "a"), (2, "", "b"), (3, "  \n ", "c"), (4, "an idiot", "d"), (4, "an idiot", "d"), (None, "x" * 300_000 + " moron", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxicity string")
@@ -152,7 +169,15 @@ def test_counts_do_not_depend_on_pieces():
     old = language.AT_ONCE
     try:
         language.AT_ONCE = 997
-        assert np.abs(whole - language._counts(text)).max() < 0.02
+        assert (whole == language._counts(text)).all()
+        for at_once in (1, 2, 3):
+            language.AT_ONCE = at_once
+            for t in ("a, b", "ab  c", "...ab", "ab...", "a", ". .", " x. y "):
+                language.AT_ONCE = old
+                want = language._counts(t)
+                language.AT_ONCE = at_once
+                got = language._counts(t)
+                assert (want is None and got is None) or (want == got).all(), (t, at_once)
     finally:
         language.AT_ONCE = old
 
@@ -177,11 +202,38 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_labels_that_disagree_or_are_null_teach_nothing(spark):
-    from foliant.llm.common import scored_labels
-
-    rows = [(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 1)]
-    out = scored_labels(spark.createDataFrame(rows, "doc_id long, toxic int"), "doc_id", "toxic").collect()
-    assert [tuple(r) for r in out] == [(2, 1)]
+    from foliant.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(i, t) for i in range(1, 6) for t in (f"text {i}", f"other {i}")] * 2, "doc_id long, text string")
+    rows = [(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 1), (4, 0), (4, 0), (5, 0), (9, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, label int")
+    for part in (1, 7):
+        assert labelled_sample(docs.repartition(part), labels.repartition(part), F.lit(True)) == (["other 2", "other 4", "other 5"], [1, 0, 0])
+    one = labelled_sample(docs, labels, F.lit(True), per_label=1)
+    assert len(one[0]) == 2 and sorted(one[1]) == [0, 1]
+
+
+def test_a_sample_is_full_though_most_candidates_cannot_be_used(spark):
+    from foliant.llm.training import labelled_sample
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 6 = 0, 'fits', repeat('x', 50)) AS text")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS label")
+    texts, y = labelled_sample(docs, labels, F.lit(True), per_label=100, longest=10)
+    assert y.count(0) == 100 and y.count(1) == 0 and set(texts) == {"fits"}
+    texts, y = labelled_sample(docs, labels.selectExpr("doc_id", "CAST(doc_id % 5 AS INT) AS label"), F.lit(True), per_label=10, longest=10)
+    assert [y.count(k) for k in range(5)] == [10] * 5
+
+
+def test_an_id_in_two_languages_teaches_nothing_and_over_500_languages_raise(spark):
+    rows = [(1, "aa bb", "x"), (1, "aa bb", "y"), (2, "cc dd", "x"), (3, "ee ff", "y"), (3, "ee ff", "y")]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
+    a = language.fit(docs, parts=1, held_out=9)
+    b = language.fit(docs.where("doc_id > 1").dropDuplicates(["doc_id"]), parts=1, held_out=9)
+    assert a.languages == b.languages == ["x", "y"] and (a.weights == b.weights).all()
+    many = spark.range(501).selectExpr("id AS doc_id", "'some text' AS text", "CAST(id AS STRING) AS lang")
+    with pytest.raises(ValueError, match="more than 500 labels"):
+        language.fit(many, parts=1, held_out=9)
+    assert len(language.fit(many, parts=1, held_out=9, most_languages=600).languages) == 501
 
 
 def test_a_language_of_long_texts_alone_is_learnt_and_too_many_languages_raise(spark):
