@@ -19,10 +19,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import chars
-from foliant.llm.common import append_arrow, fold, scored_labels
+from foliant.llm.common import append_arrow, fold
 from foliant.llm.training import PER_LABEL, labelled_sample, logistic, sigmoid
 
 #: Symbols (boundary, 26 letters, one that matches nothing), decay per gap, widest subsequence, starts of a window.
@@ -31,9 +32,12 @@ NOTHING = SYMBOLS - 1
 #: Offsets of the second to fourth symbol of a subsequence, by width.
 PATTERNS = tuple((a, b, d) for d in range(3, SPAN) for a, b in combinations(range(1, d), 2))
 #: Landmarks from toxic documents, landmarks from clean ones, rounds of choosing windows, symbols scored at once.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, ROUNDS, AT_ONCE = 96, 32, 3, 1 << 18
-#: Log-likelihood ratio from which a string may be a toxic landmark; weight of the toxic class in the calibration.
-LEAST_WORTH, TOXIC_WEIGHT = 10.0, 0.25
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, ROUNDS, AT_ONCE = 96, 32, 4, 1 << 18
+#: Log-likelihood ratio from which a string may be a toxic landmark; times it must be as frequent in toxic documents
+#: for that, and for every window that begins with it to count as toxic; weight of the toxic class in the calibration.
+LEAST_WORTH, LEAN, SURE, TOXIC_WEIGHT = 10.0, 2, 20, 0.25
+#: Windows of a toxic document, copies of each with a letter put in, windows that a round takes from a clean document.
+PLACES, INSERTED, HARD = 4, 4, 3
 
 
 def fold_text(text: str | None) -> np.ndarray:
@@ -129,28 +133,26 @@ def _candidates(s: np.ndarray) -> set[bytes]:
     return out
 
 
-def choose_landmarks(streams: list[np.ndarray], y: np.ndarray) -> list[bytes]:
-    """Strings whose document counts differ most between the classes; ties go to the smaller string."""
+def choose_landmarks(streams: list[np.ndarray], y: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """(toxic, clean, sure) strings: those whose document counts lean most to the toxic class, the most
+    frequent others, and the toxic ones that clean documents hardly have. Ties go to the smaller string."""
     counts = (Counter(), Counter())
     for s, k in zip(streams, y.tolist(), strict=True):
         counts[k].update(_candidates(s))
     n = np.maximum(1, np.bincount(y, minlength=2))
     total = n.sum()
+    leans = lambda c, times: counts[1][c] / n[1] > times * counts[0][c] / n[0]
 
     def worth(c: bytes) -> float:
         """Log-likelihood ratio of the string's document counts, if it leans to the toxic class."""
         v, u = counts[1][c], counts[0][c]
         even = (v + u) * n[1] / total
-        if v / n[1] <= 2 * u / n[0]:
-            return 0.0
-        return 2 * (v * np.log(v / even) + (u * np.log(u / (v + u - even)) if u else 0.0))
+        return 2 * (v * np.log(v / even) + (u * np.log(u / (v + u - even)) if u else 0.0)) if leans(c, LEAN) else 0.0
 
     worths = {c: w for c, v in counts[1].items() if v >= 2 and (w := worth(c)) > LEAST_WORTH}
-    if not worths:
-        return []
     toxic = sorted(worths, key=lambda c: (-worths[c], c))[:TOXIC_LANDMARKS]
-    clean = sorted((c for c, v in counts[0].items() if v >= 2), key=lambda c: (-counts[0][c], c))[:CLEAN_LANDMARKS]
-    return list(dict.fromkeys(toxic + clean))
+    clean = sorted((c for c, v in counts[0].items() if v >= 2 and c not in worths), key=lambda c: (-counts[0][c], c))[:CLEAN_LANDMARKS]
+    return toxic, clean, [c for c in toxic if leans(c, SURE)]
 
 
 class Landmarks:
@@ -191,7 +193,7 @@ class Landmarks:
         return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 5) -> np.ndarray:
+def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 10, seed: int = 5) -> np.ndarray:
     """Weights, the intercept last, of an L1-loss linear machine by dual coordinate descent."""
     x = np.c_[x, np.ones(len(x))]
     sign = np.where(y == 1, 1.0, -1.0)
@@ -212,48 +214,71 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30,
 
 
 def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, c: float = 1.0) -> StringMachine | None:
-    """Multiple-instance training: the worst window stands for a toxic document, a clean one gives its
-    worst and some others. None without documents of both labels or without a landmark."""
+    """Multiple-instance training. None without documents of both labels or without a landmark.
+
+    Of a toxic document the windows that begin with a sure landmark count as toxic, as they are and with a
+    random letter put into their first word; without one its worst window does. Clean documents give
+    some windows at random, and in each round their worst ones.
+    """
     streams = [fold_text(t) for t in texts]
     if not len(y) or min((y == 0).sum(), (y == 1).sum()) < 2:
         return None
-    strings = choose_landmarks(streams, y)
-    if not strings:
+    toxic, clean, sure = choose_landmarks(streams, y)
+    if not toxic:
         return None
-    marks = Landmarks(strings)
+    marks = Landmarks(toxic + clean)
     rng = np.random.default_rng(11)
     width = STARTS + SPAN - 1
-    ready = [np.r_[s, np.full(width, NOTHING, np.uint8)] for s in streams]
+    windows = lambda rows: marks.of_windows(np.array([_window(s, i) for s, i in rows], np.uint8).reshape(-1, width))
+    known, weight, lone = [], [], []
+    for k in np.flatnonzero(y == 1).tolist():
+        text = streams[k].tobytes()
+        places = sorted({text.find(z) for z in sure} - {-1})[:PLACES]
+        if not places:
+            lone.append(k)
+        for i in places:
+            known += [(streams[k], i), *((_with_insert(streams[k], i, rng), 0) for _ in range(INSERTED))]
+            weight += [1 / len(places)] + [1 / len(places) / INSERTED] * INSERTED
+    known_x = windows(known)
+    weight = np.array(weight + [1.0] * len(lone))
     # The first choice of windows: by likeness to landmarks, each weighed by how toxic its documents are.
-    first = np.array([_lean(z, streams, y) for z in strings])
+    first = np.array([_lean(z, streams, y) for z in toxic + clean])
     model = StringMachine(np.zeros(SYMBOLS**4, np.float32), np.array([1.0, 0.0]))
     model.table[marks.seen] = (marks.phi @ first)[1:]
-    others = [(k, int(i)) for k in np.flatnonzero(y == 0) for i in rng.integers(0, len(streams[k]), 2)]
-    hard: set[tuple[int, int]] = set()
+    zero = np.flatnonzero(y == 0).tolist()
+    hard = {(k, int(i)) for k in zero for i in rng.integers(0, len(streams[k]), 2)}
     for _ in range(rounds):
-        top = [int(model.windows(s).argmax()) for s in streams]
-        hard |= {(k, top[k]) for k in np.flatnonzero(y == 0).tolist()}
-        places = [(k, top[k]) for k in np.flatnonzero(y == 1).tolist()] + sorted(hard) + others
-        toxic = np.array([ready[k][i : i + width] for k, i in places[: (y == 1).sum()]])
-        clean = np.array([ready[k][i : i + width] for k, i in places[len(toxic) :]])
-        x = marks.of_windows(np.concatenate([toxic, _with_insert(toxic, rng), clean]))
-        label = np.r_[np.ones(2 * len(toxic), int), np.zeros(len(clean), int)]
-        cost = np.where(label == 1, c * len(label) / (2 * label.sum()), c * len(label) / (2 * (label == 0).sum()))
+        toxic_x = np.r_[known_x, windows([(streams[k], int(model.windows(streams[k]).argmax())) for k in lone])]
+        for k in zero:
+            values = model.windows(streams[k])
+            for _ in range(HARD):
+                i = int(values.argmax())
+                hard.add((k, i))
+                values[max(0, i - SPAN) : i + SPAN + 1] = -np.inf
+        clean_x = windows([(streams[k], i) for k, i in sorted(hard)])
+        x, label = np.r_[toxic_x, clean_x], np.r_[np.ones(len(toxic_x), int), np.zeros(len(clean_x), int)]
+        cost = c * len(x) / 2 * np.r_[weight / weight.sum(), np.full(len(clean_x), 1 / len(clean_x))]
         machine = linear_svm(x, label, cost)
         model = StringMachine(marks.table(machine[:-1]), np.array([1.0, machine[-1]]))
-    worst = np.array([model.windows(s).max() for s in streams])
-    w = np.where(y == 1, TOXIC_WEIGHT / (y == 1).mean(), (1 - TOXIC_WEIGHT) / (y == 0).mean())
-    model.calibration = logistic(worst[:, None], y, w, ridge=1.0)
+    worst = np.array([model.windows(streams[k]).max() for k in zero])
+    value, label = np.r_[toxic_x @ machine[:-1], worst], np.r_[np.ones(len(toxic_x)), np.zeros(len(worst))]
+    share = np.r_[TOXIC_WEIGHT * weight / weight.sum(), np.full(len(worst), (1 - TOXIC_WEIGHT) / len(worst))]
+    model.calibration = logistic(value[:, None], label, share * len(value), ridge=1.0)
     return model
 
 
-def _with_insert(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The windows with a random letter put in near their middle, as an obfuscated word has it."""
-    n, width = windows.shape
-    at = rng.integers(3, STARTS, n)[:, None]
-    place = np.arange(width)[None, :]
-    moved = np.take_along_axis(windows, np.broadcast_to(np.maximum(0, place - (place > at)), windows.shape), axis=1)
-    return np.where(place == at, rng.integers(1, 27, n)[:, None], moved).astype(np.uint8)
+def _window(s: np.ndarray, i: int) -> np.ndarray:
+    """The symbols that the window at `i` reads."""
+    part = s[i : i + STARTS + SPAN - 1]
+    return np.r_[part, np.full(STARTS + SPAN - 1 - len(part), NOTHING, np.uint8)]
+
+
+def _with_insert(s: np.ndarray, i: int, rng: np.random.Generator) -> np.ndarray:
+    """The symbols from the boundary at `i` on, with a random letter inside the word behind it."""
+    rest = s[i : i + 2 * (STARTS + SPAN)]
+    end = next((k for k in range(1, len(rest)) if rest[k] == 0), len(rest))
+    at = int(rng.integers(2, max(3, end)))
+    return np.r_[rest[:at], np.uint8(rng.integers(1, 27)), rest[at:]]
 
 
 def _lean(z: bytes, streams: list[np.ndarray], y: np.ndarray) -> float:
@@ -266,8 +291,9 @@ def fit(
     docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", per_label: int = PER_LABEL,
 ) -> StringMachine | None:
-    """Learns from at most `per_label` documents of each label whose fold is not `held_out`."""
-    known = scored_labels(labels, id_col, label_col).where("label in (0, 1)")
+    """Learns from at most `per_label` documents of each label whose fold is not `held_out`; labels but 0
+    and 1 are no labels."""
+    known = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     texts, y = labelled_sample(docs, known, fold(id_col, parts) != held_out, id_col, text_col, per_label)
     return train(texts, np.array(y, int))
 
