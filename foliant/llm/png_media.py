@@ -107,10 +107,11 @@ class Png:
 
 
 def decode_png(data: bytes) -> Png:
-    """Samples of an 8-bit grey PNG without interlace; raises PngError for a broken one."""
+    """Samples of an 8-bit grey PNG without interlace; raises PngError for a broken one, for critical chunks
+    that are unknown and for chunks out of order."""
     if data[:8] != SIGNATURE:
         raise PngError("no PNG signature")
-    at, idat, head, n_bytes, ended = 8, [], None, None, False
+    at, idat, head, n_bytes, ended, before = 8, [], None, None, False, b""
     while at < len(data):
         if ended or at + 12 > len(data):
             raise PngError("bytes after the end, or a cut chunk")
@@ -121,14 +122,20 @@ def decode_png(data: bytes) -> Png:
         if (head is None) != (kind == b"IHDR"):
             raise PngError("IHDR must come first and once")
         if kind == b"IHDR":
+            if n != 13:
+                raise PngError("IHDR must have 13 bytes")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
+            if idat and before != kind:
+                raise PngError("IDAT chunks must follow one another")
             idat.append(body)
         elif kind == LENGTH_CHUNK:
             (n_bytes,) = struct.unpack(">Q", body)
         elif kind == b"IEND":
             ended = True
-        at += 12 + n
+        elif not kind[0] & 32:
+            raise PngError(f"unknown critical chunk {kind!r}")
+        at, before = at + 12 + n, kind
     if not ended or head is None or head[2:] != (8, 0, 0, 0, 0):
         raise PngError("not a whole 8-bit grey image")
     width, height = head[:2]

@@ -77,6 +77,18 @@ def test_png_checks_its_checksums():
         png_media.encode_png(b"123")
 
 
+def test_png_checks_the_order_and_kind_of_its_chunks():
+    good = png_media.encode_png(bytes(range(64)) * 4, 200)
+    head, length, data, end = good[:33], png_media._chunk(b"byTe", b"\0" * 7 + b"\x05"), good[33 + 20 : -12], good[-12:]
+    idat = data[8:-4]
+    parts = [png_media._chunk(b"IDAT", idat[:5]), png_media._chunk(b"IDAT", idat[5:])]
+    assert png_media.decode_png(head + parts[0] + parts[1] + png_media._chunk(b"tEXt", b"x") + end).samples.shape == (4, 64)
+    for bad in (head + parts[0] + length + parts[1] + end, head + png_media._chunk(b"PLTE", b"abc") + data + end, head + data + head[8:] + end,
+                png_media.SIGNATURE + png_media._chunk(b"IHDR", head[16:28]) + data + end, head + data + end + length):
+        with pytest.raises(png_media.PngError):
+            png_media.decode_png(bad)
+
+
 def test_dct_hash_is_the_definition():
     img = np.random.default_rng(2).integers(0, 256, (32, 32)).astype(np.uint8)
     k = np.arange(32)
