@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,18 +76,16 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 class Scratch:
     """Parquet tables in the folder that the cluster shares, to cut lineage.
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset, as in tests, a
-    temporary one is made and set.
+    The folder is spark.checkpoint.dir of the session. Where that is unset a session of one machine
+    gets a temporary one; on a cluster that is an error, as executors would write to their own disks.
+    Within `inside` of another one the tables are that one's, and go with it.
     """
 
+    _outer: Scratch | None = None
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        sc = spark.sparkContext
-        base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="foliant-")
-            sc.setCheckpointDir(base)
-            base = sc.getCheckpointDir()
+        base = Scratch._outer.root if Scratch._outer else _shared_folder(spark)
         self.root = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -99,9 +98,35 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{name}-{self.n}"
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a table that write() returned and nothing reads any more."""
-        jvm = self.spark._jvm
-        for f in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    @contextmanager
+    def inside(self) -> Iterator[Scratch]:
+        """What is written within goes into this one's folder, and is deleted at the end."""
+        was, inner = Scratch._outer, Scratch.__new__(Scratch)
+        inner.spark, inner.root, inner.n = self.spark, self.path("within"), 0
+        Scratch._outer = inner
+        try:
+            yield inner
+        finally:
+            Scratch._outer = was
+            self._delete(inner.root)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that write() returned and nothing reads any more."""
+        for df in tables:
+            for f in df.inputFiles()[:1]:
+                self._delete(f.rpartition("/")[0])
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
+        base = sc.getCheckpointDir()
+    return base

@@ -305,7 +305,7 @@ def all_edges(classes: DataFrame, scratch: Scratch, threshold: float, numbers: i
     return dealt.groupBy("dims", "i", "j").applyInArrow(compare, out)
 
 
-def _count_small(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+def _count_small(members: DataFrame, threshold: float) -> DataFrame:
     """(key, links): copies of the linked classes, for components of at most BLOCK classes, many in a task."""
     out = T.StructType([T.StructField("key", KEY), T.StructField("links", T.LongType())])
     n, dims = members.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
@@ -463,28 +463,32 @@ def near_duplicates(
     joined = None
     for n in range(1 << 10):
         now = _with_components(classes, joined)
-        edges = scratch.write(pass_edges(now, scratch, threshold, passes, window, bits, n), "edges")
+        with scratch.inside() as inner:
+            edges = scratch.write(pass_edges(now, inner, threshold, passes, window, bits, n), "edges")
         if not edges.limit(1).count():
             break
         joined = _joined(joined, edges, scratch)
     if every_pair:
-        joined = _joined(joined, scratch.write(all_edges(_with_components(classes, joined), scratch, threshold, numbers), "edges"), scratch)
+        with scratch.inside() as inner:
+            edges = scratch.write(all_edges(_with_components(classes, joined), inner, threshold, numbers), "edges")
+        joined = _joined(joined, edges, scratch)
     if joined is None:
-        links, named = None, classes.select("key", F.col("id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+        named = classes.select("key", F.col("id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
     else:
-        sizes = joined.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("classes"))
-        members = classes.join(joined, classes.key == joined.node).join(scratch.write(sizes, "sizes"), F.col("component") == F.col("of"))
-        members = scratch.write(members.select("component", "key", "id", "copies", "v", "classes"), "members")
-        large = members.where(F.col("classes") > block)
-        links = _count_small(members.where(F.col("classes") <= block), scratch, threshold)
-        if large.limit(1).count():
-            links = links.union(_count_large(large, scratch, threshold, numbers))
-        least = scratch.write(members.groupBy(F.col("component").alias("of")).agg(F.min("id").alias("component_id")), "least")
-        links = scratch.write(links, "links").withColumnRenamed("key", "linked")
-        known = members.select("key", "component", "copies").join(least, F.col("component") == F.col("of")).join(links, F.col("key") == F.col("linked"))
-        named = scratch.write(known.select("key", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "named")
-        alone = classes.join(named.select("key"), "key", "left_anti").select("key", F.col("id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
-        named = scratch.write(named.union(alone), "named")
+        with scratch.inside() as inner:
+            sizes = joined.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("classes"))
+            members = classes.join(joined, classes.key == joined.node).join(inner.write(sizes, "sizes"), F.col("component") == F.col("of"))
+            members = inner.write(members.select("component", "key", "id", "copies", "v", "classes"), "members")
+            large = members.where(F.col("classes") > block)
+            links = _count_small(members.where(F.col("classes") <= block), threshold)
+            if large.limit(1).count():
+                links = links.union(_count_large(large, inner, threshold, numbers))
+            least = inner.write(members.groupBy(F.col("component").alias("of")).agg(F.min("id").alias("component_id")), "least")
+            links = inner.write(links, "links").withColumnRenamed("key", "linked")
+            known = members.select("key", "component", "copies").join(least, F.col("component") == F.col("of")).join(links, F.col("key") == F.col("linked"))
+            known = inner.write(known.select("key", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "known")
+            alone = classes.join(known.select("key"), "key", "left_anti").select("key", F.col("id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+            named = scratch.write(known.union(alone), "named")
     out = rows.where(usable).select("id", "key").join(named, "key").select("id", F.col("n_links").cast("long"), "component_id")
     rest = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.union(rest).select(
@@ -503,4 +507,5 @@ def _joined(joined: DataFrame | None, edges: DataFrame, scratch: Scratch) -> Dat
     """(node, component) of the edges so far and new ones between components."""
     if joined is not None:
         edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges)
-    return scratch.write(connected_components(edges, "a", "b", scratch), "joined")
+    with scratch.inside() as inner:
+        return scratch.write(connected_components(edges, "a", "b", inner), "joined")

@@ -122,13 +122,13 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
-    """Adds `fp` (long, the 64 bits as a signed number). A null text counts as one without words."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """Adds `fp` (long, the 64 bits as a signed number), or `name`. A null text counts as one without words."""
 
     def prints(texts: list[str | None]) -> list:
         return [pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
 
-    return append_arrow(docs, [text_col], prints, [T.StructField("fp", T.LongType())], keep)
+    return append_arrow(docs, [text_col], prints, [T.StructField(name, T.LongType())], keep)
 
 
 def fingerprint_links(prints: DataFrame, threshold: int = THRESHOLD, blocks: Sequence[PerfectCode] = BLOCKS) -> DataFrame:
@@ -179,18 +179,24 @@ def near_duplicates(
     component's id unless it has no other. Repeated rows give repeated results; other columns are
     not read; an empty table gives an empty one.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, named = _groups(Scratch(docs.sparkSession, "simhash"), docs, id_col, text_col, words, threshold, blocks)
+    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def _groups(
+    scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: int = THRESHOLD, blocks: Sequence[PerfectCode] = BLOCKS
+) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, and (fp, root, least, component_id) of every fingerprint: root names its
+    component, which an id alone does not where rows repeat it with other texts; least is its smallest id."""
     rows = scratch.write(with_fingerprint(docs.select(id_col, text_col), text_col, words, [id_col]), "rows")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    links = fingerprint_links(distinct, threshold, blocks)
-    joined = connected_components(links, "a", "b", scratch)
-    rooted = distinct.join(joined, distinct.fp == joined.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
+    joined = connected_components(fingerprint_links(distinct, threshold, blocks), "a", "b", scratch)
+    rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.write(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    named = scratch.write(rooted.join(least, "root").select("fp", "root", "least", "component_id"), "named")
+    scratch.drop(distinct, joined, rooted)
+    return rows, named
 
 
 def fingerprint_hex(fp: str = "fp"):
@@ -198,15 +204,25 @@ def fingerprint_hex(fp: str = "fp"):
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is their component's; of rows that repeat such an id one stays.
+    """One row of `docs` for each component: one with its smallest id, of those with that id the one with
+    the smallest fingerprint, of rows alike in both any.
 
+    An id that stands on rows of different texts can so be kept with several of them; no component goes.
     Rows with a null id cannot be told apart and stay. The ids to keep grow with the documents, so the
     join is a sort-merge one at every size.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = Scratch(docs.sparkSession, "kept").write(found.where(F.col(id_col) == F.col("component_id")).select(id_col), "ids")
-    n, ids = kept.agg(F.count("*"), F.count_distinct(id_col)).first()
-    named = docs.where(F.col(id_col).isNotNull()).hint("merge").join(kept.distinct() if n != ids else kept, id_col, "left_semi")
-    if n != ids:
-        named = named.dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "kept")
+    rows, named = _groups(scratch, docs, id_col, text_col, **options)
+    first = named.where(F.col("least") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("least", "fp")).alias("first"))
+    kept = scratch.write(first.select(F.col("first.least").alias(id_col), F.col("first.fp").alias("fp")), "ids")
+    repeated = scratch.write(rows.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    known = docs.where(F.col(id_col).isNotNull()).hint("merge")
+    nameless = docs.where(F.col(id_col).isNull())
+    if not repeated.limit(1).count():
+        return known.join(kept.select(id_col), id_col, "left_semi").select(docs.columns).union(nameless)
+    once = known.join(kept.join(repeated, id_col, "left_anti").select(id_col), id_col, "left_semi").select(docs.columns)
+    # Only rows whose id is repeated need their own fingerprint again, under a name that no column has.
+    own = next(c for c in ("fp", *(f"fp_{k}" for k in range(len(docs.columns) + 1))) if c not in docs.columns)
+    more = known.join(repeated, id_col, "left_semi").select(docs.columns)
+    more = with_fingerprint(more, text_col, options.get("words", WORDS), name=own).join(kept.withColumnRenamed("fp", own), [id_col, own], "left_semi")
+    return once.union(more.dropDuplicates([id_col, own]).select(docs.columns)).union(nameless)

@@ -129,6 +129,42 @@ def test_near_duplicates_of_texts(spark):
     assert S.near_duplicates(df.where("false")).count() == 0 and S.drop_near_duplicates(df.where("false")).count() == 0
 
 
+def test_no_unique_text_goes_where_an_id_is_repeated(spark):
+    base = near_copy_docs()
+    a, b, c = base[0], base[4], base[8]
+    rows = [(1, a, 0), (1, b, 1), (1, b, 1), (2, b, 2), (3, c, 3), (2, c, 4), (4, "lone", 5), (None, a, 6)]
+    for part in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(part)
+        kept = S.drop_near_duplicates(df)
+        assert kept.columns == df.columns
+        got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+        assert got == sorted([(0, a), (1, a), (1, b), (2, c), (4, "lone")])
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from foliant.llm.common import _shared_folder
+
+    context = N(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        _shared_folder(N(sparkContext=context))
+    context.getConf = lambda: {"spark.checkpoint.dir": "s3://shared"}
+    assert _shared_folder(N(sparkContext=context)) == "s3://shared"
+
+
+def test_scratch_inside_deletes_what_was_written_within(spark):
+    outer = Scratch(spark, "t")
+    with outer.inside():
+        own = Scratch(spark, "inner")
+        lost = own.write(spark.range(3), "a")
+        assert own.root.startswith(outer.root) and lost.count() == 3
+        kept = outer.write(lost, "b")
+    with pytest.raises(Exception, match="(?i)not exist"):
+        spark.read.parquet(own.root + "/a-1").count()
+    assert kept.count() == 3 and not Scratch(spark, "x").root.startswith(outer.root)
+
+
 def test_simhash_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     fp = {k: slow_fingerprint(t) for k, t in docs.items()}
