@@ -198,6 +198,13 @@ NOT_A_NAME = r"\b(of|for|with|using|from|into|on|to|by|and the)\b"
 VENUE_EXEMPT = r"\b(using|based|towards|toward|analysis|study|effect|impact|role|for)\b"
 INTRODUCTION_TO = r"\bintroduction\s+to\b"
 
+# ---- Fixed values: single-line tests of the merging folds ----
+CONTACT = r"[\w.+-]+@[\w-]+\.|\bdepartment of\b|\bcorresponding author\b"
+SUBMITTED = r"date of submission|submitted date|submitted on"
+PROSE_OPENER = r"^(the|this|these|those|there|it|we|for)\s"
+ID_CODE = r"\b[A-Z]{2,}\d{3,}/\d+"  # heeds case
+REPORT_KEY = "project report|final project"
+
 # ---- Fixed values: word lists ----
 TOPICAL = (
     "design", "analysis", "using", "based", "study", "effect", "investigation", "implementation", "framework",

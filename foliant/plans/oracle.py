@@ -303,13 +303,21 @@ def conversation_lines() -> str:
 
 
 def annotated(lines: str) -> str:
-    a = f"SELECT * REPLACE ({clean('text')} AS text) FROM ({lines}) WHERE trim(coalesce(text, '')) <> ''"
+    return geometry(f"SELECT * REPLACE ({clean('text')} AS text) FROM ({lines}) WHERE trim(coalesce(text, '')) <> ''")
+
+
+def geometry(lines: str) -> str:
+    """Columns that follow from the text and the box of cleaned lines."""
     return f"""SELECT *, {key('text')} AS norm, {n_words('text')} AS word_count, y0 / page_height AS y_ratio,
-      abs((x0 + x1) / 2 - page_width / 2) / page_width AS center_offset, greatest(y1 - y0, font_size, 1.0) AS line_height FROM ({a})"""
+      abs((x0 + x1) / 2 - page_width / 2) / page_width AS center_offset, greatest(y1 - y0, font_size, 1.0) AS line_height FROM ({lines})"""
 
 
 def classified(lines: str) -> str:
-    t = f"""SELECT *, {topical('text')} AS topical, {boilerplate('text')} AS boilerplate, {venue('text')} AS venue FROM ({annotated(lines)})"""
+    return classes(annotated(lines))
+
+
+def classes(cleaned: str) -> str:
+    t = f"""SELECT *, {topical('text')} AS topical, {boilerplate('text')} AS boilerplate, {venue('text')} AS venue FROM ({cleaned})"""
     mark = without_number("text")
     return f"""SELECT *, {author('text', 'word_count', 'topical')} AS author, {fragment('text', 'word_count')} AS fragment,
       {sentence('text', 'word_count', 'topical')} AS sentence, {garbled('text')} AS garbled, {all_caps('text')} AS all_caps,
@@ -318,7 +326,11 @@ def classified(lines: str) -> str:
 
 
 def with_bare_reject(lines: str) -> str:
-    return f"SELECT *, {reject(False)} AS reject_bare FROM ({classified(lines)})"
+    return rejected(annotated(lines))
+
+
+def rejected(cleaned: str) -> str:
+    return f"SELECT *, {reject(False)} AS reject_bare FROM ({classes(cleaned)})"
 
 
 def body_sizes(lines: str) -> str:
@@ -329,7 +341,11 @@ def body_sizes(lines: str) -> str:
 
 
 def scored(lines: str) -> str:
-    """Rows with reject_reason, total and score."""
+    return scores(annotated(lines))
+
+
+def scores(cleaned: str) -> str:
+    """Rows with reject_reason, total, score and a column s_<name> for each signal."""
     w = rules.WEIGHTS
     ctx = f"""SELECT c.*, body_size, min(page) OVER d AS first_page,
       sum(greatest(length(text), 1)) OVER (PARTITION BY c.doc_id ORDER BY font_size RANGE UNBOUNDED PRECEDING) / sum(greatest(length(text), 1)) OVER d AS percentile,
@@ -340,9 +356,9 @@ def scored(lines: str) -> str:
         AND sum(CASE WHEN word_count <= 18 AND (y_ratio < 0.12 OR y_ratio > 0.88) THEN 1 ELSE 0 END) OVER n >= 2 AS header,
       bool_or({hit('text', rules.CHROME_MARKER)}) OVER (PARTITION BY c.doc_id, page) AS chrome_page,
       lag(font_size) OVER o AS above_size, lead(font_size) OVER o AS below_size, lead(author) OVER o AS below_author
-      FROM ({with_bare_reject(lines)}) c JOIN ({body_sizes(annotated(lines))}) b ON c.doc_id = b.doc_id
+      FROM ({rejected(cleaned)}) c JOIN ({body_sizes(cleaned)}) b ON c.doc_id = b.doc_id
       WINDOW d AS (PARTITION BY c.doc_id), n AS (PARTITION BY c.doc_id, norm), o AS (PARTITION BY c.doc_id, page ORDER BY y0, ord)"""
-    gaps = isolation(annotated(lines))
+    gaps = isolation(cleaned)
     after = "(abstract_at IS NOT NULL AND (page > abstract_at.p OR (page = abstract_at.p AND y0 > abstract_at.y + 8)))"
     side = lambda g: f"CASE WHEN {g} / greatest(line_height * 0.35, 2.0) >= 1.6 THEN {w['isolation'] * 0.5} WHEN {g} / greatest(line_height * 0.35, 2.0) >= 1.1 THEN {w['isolation'] * 0.25} ELSE 0 END"
     sandwich = lambda at, near, far, full, part: (
@@ -352,35 +368,36 @@ def scored(lines: str) -> str:
         f"(CASE WHEN font_size >= above_size * 0.92 THEN {w['prominence'] * 0.35} ELSE 0 END + CASE WHEN coalesce(below_author, false) "
         f"OR coalesce(below_size > 0 AND font_size >= below_size * 1.12, false) THEN {w['prominence'] * 0.65} ELSE 0 END)"
     )
-    total = " + ".join(
-        [
-            percentile_signal("percentile"),
-            size_signal("font_size", "body_size"),
-            f"CASE WHEN bold THEN {w['bold']} ELSE 0 END",
-            vertical_signal("y_ratio"),
-            center_signal("center_offset"),
-            side("gap_above"),
-            side("gap_below"),
-            word_signal("word_count"),
-            caps_signal("text"),
-            page_signal("page", "first_page"),
-            f"CASE WHEN abstract_at IS NULL OR {after} THEN 0 WHEN page = abstract_at.p AND abstract_at.y - y0 < 280 THEN {w['before_abstract']} "
-            f"WHEN page = abstract_at.p THEN {w['before_abstract'] * 0.6} WHEN page = abstract_at.p - 1 THEN {w['before_abstract'] * 0.3} ELSE 0 END",
-            sandwich("author_at", (4, 90), (0, 160), w["above_authors"], 0.55),
-            sandwich("cover_at", (2, 140), (0, 220), w["above_cover_role"], 0.5),
-            f"least({w['prominence']}, CASE WHEN body_size > 0 AND font_size >= body_size * 1.25 THEN least({w['prominence']}, {bonus} + 2.0) ELSE {bonus} END)",
-            f"CASE WHEN regexp_matches(regexp_extract(text, '\\p{{L}}'), '^\\p{{Lu}}') THEN {w['starts_capital']} ELSE 0 END",
-            f"CASE WHEN {after} THEN -28 ELSE 0 END",
-            "CASE WHEN y_ratio > 0.72 THEN -12 ELSE 0 END",
-            "CASE WHEN font_size <= body_size * 1.04 THEN -14 ELSE 0 END",
-            "CASE WHEN center_offset > 0.22 AND font_size < body_size * 1.4 THEN -4 ELSE 0 END",
-            "CASE WHEN period_end AND word_count > 12 THEN -3 ELSE 0 END",
-            f"CASE WHEN y_ratio < 0.18 AND coalesce(venue IN {members(rules.VENUE_PENALTY)}, false) THEN -18 ELSE 0 END",
-        ]
-    )
+    signals = {
+        "font_percentile": percentile_signal("percentile"),
+        "size_vs_body": size_signal("font_size", "body_size"),
+        "bold": f"CASE WHEN bold THEN {w['bold']} ELSE 0 END",
+        "vertical": vertical_signal("y_ratio"),
+        "centering": center_signal("center_offset"),
+        "isolation": f"{side('gap_above')} + {side('gap_below')}",
+        "word_count": word_signal("word_count"),
+        "capitalization": caps_signal("text"),
+        "page_bias": page_signal("page", "first_page"),
+        "before_abstract": f"CASE WHEN abstract_at IS NULL OR {after} THEN 0 WHEN page = abstract_at.p AND abstract_at.y - y0 < 280 THEN {w['before_abstract']} "
+        f"WHEN page = abstract_at.p THEN {w['before_abstract'] * 0.6} WHEN page = abstract_at.p - 1 THEN {w['before_abstract'] * 0.3} ELSE 0 END",
+        "above_authors": sandwich("author_at", (4, 90), (0, 160), w["above_authors"], 0.55),
+        "above_cover_role": sandwich("cover_at", (2, 140), (0, 220), w["above_cover_role"], 0.5),
+        "prominence": f"least({w['prominence']}, CASE WHEN body_size > 0 AND font_size >= body_size * 1.25 THEN least({w['prominence']}, {bonus} + 2.0) ELSE {bonus} END)",
+        "starts_capital": f"CASE WHEN regexp_matches(regexp_extract(text, '\\p{{L}}'), '^\\p{{Lu}}') THEN {w['starts_capital']} ELSE 0 END",
+    }
+    penalties = [
+        f"CASE WHEN {after} THEN -28 ELSE 0 END",
+        "CASE WHEN y_ratio > 0.72 THEN -12 ELSE 0 END",
+        "CASE WHEN font_size <= body_size * 1.04 THEN -14 ELSE 0 END",
+        "CASE WHEN center_offset > 0.22 AND font_size < body_size * 1.4 THEN -4 ELSE 0 END",
+        "CASE WHEN period_end AND word_count > 12 THEN -3 ELSE 0 END",
+        f"CASE WHEN y_ratio < 0.18 AND coalesce(venue IN {members(rules.VENUE_PENALTY)}, false) THEN -18 ELSE 0 END",
+    ]
+    named = ", ".join(f"({x})::DOUBLE AS s_{k}" for k, x in signals.items())
+    total = " + ".join([f"s_{k}" for k in signals] + [f"({x})" for x in penalties])
     good = f"reject_reason IS NULL AND NOT (word_count < {rules.SWEET_MIN} AND font_size < body_size * 1.35)"
-    return f"""SELECT *, CASE WHEN {good} AND total >= {rules.LEAST_SCORE} THEN total END AS score FROM (
-      SELECT *, {reject(True)} AS reject_reason, {total} AS total FROM ({ctx}) x JOIN ({gaps}) g USING (doc_id, ord))"""
+    return f"""SELECT *, CASE WHEN {good} AND total >= {rules.LEAST_SCORE} THEN total END AS score FROM (SELECT *, {total} AS total FROM (
+      SELECT *, {reject(True)} AS reject_reason, {named} FROM ({ctx}) x JOIN ({gaps}) g USING (doc_id, ord)))"""
 
 
 def isolation(lines: str) -> str:
@@ -433,3 +450,9 @@ def caps_signal(text: str) -> str:
         f"CASE WHEN len({found}) = 0 THEN 0 WHEN {shouted} THEN {w * 0.7} WHEN {content} AND {titled} >= 0.6 * len({found}) THEN {w} "
         f"WHEN regexp_matches({found}[1], '^[A-Z]') THEN {w * 0.35} ELSE 0 END"
     )
+
+
+def short_name(text: str, about: str) -> str:
+    w = alpha(text)
+    nouns = f"len(list_filter({w}, lambda w: lower(w) IN {members(rules.SHORT_NAME_NOUNS)} OR NOT regexp_matches(w, '^[A-Z]'))) = 0"
+    return f"(len({w}) BETWEEN 1 AND 3 AND NOT {about} AND ({hit(text, r'\b(dr|prof|engr|mr|mrs|ms)\b')} OR {nouns}))"

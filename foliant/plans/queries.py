@@ -17,7 +17,9 @@ from foliant.functions import text as X
 from foliant.operators import features, front, merge, model, spans, titles
 from foliant.operators.windows import doc_window
 from foliant.plans import oracle as O
+from foliant.plans import oracle_folds
 from foliant.plans.extract import Options, extract_titles
+from foliant.schemas import LINES
 from foliant.sources import adapters, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,13 +276,32 @@ def model_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", model.error_kind_column(text).alias("kind"), model.blocked_by_quota(F.lit("error"), text).alias("blocked"))
 
 
+def _wrapped(lines: DataFrame) -> DataFrame:
+    """Lines cut into pieces of five words and set solid, some in a second column, some with a topical or
+    an open end: as the tables have them, lines are too far apart to be joined."""
+    w = F.split("text", " ")
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / 5).cast("int") - 1), lambda k: F.array_join(F.slice(w, k * 5 + 1, 5), " "))
+    cut = lines.select("*", F.posexplode(pieces).alias("k", "piece"))
+    at = F.col("ord")
+    ended = F.concat("piece", F.when(at % 9 == 4, " Design Study").when(at % 13 == 5, " of the").otherwise(""))
+    numbered = cut.withColumn("ord", (F.row_number().over(doc_window().orderBy("ord", "k")) - 1).cast("int"))
+    placed = numbered.withColumns(
+        {
+            "text": ended, "page": (F.floor(at / 40) + 1).cast("int"), "x0": F.when(at % 11 == 7, 330.0).otherwise(72.0 + at % 3 * 10),
+            "y0": 40.0 + at % 40 * 18,
+        }
+    )
+    boxed = placed.withColumns({"x1": F.col("x0") + F.least(F.lit(220.0), F.length("text") * 5.0), "y1": F.col("y0") + F.col("font_size")})
+    return boxed.select(*LINES.names)
+
+
 def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = merge.with_merge_flags(_classified(_texts(spark, sf_dir)))
-    return merge.merge_adjacent(lines).select("doc_id", "ord", "text", "page", "font_size", "x0", "y0", "x1", "y1")
+    lines = merge.with_merge_flags(_classified(_wrapped(_pages(spark, sf_dir))))
+    return merge.merge_adjacent(lines).select("doc_id", "ord", "text", "page", "font_size", "bold", "x0", "y0", "x1", "y1")
 
 
 def multiline_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = merge.with_merge_flags(titles.layout_candidates(_dealt(_pages(spark, sf_dir))))
+    scored = merge.with_merge_flags(titles.layout_candidates(_dealt(_wrapped(_pages(spark, sf_dir)))))
     return merge.grow_candidates(scored, ["text"]).select("doc_id", "ord", "text", "merged_text", _value(F.col("merged_score"), "merged_score"))
 
 
@@ -453,7 +474,7 @@ def _sql() -> dict[str, str]:
             {O.all_caps('text')} AS all_caps, {O.title_or_caps('text')} AS title_or_caps,
             regexp_matches(regexp_extract(text, '\\p{{L}}'), '^\\p{{Lu}}') AS starts_capital, {O.period_end('text')} AS period_end, {O.incomplete('text')} AS incomplete
           FROM ({O.annotated(texts)})""",
-        "line_classes": f"""SELECT doc_id, ord, topical, author, fragment, sentence, {_short_name_sql()} AS short_name, abstract_mark, cover_role,
+        "line_classes": f"""SELECT doc_id, ord, topical, author, fragment, sentence, {O.short_name('text', 'topical')} AS short_name, abstract_mark, cover_role,
             {O.formula('text')} AS formula, {O.ocr_junk('text', 'topical')} AS ocr_junk, {O.person_names('text', 'word_count', 'topical')} AS names,
             coalesce(boilerplate, '') AS boilerplate, coalesce(venue, '') AS venue FROM ({O.classified(texts)})""",
         "metadata_validation": f"SELECT doc_id, meta_clean, meta_status FROM ({meta})",
@@ -484,6 +505,8 @@ def _sql() -> dict[str, str]:
         "model_errors": f"""SELECT page_id, CASE WHEN contains({m}, 'no longer available') OR (contains({m}, '404') AND contains({m}, 'model') AND NOT contains({m}, '429')) THEN 'missing_model'
             WHEN {any_of(model.DAILY_QUOTA)} THEN 'daily_quota' WHEN {any_of(model.RATE_LIMIT)} THEN 'rate_limit'
             WHEN regexp_matches(' ' || {m} || ' ', ' 40[13] |permission denied|unauthenticated') THEN 'auth' ELSE 'other' END AS kind, {any_of(model.FALLBACK_MARKERS)} AS blocked FROM pages""",
+        "merge_adjacent": f"SELECT doc_id, ord, text, page, font_size, bold, x0, y0, x1, y1 FROM {oracle_folds.merged(oracle_folds.flagged(O.with_bare_reject(oracle_folds.wrapped(pages))))}",
+        "multiline_title": oracle_folds.multiline_titles(oracle_folds.wrapped(pages)),
         "extract_without_model": f"""SELECT d.doc_id, CAST(NULL AS VARCHAR) AS title, 'unavailable' AS mode, CASE WHEN coalesce(f.text, '') = '' THEN {O.quoted(model.NO_TEXT)} ELSE {O.quoted(model.NO_KEY)} END AS reason,
             false AS quota_exhausted, coalesce(length(g.text), 0) < {rules.SPARSE_CHARS} AND coalesce(last, 0) > {rules.PRIMARY_PAGES} AS pages_extended, coalesce(length(f.text), 0) AS sent_chars
           FROM ({docs}) d LEFT JOIN ({front_sql(f"SELECT * FROM ({pages}) WHERE page <= {rules.PRIMARY_PAGES}")}) g ON d.doc_id = g.doc_id
@@ -493,10 +516,4 @@ def _sql() -> dict[str, str]:
     }
 
 
-def _short_name_sql() -> str:
-    w = O.alpha("text")
-    nouns = f"len(list_filter({w}, lambda w: lower(w) IN {O.members(rules.SHORT_NAME_NOUNS)} OR NOT regexp_matches(w, '^[A-Z]'))) = 0"
-    return f"(len({w}) BETWEEN 1 AND 3 AND NOT topical AND ({O.hit('text', r'\b(dr|prof|engr|mr|mrs|ms)\b')} OR {nouns}))"
-
-
 SQL: dict[str, str] = _sql()
