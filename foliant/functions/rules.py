@@ -203,6 +203,7 @@ CONTACT = r"[\w.+-]+@[\w-]+\.|\bdepartment of\b|\bcorresponding author\b"
 SUBMITTED = r"date of submission|submitted date|submitted on"
 PROSE_OPENER = r"^(the|this|these|those|there|it|we|for)\s"
 ID_CODE = r"\b[A-Z]{2,}\d{3,}/\d+"  # heeds case
+NAME_PREFIX = r"^(?:engr|dr|prof|mr|mrs|ms)\.\s"
 REPORT_KEY = "project report|final project"
 
 # ---- Fixed values: word lists ----

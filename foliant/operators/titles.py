@@ -24,6 +24,11 @@ COURSE_NEXT = "Used the topical line under a Course: label as the title."
 ALL_REJECTED = "Every candidate was rejected as boilerplate, header, or author text."
 NO_LINES = "No extractable lines to score."
 METADATA = "Validated PDF /Title metadata field."
+FULLER = "PDF /Title matches the in-PDF title and is more complete."
+AGREED = "In-PDF title agrees with /Title metadata; using the page text."
+OVER_LABEL = " Overrode /Title metadata with an explicit on-page Title label."
+OVER_ABSENT = " Overrode /Title metadata; that field does not appear on the page."
+OVER_WEAKER = " Overrode /Title metadata with the stronger in-PDF title."
 
 
 def drop_cover_pages(lines: DataFrame) -> DataFrame:
@@ -278,7 +283,7 @@ def layout_titles(lines: DataFrame, compose: bool = False) -> DataFrame:
         {
             "m_norm": X.exact_key(m),
             "m_author": P.looks_like_author(m, F.col("word_count"), F.col("m_topical")),
-            "m_short": X.matches(m, r"^(?:engr|dr|prof|mr|mrs|ms)\.\s") | P.looks_like_short_name(m, F.col("m_topical")),
+            "m_short": X.matches(m, rules.NAME_PREFIX) | P.looks_like_short_name(m, F.col("m_topical")),
             "m_prose": P.boilerplate_reason(m).isNotNull()
             | P.looks_like_fragment(m, F.col("m_words"))
             | P.looks_like_sentence(m, F.col("m_words"), F.col("m_topical")),
@@ -310,9 +315,7 @@ def _chosen(rows: DataFrame) -> DataFrame:
     why = F.substring_index(choice, ":", -1)
     had = F.coalesce("reason", F.lit(NO_LINES))
     overrode = (
-        F.when(F.col("source") == "labeled", " Overrode /Title metadata with an explicit on-page Title label.")
-        .when(why == "not_on_page", " Overrode /Title metadata; that field does not appear on the page.")
-        .otherwise(" Overrode /Title metadata with the stronger in-PDF title.")
+        F.when(F.col("source") == "labeled", OVER_LABEL).when(why == "not_on_page", OVER_ABSENT).otherwise(OVER_WEAKER)
     )
     rejected = F.struct(
         F.nullif(F.col("meta_clean"), F.lit("")).alias("title"), F.when(lost, why).otherwise(F.col("meta_status")).alias("reason")
@@ -325,8 +328,8 @@ def _chosen(rows: DataFrame) -> DataFrame:
         F.when(meta, 100.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
         F.when(choice == "metadata", F.lit(None).cast("int")).otherwise(F.col("page")).alias("page"),
         F.when(choice == "metadata", METADATA)
-        .when(choice == "metadata_fuller", "PDF /Title matches the in-PDF title and is more complete.")
-        .when(agreed, "In-PDF title agrees with /Title metadata; using the page text.")
+        .when(choice == "metadata_fuller", FULLER)
+        .when(agreed, AGREED)
         .when(lost, F.concat(had, overrode))
         .otherwise(had)
         .alias("reason"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from foliant.functions import rules
 from foliant.functions.text import WORD
 from foliant.operators import merge
+from foliant.operators import titles as T
 from foliant.plans import oracle as O
 
 
@@ -202,3 +203,175 @@ def wrapped(lines: str) -> str:
     ended = "text || CASE WHEN ord % 9 = 4 THEN ' Design Study' WHEN ord % 13 = 5 THEN ' of the' ELSE '' END"
     placed = f"""SELECT * REPLACE (ord // 40 + 1 AS page, {ended} AS text, CASE WHEN ord % 11 = 7 THEN 330.0 ELSE 72.0 + ord % 3 * 10 END AS x0, 40.0 + ord % 40 * 18 AS y0) FROM ({numbered})"""
     return f"SELECT * REPLACE (x0 + least(220.0, 5.0 * length(text)) AS x1, y0 + font_size AS y1) FROM ({placed})"
+
+
+def word_spans(lines: str) -> str:
+    """Every word as a span: two lines side by side, some words apart, some larger, every fifth line of OCR."""
+    words = f"SELECT *, unnest(range(len(w))) AS k FROM (SELECT *, string_split(text, ' ') AS w FROM ({lines}))"
+    left = "72.0 + ord % 2 * 270 + k * 45 + CASE WHEN k % 6 = 5 THEN 22 ELSE 0 END"
+    top = "40.0 + ord // 2 % 12 * 50 + k % 3"
+    big = "font_size + CASE WHEN k % 8 = 7 THEN 6 ELSE 0 END"
+    return f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) - 1 AS ord, w[k + 1] AS text, (ord // 24 + 1)::INT AS page, {big} AS font_size, bold,
+      {left} AS x0, {top} AS y0, {left} + 40 AS x1, {top} + font_size AS y1, CASE WHEN ord % 5 = 2 THEN 'ocr' ELSE 'native' END AS source FROM ({words}) WHERE w[k + 1] <> ''"""
+
+
+_SPAN = ("text", "font_size", "bold", "x0", "y0", "x1", "y1", "source")
+
+
+def _size1(s: str) -> str:
+    return f"(CASE WHEN {s}.font_size <> 0 THEN {s}.font_size ELSE 1.0 END)"
+
+
+def _cluster(s: str, c: str | None = None) -> str:
+    """What counts of a cluster: of the span alone, or with that of the cluster before."""
+    with_ = lambda f, n, own: f"{n} := {f}({c}.{n}, {own})" if c else f"{n} := {own}"
+    ocr = f"ocr := {c}.ocr OR {s}.source = 'ocr'" if c else f"ocr := {s}.source = 'ocr'"
+    fields = [with_("least", "top", f"{s}.y0"), with_("greatest", "bottom", f"{s}.y1"), with_("least", "lft", f"{s}.x0"), with_("greatest", "rgt", f"{s}.x1")]
+    return f"struct_pack({', '.join([*fields, with_('greatest', 'size', f'{s}.font_size'), with_('greatest', 'size1', _size1(s)), ocr])})"
+
+
+def _on_line(s: str, c: str) -> str:
+    """Whether a span shares the baseline of the cluster `c`."""
+    tall, line_tall = f"greatest({s}.y1 - {s}.y0, {_size1(s)}, 1.0)", f"greatest({c}.bottom - {c}.top, {c}.size1, 1.0)"
+    overlap = f"(least({s}.y1, {c}.bottom) - greatest({s}.y0, {c}.top))"
+    apart = f"abs(({s}.y0 + {s}.y1) / 2 - ({c}.top + {c}.bottom) / 2)"
+    gutter = f"greatest(0.0, {s}.x0 - {c}.rgt, {c}.lft - {s}.x1)"
+    a, b = f"{s}.font_size", f"{c}.size"
+    return (
+        f"(NOT ({overlap} <= 0.25 * least({tall}, {line_tall}) AND {apart} >= 0.4 * greatest({tall}, {line_tall}))"
+        f" AND NOT ({a} <> 0 AND {b} <> 0 AND abs({a} - {b}) > 0.30 * greatest({a}, {b}) AND {gutter} > 8)"
+        f" AND {gutter} <= CASE WHEN {c}.ocr OR {s}.source = 'ocr' THEN greatest(90.0, 0.16 * greatest({c}.rgt, {s}.x1, 1.0)) ELSE 20.0 END)"
+    )
+
+
+def _halves(a: str, b: str) -> str:
+    """Whether two lines, one of OCR at least, are halves of one line."""
+    tall = lambda x: f"greatest({x}.y1 - {x}.y0, CASE WHEN {x}.font_size <> 0 THEN {x}.font_size ELSE 1.0 END, 1.0)"
+    p, q = f"{a}.font_size", f"{b}.font_size"
+    return (
+        f"({a}.page = {b}.page AND 'ocr' IN ({a}.source, {b}.source) AND least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0) > 0.45 * least({tall(a)}, {tall(b)})"
+        f" AND NOT ({p} <> 0 AND {q} <> 0 AND abs({p} - {q}) > 0.18 * greatest({p}, {q}))"
+        f" AND greatest(0.0, {b}.x0 - {a}.x1, {a}.x0 - {b}.x1) <= greatest(90.0, 0.18 * greatest({a}.x1, {b}.x1, 1.0)))"
+    )
+
+
+def spans_to_lines(span_rows: str) -> str:
+    """(doc_id, ord, text, page, font_size, bold, span_count, x0, y0, x1, y1): visual lines of spans."""
+    home = f"coalesce(list_position(list_transform(acc.clusters, lambda c: {_on_line('x.s', 'c')}), true), 0)"
+    joined_in = f"list_transform(acc.clusters, lambda c, i: CASE WHEN i = h THEN {_cluster('x.s', 'c')} ELSE c END)"
+    step = f"""list_transform([{home}], lambda h: struct_pack(s := x.s, clusters := CASE WHEN h = 0 THEN list_append(acc.clusters, {_cluster('x.s')}) ELSE {joined_in} END,
+      homes := list_append(acc.homes, CASE WHEN h = 0 THEN len(acc.clusters) + 1 ELSE h END)))[1]"""
+    text = """list_reduce(list_transform(members[2:], lambda s: struct_pack(s := s, done := '')), lambda acc, x: struct_pack(s := x.s,
+      done := acc.done || CASE WHEN x.s.x0 - acc.s.x1 > 1.2 AND acc.done NOT LIKE '% ' AND x.s.text NOT LIKE ' %' THEN ' ' ELSE '' END || x.s.text),
+      struct_pack(s := members[1], done := members[1].text)).done"""
+    of = lambda f, n: f"{f}(list_transform(members, lambda m: m.{n}))"
+    main = "list_sort(list_transform(members, lambda m, i: struct_pack(a := -length(m.text), b := -m.font_size, i := i)))[1].i"
+    fields = ("page", "text", "font_size", "bold", "source", "span_count", "x0", "y0", "x1", "y1")
+    last = "acc.done[-1]"
+    both = f"""struct_pack(page := {last}.page, text := trim(trim({last}.text) || ' ' || trim(x.l.text)), font_size := greatest({last}.font_size, x.l.font_size),
+      bold := {last}.bold OR x.l.bold, source := 'ocr', span_count := {last}.span_count + x.l.span_count, x0 := round(least({last}.x0, x.l.x0), 2),
+      y0 := round(least({last}.y0, x.l.y0), 2), x1 := round(greatest({last}.x1, x.l.x1), 2), y1 := round(greatest({last}.y1, x.l.y1), 2))"""
+    return f"""WITH pages_ AS (SELECT doc_id, page, list({_struct(_SPAN)} ORDER BY y0, x0, ord) AS found FROM ({span_rows}) GROUP BY doc_id, page),
+      folded AS (SELECT doc_id, page, found, list_reduce(list_transform(found[2:], lambda s: struct_pack(s := s, clusters := list_slice([{_cluster('s')}], 1, 0), homes := list_slice([1::BIGINT], 1, 0))),
+        lambda acc, x: {step}, struct_pack(s := found[1], clusters := [{_cluster('found[1]')}], homes := [1::BIGINT])).homes AS homes FROM pages_),
+      members_ AS (SELECT doc_id, page, unnest(found) AS s, unnest(homes) AS number, unnest(range(len(found))) AS i FROM folded),
+      rows_ AS (SELECT doc_id, page, number, list(s ORDER BY s.x0, s.y0, i) AS members FROM members_ GROUP BY doc_id, page, number),
+      lines_ AS (SELECT doc_id, page, number, trim(regexp_replace({text}, '[ \t]+', ' ', 'g')) AS text, round({of('list_max', 'font_size')}, 2) AS font_size,
+        len(list_filter(members, lambda m: m.bold)) > 0 AS bold, members[{main}].source AS source, len(members) AS span_count, round({of('list_min', 'x0')}, 2) AS x0,
+        round({of('list_min', 'y0')}, 2) AS y0, round({of('list_max', 'x1')}, 2) AS x1, round({of('list_max', 'y1')}, 2) AS y1 FROM rows_),
+      docs_ AS (SELECT doc_id, list({_struct(fields)} ORDER BY page, y0, x0, number) AS found FROM lines_ WHERE text <> '' GROUP BY doc_id),
+      whole AS (SELECT doc_id, list_reduce(list_transform(found[2:], lambda l: struct_pack(l := l, done := list_slice(found, 1, 0))),
+        lambda acc, x: struct_pack(l := x.l, done := CASE WHEN {_halves(last, 'x.l')} THEN list_append(acc.done[:-2], {both}) ELSE list_append(acc.done, x.l) END),
+        struct_pack(l := found[1], done := [found[1]])).done AS done FROM docs_),
+      out_ AS (SELECT doc_id, unnest(done) AS l, unnest(range(len(done))) AS i, coalesce(list_max(list_transform(list_filter(done, lambda d: d.source = 'ocr'), lambda d: d.font_size)), 0) AS peak FROM whole)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l.page, l.y0, l.x0, i) - 1 AS ord, l.text AS text, l.page AS page, l.font_size AS font_size,
+        l.bold OR (l.source = 'ocr' AND peak > 0 AND l.font_size >= 0.97 * peak) AS bold, l.span_count AS span_count, l.x0 AS x0, l.y0 AS y0, l.x1 AS x1, l.y1 AS y1 FROM out_"""
+
+
+def labels(classified: str) -> str:
+    """(doc_id, title, page, reason): the first line that says what the title is."""
+    part = lambda pattern: O.collapse(f"regexp_extract(text, {O.quoted(pattern)}, 1, 'i')")
+    course = f"trim(regexp_replace({part(rules.COURSE_LINE)}, {O.quoted(rules.COURSE_PREFIX)}, '', 'i'))"
+    fine = "word_count >= 3 AND topical AND boilerplate IS NULL AND NOT sentence"
+    named = f"""SELECT *, {part(rules.LABELLED_TITLE)} AS label, regexp_replace({part(rules.PRINT_CHROME_TITLE)}, '^I\\s+', '') AS chrome, {course} AS course_title,
+      {O.hit('text', rules.COURSE_LINE)} AS is_course, CASE WHEN lead(page) OVER o = page THEN lead(CASE WHEN {fine} THEN text END) OVER o END AS following
+      FROM ({classified}) WINDOW o AS (PARTITION BY doc_id ORDER BY page, y0, ord)"""
+    ok = f"({O.n_words('course_title')} >= 3 AND {O.topical('course_title')})"
+    chosen = f"""SELECT *, CASE WHEN label <> '' THEN label WHEN chrome <> '' THEN chrome WHEN is_course AND {ok} THEN course_title WHEN is_course THEN following END AS title,
+      CASE WHEN label <> '' THEN {O.quoted(T.LABEL)} WHEN chrome <> '' THEN {O.quoted(T.CHROME)} WHEN {ok} THEN {O.quoted(T.COURSE)} ELSE {O.quoted(T.COURSE_NEXT)} END AS why FROM ({named})"""
+    counted = f"SELECT *, {O.n_words('title')} AS n, {O.topical('title')} AS about FROM ({chosen}) WHERE title <> ''"
+    return f"""SELECT doc_id, s.t AS title, s.p AS page, s.w AS reason FROM (
+      SELECT doc_id, min_by(struct_pack(t := title, p := page, w := why), struct_pack(p := page, y := y0, o := ord)) AS s FROM ({counted})
+      WHERE n >= {rules.MIN_WORDS} AND {O.boilerplate('title')} IS NULL AND NOT {O.sentence('title', 'n', 'about')} GROUP BY doc_id)"""
+
+
+def fallbacks(rejected: str) -> str:
+    return f"""SELECT doc_id, s.t AS title, s.p AS page FROM (SELECT doc_id, max_by(struct_pack(t := text, p := page), struct_pack(a := font_size, b := word_count, c := -y0, d := -ord)) AS s
+      FROM ({rejected}) WHERE reject_bare IS NULL AND word_count >= {rules.MIN_WORDS} AND topical AND NOT fragment AND NOT sentence GROUP BY doc_id)"""
+
+
+_RANKED = (
+    "ord", "text", "norm", "page", "score", "topical", "all_caps", "word_count", "author", "prose", "signal_sum", "merged_text", "merged_score", "m_norm",
+    "m_author", "m_short", "m_prose",
+)
+
+
+def detected(meta: str, lines: str) -> str:
+    """One row per row of `meta` (doc_id, meta_clean, meta_status): the title, why, and what it was chosen over."""
+    m = "merged_text"
+    signal_sum = " + ".join(f"round(s_{k}, 2)" for k in rules.WEIGHTS)
+    apart = lambda c, t: f"NOT ({c}.norm <> '' AND {t}.m_norm <> '' AND (contains({c}.norm, {t}.m_norm) OR contains({t}.m_norm, {c}.norm)))"
+    form = "(NOT r[1].topical OR (r[1].all_caps AND r[1].word_count <= 8))"
+    margin = "(r[1].score - early[1].score)"
+    sure = f"score >= {rules.HIGH_SCORE} AND margin >= {rules.HIGH_MARGIN}"
+    k, tk = O.key("meta_clean"), O.key("coalesce(title, '')")
+    packed = f"replace({k}, ' ', '')"
+    same = f"({k} <> '' AND {tk} <> '' AND (contains({k}, {tk}) OR contains({tk}, {k})))"
+    strong, usable = f"(confidence = 'high' OR score >= {rules.HIGH_SCORE})", f"(confidence IN ('high', 'medium') OR score >= {rules.MEDIUM_SCORE})"
+    on_page = f"(length({k}) >= 8 AND (contains(coalesce(blob, ''), {k}) OR (length({packed}) >= 10 AND contains(replace(coalesce(blob, ''), ' ', ''), {packed}))))"
+    return f"""WITH raw AS MATERIALIZED ({O.with_bare_reject(lines)}), c AS MATERIALIZED ({candidates(lines)}),
+      raw_label AS ({labels('SELECT * FROM raw')}), own_label AS ({labels('SELECT * FROM c')}), spare AS ({fallbacks('SELECT * FROM c')}),
+      early_keys AS (SELECT doc_id, string_agg(norm, ' ' ORDER BY ord) AS blob FROM raw WHERE page <= 3 GROUP BY doc_id),
+      g AS ({grown('SELECT * FROM c')}),
+      merged_ AS (SELECT c.*, boilerplate IS NOT NULL OR fragment OR sentence AS prose, {signal_sum} AS signal_sum, merged_text, merged_score,
+        {O.n_words(m)} AS m_words, {O.topical(m)} AS m_topical, {O.key(m)} AS m_norm FROM c JOIN g ON c.doc_id = g.doc_id AND c.ord = g.g_ord),
+      judged AS (SELECT *, {O.author(m, 'word_count', 'm_topical')} AS m_author, {O.hit(m, rules.NAME_PREFIX)} OR {O.short_name(m, 'm_topical')} AS m_short,
+        {O.boilerplate(m)} IS NOT NULL OR {O.fragment(m, 'm_words')} OR {O.sentence(m, 'm_words', 'm_topical')} AS m_prose FROM merged_),
+      ranked AS (SELECT doc_id, list({_struct(_RANKED)} ORDER BY score DESC, ord) AS r FROM judged GROUP BY doc_id),
+      a AS (SELECT *, list_filter(r, lambda x: x.page <= 2) AS early, list_filter(r, lambda x: x.page <= 2 AND x.topical) AS about FROM ranked),
+      b AS (SELECT *, CASE WHEN len(early) > 0 AND r[1].page > 2 THEN CASE WHEN {form} AND len(about) > 0 THEN about[1] WHEN {margin} < 12 OR ({form} AND {margin} < 22) THEN early[1] ELSE r[1] END
+        ELSE r[1] END AS t1 FROM a),
+      d AS (SELECT *, list_filter(r, lambda x: {apart('x', 't1')} AND NOT x.author) AS others FROM b),
+      e AS (SELECT *, CASE WHEN t1.m_author AND len(others) > 0 THEN others[1] ELSE t1 END AS t2, (t1.m_author AND len(others) = 0) AS no_other FROM d),
+      f AS (SELECT *, no_other OR t2.m_short AS give_up, list_filter(r, lambda x: {apart('x', 't2')} AND NOT (x.prose OR x.author)) AS plain FROM e),
+      h AS (SELECT *, CASE WHEN t2.m_prose AND len(plain) > 0 THEN plain[1] ELSE t2 END AS t FROM f),
+      i AS (SELECT *, list_filter(r, lambda x: {apart('x', 't')}) AS rivals FROM h),
+      j AS (SELECT doc_id, give_up, t, rivals, t.merged_score AS score, t.merged_score - coalesce(rivals[1].score, 0.0) AS margin FROM i),
+      best AS (SELECT *, CASE WHEN {sure} AND NOT {ends_open('t.merged_text')} THEN 'high' WHEN score >= {rules.MEDIUM_SCORE} THEN 'medium' ELSE 'low' END AS confidence FROM j),
+      found AS (SELECT DISTINCT doc_id FROM c),
+      layout AS (SELECT found.doc_id, coalesce(o.title, w.title) AS label, coalesce(o.page, w.page) AS label_page, CASE WHEN o.title IS NOT NULL THEN o.reason ELSE w.reason END AS label_reason,
+        s.title AS spare, s.page AS spare_page, best.* EXCLUDE (doc_id, confidence, score), best.confidence AS sure, best.score AS value, best.doc_id IS NOT NULL AS any_candidate,
+        CASE WHEN label IS NOT NULL THEN 'label' WHEN s.title IS NOT NULL AND coalesce(give_up, true) THEN 'spare' WHEN best.doc_id IS NOT NULL THEN 'best' ELSE 'none' END AS kind
+        FROM found LEFT JOIN own_label o ON found.doc_id = o.doc_id LEFT JOIN raw_label w ON found.doc_id = w.doc_id LEFT JOIN spare s ON found.doc_id = s.doc_id LEFT JOIN best ON found.doc_id = best.doc_id),
+      told AS (SELECT doc_id, kind, CASE kind WHEN 'label' THEN label WHEN 'spare' THEN spare WHEN 'best' THEN t.merged_text END AS title,
+        CASE kind WHEN 'label' THEN 'labeled' WHEN 'none' THEN NULL ELSE 'heuristic' END AS source, CASE kind WHEN 'label' THEN 'high' WHEN 'spare' THEN 'medium' WHEN 'best' THEN sure ELSE 'low' END AS confidence,
+        CASE kind WHEN 'label' THEN 95.0 WHEN 'spare' THEN 40.0 WHEN 'best' THEN round(value, 2) ELSE 0.0 END AS score,
+        CASE kind WHEN 'label' THEN label_page WHEN 'spare' THEN spare_page WHEN 'best' THEN t.page END AS page,
+        CASE kind WHEN 'label' THEN label_reason WHEN 'spare' THEN {O.quoted(T.FALLBACK)} WHEN 'best' THEN {O.quoted(T.HEURISTIC)} ELSE {O.quoted(T.ALL_REJECTED)} END AS reason,
+        CASE kind WHEN 'label' THEN 95.0 WHEN 'best' THEN t.signal_sum ELSE 0.0 END AS signal_sum, CASE kind WHEN 'best' THEN 1 + least(7, len(rivals)) ELSE 0 END AS n_alternatives,
+        CASE kind WHEN 'best' THEN rivals[1].text END AS runner_up, CASE kind WHEN 'best' THEN round(rivals[1].score, 2) END AS runner_up_score FROM layout),
+      both_ AS (SELECT x.doc_id, meta_clean, meta_status, y.* EXCLUDE (doc_id), {on_page} AS on_page FROM ({meta}) x LEFT JOIN told y ON x.doc_id = y.doc_id LEFT JOIN early_keys z ON x.doc_id = z.doc_id),
+      decided AS (SELECT *, CASE WHEN meta_status <> 'ok' THEN 'layout' WHEN trim(coalesce(title, '')) = '' THEN 'metadata'
+        WHEN {same} AND contains({k}, {tk}) AND length({k}) > length({tk}) + 10 AND on_page THEN 'metadata_fuller' WHEN {same} THEN 'agreed'
+        WHEN source = 'labeled' AND {usable} THEN 'layout:page_title_differs' WHEN {strong} THEN CASE WHEN on_page THEN 'layout:page_title_differs' ELSE 'layout:not_on_page' END
+        WHEN {usable} AND NOT on_page THEN 'layout:not_on_page' ELSE 'metadata' END AS choice FROM both_),
+      named AS (SELECT *, starts_with(choice, 'metadata') AS by_meta, starts_with(choice, 'layout:') AS lost FROM decided)
+      SELECT doc_id, CASE WHEN by_meta THEN meta_clean ELSE title END AS title, CASE WHEN by_meta THEN 'metadata' ELSE source END AS source,
+        CASE WHEN by_meta OR choice = 'agreed' THEN 'high' ELSE coalesce(confidence, 'low') END AS confidence, CASE WHEN by_meta THEN 100.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score,
+        CASE WHEN choice <> 'metadata' THEN page END::INT AS page,
+        CASE WHEN choice = 'metadata' THEN {O.quoted(T.METADATA)} WHEN choice = 'metadata_fuller' THEN {O.quoted(T.FULLER)} WHEN choice = 'agreed' THEN {O.quoted(T.AGREED)}
+          WHEN lost THEN coalesce(reason, {O.quoted(T.NO_LINES)}) || CASE WHEN source = 'labeled' THEN {O.quoted(T.OVER_LABEL)} WHEN choice = 'layout:not_on_page' THEN {O.quoted(T.OVER_ABSENT)} ELSE {O.quoted(T.OVER_WEAKER)} END
+          ELSE coalesce(reason, {O.quoted(T.NO_LINES)}) END AS reason,
+        CASE WHEN by_meta THEN 100.0 ELSE round(coalesce(signal_sum, 0.0), 2) END::DOUBLE AS signal_sum, CASE WHEN by_meta THEN 0 ELSE coalesce(n_alternatives, 0) END::INT AS n_alternatives,
+        CASE WHEN NOT by_meta THEN runner_up END AS runner_up, CASE WHEN NOT by_meta THEN runner_up_score END AS runner_up_score,
+        CASE WHEN lost OR choice = 'layout' THEN nullif(meta_clean, '') END AS rejected_title, CASE WHEN lost THEN substr(choice, 8) WHEN choice = 'layout' THEN meta_status END AS rejected_reason FROM named"""

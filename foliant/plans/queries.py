@@ -306,22 +306,45 @@ def multiline_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of a page's lines as a span of its own."""
+    """Every word of a page's lines as a span of its own: two lines side by side, some words apart, some
+    larger, every fifth line of OCR."""
     words = _pages(spark, sf_dir).withColumn("w", F.split("text", " ")).select("*", F.posexplode("w").alias("k", "word")).where("word <> ''")
-    width = (F.col("x1") - F.col("x0")) / F.size("w")
-    left = F.col("x0") + F.col("k") * width
+    at, k = F.col("ord"), F.col("k")
+    left = 72.0 + at % 2 * 270 + k * 45 + F.when(k % 6 == 5, 22).otherwise(0)
+    top = 40.0 + F.floor(at / 2) % 12 * 50 + k % 3
     src = words.select(
         "doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "k")) - 1).cast("int").alias("ord"), F.col("word").alias("text"),
-        "page", "font_name", "font_size", "bold", "italic", left.alias("x0"), "y0", (left + width - 2).alias("x1"), "y1", "block", "line", "source",
-        F.lit(None).cast("double").alias("confidence"),
+        (F.floor(at / 24) + 1).cast("int").alias("page"), "font_name", (F.col("font_size") + F.when(k % 8 == 7, 6).otherwise(0)).alias("font_size"), "bold", "italic",
+        left.alias("x0"), top.alias("y0"), (left + 40).alias("x1"), (top + F.col("font_size")).alias("y1"), "block", "line",
+        F.when(at % 5 == 2, "ocr").otherwise("native").alias("source"), F.lit(None).cast("double").alias("confidence"),
     )
     return spans.spans_to_lines(src).select("doc_id", "ord", "text", "page", "font_size", "bold", "span_count", "x0", "y0", "x1", "y1")
 
 
-def detect_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flat(found: DataFrame) -> DataFrame:
+    """Titles with plain columns in place of maps, lists and structs."""
+    total = F.aggregate(F.map_values("signals"), F.lit(0.0), lambda s, x: s + x)
+    second = F.get("alternatives", F.lit(1))
+    return found.select(
+        "doc_id", "title", "source", "confidence", "score", "page", "reason", F.round(total, 2).alias("signal_sum"), F.size("alternatives").alias("n_alternatives"),
+        second["text"].alias("runner_up"), second["score"].alias("runner_up_score"), F.col("rejected_metadata.title").alias("rejected_title"),
+        F.col("rejected_metadata.reason").alias("rejected_reason"),
+    )
+
+
+def titles_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.detect_titles(_docs(spark, sf_dir), _pages(spark, sf_dir))
 
 
+def detect_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(titles_of_pages(spark, sf_dir))
+
+
+def detect_wrapped_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over lines that are close enough to be joined."""
+    return _flat(titles.detect_titles(_docs(spark, sf_dir), _wrapped(_pages(spark, sf_dir))))
+
+
 def extract_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job without a key: no title, and why."""
     out = extract_titles(_docs(spark, sf_dir), _pages(spark, sf_dir), Options())
@@ -371,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "multiline_title": multiline_title,
     "spans_to_lines": spans_to_lines,
     "detect_title": detect_title,
+    "detect_wrapped_title": detect_wrapped_title,
     "extract_without_model": extract_without_model,
 }
 
@@ -506,6 +530,9 @@ def _sql() -> dict[str, str]:
             WHEN {any_of(model.DAILY_QUOTA)} THEN 'daily_quota' WHEN {any_of(model.RATE_LIMIT)} THEN 'rate_limit'
             WHEN regexp_matches(' ' || {m} || ' ', ' 40[13] |permission denied|unauthenticated') THEN 'auth' ELSE 'other' END AS kind, {any_of(model.FALLBACK_MARKERS)} AS blocked FROM pages""",
         "merge_adjacent": f"SELECT doc_id, ord, text, page, font_size, bold, x0, y0, x1, y1 FROM {oracle_folds.merged(oracle_folds.flagged(O.with_bare_reject(oracle_folds.wrapped(pages))))}",
+        "spans_to_lines": oracle_folds.spans_to_lines(oracle_folds.word_spans(pages)),
+        "detect_title": oracle_folds.detected(meta, pages),
+        "detect_wrapped_title": oracle_folds.detected(meta, oracle_folds.wrapped(pages)),
         "multiline_title": oracle_folds.multiline_titles(oracle_folds.wrapped(pages)),
         "extract_without_model": f"""SELECT d.doc_id, CAST(NULL AS VARCHAR) AS title, 'unavailable' AS mode, CASE WHEN coalesce(f.text, '') = '' THEN {O.quoted(model.NO_TEXT)} ELSE {O.quoted(model.NO_KEY)} END AS reason,
             false AS quota_exhausted, coalesce(length(g.text), 0) < {rules.SPARSE_CHARS} AND coalesce(last, 0) > {rules.PRIMARY_PAGES} AS pages_extended, coalesce(length(f.text), 0) AS sent_chars
