@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from foliant.functions import rules
 from foliant.functions.text import (
+    Line,
     alpha_words,
     capitals,
     ends_with_period,
     exact_key,
+    has_word,
     letters,
     matches,
     mostly_all_caps,
     mostly_title_or_caps,
+    parts,
     starts_lower,
 )
 
-#: The name-list pattern backtracks; longer lines have too many words for it anyway.
-NAME_LIST_CHARS = 2000
+Text = Column | Line
 
 
-def first_match(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
+def first_match(text: Text, table: tuple[tuple[str, str], ...]) -> Column:
     """Reason of the first rule that matches, or null."""
     out = None
     for pattern, reason in table:
@@ -31,36 +33,35 @@ def first_match(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
     return out
 
 
-def boilerplate_reason(text: Column) -> Column:
-    known = exact_key(text).isin(*rules.NEVER_TITLES, *rules.GENERIC_TITLES)
+def boilerplate_reason(text: Text) -> Column:
+    known = exact_key(parts(text).text).isin(*rules.NEVER_TITLES, *rules.GENERIC_TITLES)
     return F.when(known, "boilerplate").otherwise(first_match(text, rules.LINE_RULES))
 
 
-def venue_reason(text: Column) -> Column:
+def venue_reason(text: Text) -> Column:
     return first_match(text, rules.VENUE_RULES)
 
 
-def looks_topical(text: Column) -> Column:
-    return matches(text, rf"\b({'|'.join(rules.TOPICAL)})\b")
+def looks_topical(text: Text) -> Column:
+    return has_word(text, rules.TOPICAL)
 
 
-def is_venue_line(text: Column, venue: Column, n_words: Column) -> Column:
+def is_venue_line(text: Text, venue: Column, n_words: Column) -> Column:
     """The whole line names a journal or the like, rather than being a title about one."""
     named = F.coalesce(venue.isin("journal", "proceedings", "transactions"), F.lit(False))
-    return ~text.contains(":") & ~matches(text, rules.VENUE_EXEMPT) & named & (n_words <= 14)
+    return named & (n_words <= 14) & ~parts(text).text.contains(":") & ~matches(text, rules.VENUE_EXEMPT)
 
 
 def _is_name_token(w: Column) -> Column:
-    shaped = w.rlike(r"^(?:[A-Z](?:\.[A-Z])+\.?|[A-Z]\.?|[A-Z]\.[A-Z][a-z]+|[A-Z][a-z]+\.[A-Z]\.?|[A-Z][a-z]{1,20}|[a-z]{3,20})$")
     shouted = (F.length(w) > 2) & (F.upper(w) == w) & (F.lower(w) != w)
-    return shaped & ~F.lower(w).isin(*rules.NAME_STOPS) & ~shouted
+    return w.rlike(rules.NAME_TOKEN) & ~F.lower(w).isin(*rules.NAME_STOPS) & ~shouted
 
 
-def looks_like_person_names(text: Column, n_words: Column, topical: Column) -> Column:
-    tokens = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z.'’-]*)"), F.lit(1))
+def looks_like_person_names(text: Text, n_words: Column, topical: Column) -> Column:
+    tokens = F.regexp_extract_all(parts(text).text, F.lit(r"([A-Za-z][A-Za-z.'’-]*)"), F.lit(1))
     count = F.size(tokens)
     named = F.size(F.filter(tokens, _is_name_token))
-    initial = F.exists(tokens, lambda w: w.rlike(r"^(?:[A-Z](?:\.[A-Z])+\.?|[A-Z]\.)$"))
+    initial = F.exists(tokens, lambda w: w.rlike(rules.INITIALS))
     two = (
         (n_words == 2)
         & (named == 2)
@@ -78,55 +79,57 @@ def looks_like_person_names(text: Column, n_words: Column, topical: Column) -> C
     )
 
 
-def looks_like_author(text: Column, n_words: Column, topical: Column) -> Column:
+def looks_like_author(text: Text, n_words: Column, topical: Column) -> Column:
     """Names, affiliations, addresses."""
-    commas = F.regexp_count(text, F.lit(","))
+    t = parts(text).text
+    commas = F.regexp_count(t, F.lit(","))
     plain = ~topical & (
         matches(text, rules.INSTITUTION)
         | matches(text, rules.AFFILIATION)
-        | ((commas >= 2) & (n_words <= 22))
-        | ((commas >= 1) & (n_words <= 18) & matches(text, r"\b(and|&)\b"))
-        | ((n_words <= 10) & matches(text, r"^[^\W\d_][\w.'’-]+(?:\s+[^\W\d_][\w.'’-]+){1,3}\s+(?:and|&)\s+[^\W\d_]", case=True))
+        | ((n_words <= 22) & (commas >= 2))
+        | ((n_words <= 18) & (commas >= 1) & matches(text, rules.CONJUNCTION))
+        | ((n_words <= 10) & matches(text, rules.TWO_NAMES, case=True))
     )
-    listed = F.when((F.length(text) <= NAME_LIST_CHARS) & (n_words <= 16), matches(text, rules.NAME_LIST)).otherwise(False)
+    # rules.NAME_LIST name by name: as one pattern it would recurse once for each name.
+    listed = (n_words <= 16) & (commas >= 1) & F.forall(F.split(t, ","), lambda name: matches(name, rules.NAME_LIST_PART))
     return (
-        (text.contains("/") & matches(text, r"\b[A-Z]{2,}\d{3,}/\d+", case=True))
-        | (text.contains("@") & matches(text, r"[\w.+-]+@[\w-]+\.", case=True))
-        | matches(text, r"\bcorresponding author\b")
+        (t.contains("/") & matches(text, rules.ID_CODE, case=True))
+        | (t.contains("@") & matches(text, rules.EMAIL, case=True))
+        | matches(text, rules.CORRESPONDING)
         | plain
         | listed
         # The second pattern tries four words from every letter; its end alone is cheap to look for.
-        | (matches(text, r"[\d*†‡]\s*,\s*[^\W\d_]", case=True) & matches(text, r"[^\W\d_][\w.'-]+(?:\s+[\w.'-]+){0,3}\s*[\d*†‡]+(?:\s*,\s*[^\W\d_])", case=True))
-        | (matches(text, r"\b[A-Z]\.\s*[A-Z]\.\s*[A-Z][a-z]+", case=True) & text.contains(","))
+        | ((commas >= 1) & matches(text, r"[\d*†‡]\s*,\s*[^\W\d_]", case=True) & matches(text, rules.MARKED_NAME, case=True))
+        | ((commas >= 1) & matches(text, rules.TWO_INITIALS, case=True))
         | looks_like_person_names(text, n_words, topical)
     )
 
 
-def looks_like_fragment(text: Column, n_words: Column) -> Column:
+def looks_like_fragment(text: Text, n_words: Column) -> Column:
     """The middle of a paragraph."""
-    return (starts_lower(text) & (n_words >= 6)) | (
-        (n_words >= 8) & matches(F.ltrim(text), r"^(more than|of the|in the same|to compare|as well as|so it was)\b")
-    )
+    t = parts(text).text
+    return (starts_lower(t) & (n_words >= 6)) | ((n_words >= 8) & matches(F.ltrim(t), rules.FRAGMENT_OPENER))
 
 
-def looks_like_sentence(text: Column, n_words: Column, topical: Column) -> Column:
-    finite = matches(text, rules.FINITE_VERB)
+def looks_like_sentence(text: Text, n_words: Column, topical: Column) -> Column:
+    t = parts(text).text
+    finite = has_word(text, rules.FINITE_VERBS)
     titled = mostly_title_or_caps(text)
-    opener = matches(text, r"^(the|this|these|those|it|we|our|i)\s")
+    opener = matches(t, rules.SENTENCE_OPENER)
     return (
-        ((n_words >= 10) & matches(text, r"^(the|this|these|those|it|we|our)\s") & finite)
+        ((n_words >= 10) & matches(t, rules.SENTENCE_SUBJECT) & finite)
         | ((n_words >= 11) & finite & ~titled)
-        | matches(text, r"\bI successfully\b|\bwe successfully\b")
-        | (matches(text, r"\bI\s+\w+ed\b", case=True) & ~text.contains(":") & ~titled)
-        | ((n_words >= 12) & ends_with_period(text) & (opener | finite | ~topical))
-        | ((n_words >= 8) & opener & matches(text, r"\b(thank|thanks|gratitude|extend|express|acknowledge)\b"))
-        | ((n_words >= 12) & matches(text, r"\b(comprises|which will|in order to|is used for|include a)\b"))
-        | ((n_words >= 8) & matches(text, r"^[A-Z][A-Z\s]+:\s*[-–]?\s*(it|this|the)\s+\w+"))
+        | matches(text, rules.FIRST_PERSON)
+        | (matches(text, rules.FIRST_PERSON_PAST, case=True) & ~t.contains(":") & ~titled)
+        | ((n_words >= 12) & ends_with_period(t) & (opener | finite | ~topical))
+        | ((n_words >= 8) & opener & matches(text, rules.THANKS))
+        | ((n_words >= 12) & matches(text, rules.SENTENCE_PHRASE))
+        | ((n_words >= 8) & matches(t, rules.LABELLED_SENTENCE))
     )
 
 
-def looks_like_formula(text: Column) -> Column:
-    tokens = F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), F.lit(1))
+def looks_like_formula(text: Text) -> Column:
+    tokens = F.regexp_extract_all(parts(text).text, F.lit(r"(?U)(\S+)"), F.lit(1))
     cores = F.transform(tokens, lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", ""))
     short = F.filter(
         cores, lambda w: (w != "") & ~F.lower(w).isin(*rules.FORMULA_SKIP) & (w.rlike("^[0-9]+$") | (F.length(w) == 1))
@@ -134,7 +137,7 @@ def looks_like_formula(text: Column) -> Column:
     return (F.size(tokens) >= 6) & (F.size(short) >= 0.4 * F.size(tokens))
 
 
-def looks_like_ocr_junk(text: Column, topical: Column) -> Column:
+def looks_like_ocr_junk(text: Text, topical: Column) -> Column:
     w = alpha_words(text)
     longest = F.array_max(F.transform(w, F.length))
     return (F.size(w) == 0) | F.coalesce(
@@ -147,10 +150,10 @@ def looks_like_ocr_junk(text: Column, topical: Column) -> Column:
     )
 
 
-def looks_like_short_name(text: Column, topical: Column) -> Column:
+def looks_like_short_name(text: Text, topical: Column) -> Column:
     w = alpha_words(text)
     names = ~F.exists(w, lambda x: F.lower(x).isin(*rules.SHORT_NAME_NOUNS)) & F.forall(w, lambda x: x.rlike("^[A-Z]"))
-    return F.size(w).between(1, 3) & ~topical & (matches(text, r"\b(dr|prof|engr|mr|mrs|ms)\b") | names)
+    return F.size(w).between(1, 3) & ~topical & (matches(text, rules.HONORIFIC) | names)
 
 
 def without_section_number(text: Column) -> Column:

@@ -169,6 +169,7 @@ NAME_LIST = (
     r"^[^\W\d_][\w.'’-]+(?:\s+[^\W\d_][\w.'’.-]+){0,4}"
     r"(?:\s*,\s*[^\W\d_][\w.'’-]+(?:\s+[^\W\d_][\w.'’.-]+){0,4}){1,}$"
 )
+NAME_LIST_PART = r"^\s*[^\W\d_][\w.'’-]+(?:\s+[^\W\d_][\w.'’.-]+){0,4}\s*$"
 INSTITUTION = r"^(?:the\s+)?(?:national\s+|international\s+)?(?:university|institute|college|department|faculty|school)\b"
 LABELLED_TITLE = r"^(?:project\s+titt?le|thesis\s+title|report\s+title|title)\s*[:\-]\s*(.+)$"
 PRINT_CHROME_TITLE = r"\d{1,2}/\d{1,2}/\d{2,4}[^|]*\|\s*(.+?)\s*\|\s*by\s+"
@@ -190,14 +191,47 @@ COVER_ROLE = (
     r"^(?:submitted\s+by|submitted\s+to|under\s+the\s+guidance|guided\s+by|prepared\s+by|presented\s+by|a\s+project\s+report|"
     r"in\s+partial\s+fulfill?ment)\b"
 )
-FINITE_VERB = (
-    r"\b(is|are|was|were|been|have|has|had|include|includes|comprises|will|can|may|should|does|did|plays|play|provides|makes|"
-    r"describes|presents|perform|performs|deployed|successfully|begins|begin|focuses|depends|consists|gives|relates)\b"
-)
 NOT_A_NAME = r"\b(of|for|with|using|from|into|on|to|by|and the)\b"
 VENUE_EXEMPT = r"\b(using|based|towards|toward|analysis|study|effect|impact|role|for)\b"
 INTRODUCTION_TO = r"\bintroduction\s+to\b"
 
+# ---- Fixed values: tests of names and affiliations; those that heed case say so ----
+EMAIL = r"[\w.+-]+@[\w-]+\."
+CORRESPONDING = r"\bcorresponding author\b"
+CONJUNCTION = r"\b(and|&)\b"
+TWO_NAMES = r"^[^\W\d_][\w.'’-]+(?:\s+[^\W\d_][\w.'’-]+){1,3}\s+(?:and|&)\s+[^\W\d_]"  # heeds case
+MARKED_NAME = r"[^\W\d_][\w.'-]+(?:\s+[\w.'-]+){0,3}\s*[\d*†‡]+(?:\s*,\s*[^\W\d_])"  # heeds case
+TWO_INITIALS = r"\b[A-Z]\.\s*[A-Z]\.\s*[A-Z][a-z]+"  # heeds case
+NAME_TOKEN = r"^(?:[A-Z](?:\.[A-Z])+\.?|[A-Z]\.?|[A-Z]\.[A-Z][a-z]+|[A-Z][a-z]+\.[A-Z]\.?|[A-Z][a-z]{1,20}|[a-z]{3,20})$"  # heeds case
+INITIALS = r"^(?:[A-Z](?:\.[A-Z])+\.?|[A-Z]\.)$"  # heeds case
+HONORIFIC = r"\b(dr|prof|engr|mr|mrs|ms)\b"
+
+# ---- Fixed values: tests of running text ----
+FRAGMENT_OPENER = r"^(more than|of the|in the same|to compare|as well as|so it was)\b"
+SENTENCE_SUBJECT = r"^(the|this|these|those|it|we|our)\s"
+SENTENCE_OPENER = r"^(the|this|these|those|it|we|our|i)\s"
+FIRST_PERSON = r"\bI successfully\b|\bwe successfully\b"
+FIRST_PERSON_PAST = r"\bI\s+\w+ed\b"  # heeds case
+THANKS = r"\b(thank|thanks|gratitude|extend|express|acknowledge)\b"
+SENTENCE_PHRASE = r"\b(comprises|which will|in order to|is used for|include a)\b"
+LABELLED_SENTENCE = r"^[A-Z][A-Z\s]+:\s*[-–]?\s*(it|this|the)\s+\w+"
+
+# ---- Fixed values: reject reasons of single lines, in the order in which they are tried ----
+DEPARTMENT = r"^department of\b"
+TEACHING_PLACE = r"\b(university|college of engineering|institute of engineering)\b"
+MONTH_YEAR = r"^[A-Za-z]+\s*,?\s*\d{4}$"  # heeds case
+DEEP_HEADING, SUB_HEADING = r"^\d+(?:\.\d+){2,}[.)]?\s+\S", r"^\d+\.\d+[.)]?\s+\S"
+DEFINITION = r":\s+(use of|using|this is|it is)\b"
+LIST_ITEM = r"^\d+\.\s+[A-Z][a-z]"  # heeds case
+ROMAN_HEADING = r"^(?:[ivxlcdm]{1,6}|[IVXLCDM]{1,6})\.\s+\S"  # heeds case
+CHAPTER_KEY = r"^chapter\s+\d+(?:\s+introduction)?$"
+INTRODUCTION = r"^(?:\d+(?:\.\d+)*[.)]?\s+)?introduction\b"
+EDITOR = r"\b(internal editor|editor-in-chief|editorial board)\b"
+DEGREE = r"\b(bachelor of|master of|partial fulfilment|partial fulfillment)\b"
+TITLED_NAME = r"^(?:engr|dr|prof|mr|mrs|ms)\.?"
+NO_PERMISSION = r"\bpermission\b.*\bprohibited\b"
+NUMERIC = r"^[\d\s./:-]+$"
+
 # ---- Fixed values: single-line tests of the merging folds ----
 CONTACT = r"[\w.+-]+@[\w-]+\.|\bdepartment of\b|\bcorresponding author\b"
 SUBMITTED = r"date of submission|submitted date|submitted on"
@@ -222,6 +256,11 @@ DANGLING = (
     "via", "using", "into", "onto", "upon", "over", "under", "between", "among", "within", "without", "including",
     "plus", "versus", "vs",
 )
+FINITE_VERBS = (
+    "is", "are", "was", "were", "been", "have", "has", "had", "include", "includes", "comprises", "will", "can", "may",
+    "should", "does", "did", "plays", "play", "provides", "makes", "describes", "presents", "perform", "performs",
+    "deployed", "successfully", "begins", "begin", "focuses", "depends", "consists", "gives", "relates",
+)
 NAME_NOUNS = (
     "networks", "network", "systems", "system", "african", "journal", "science", "computer", "electrical",
     "mechanical", "scientific", "international", "campus", "university", "transformer", "report", "project",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re._constants as C
+import re._parser as parser
 import unicodedata
+from functools import cache
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +20,91 @@ WORD, ALPHA_WORD = "[A-Za-z0-9][A-Za-z0-9'-]*", "[A-Za-z][A-Za-z'-]*"
 QUOTES = " \t\"'«»“”‘’#"
 
 
+#: Letters other than ASCII ones that patterns take for them when they ignore case, and those.
+ALIKE, ASCII = "İıſ\u212a", "iisk"
+#: A pattern's needles: alternatives at most, characters of one at least.
+MOST_NEEDLES, NEEDLE = 8, 3
+
+
+class Line(NamedTuple):
+    """A text with what many tests need of it as columns, so that it is worked out once."""
+
+    text: Column
+    low: Column | None = None
+    words: Column | None = None
+    alpha: Column | None = None
+    letters: Column | None = None
+    capitals: Column | None = None
+
+
+#: Names of the columns that with_parts() adds.
+PARTS = ("p_low", "p_words", "p_alpha", "p_letters", "p_capitals")
+
+
+def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the columns PARTS of the text for line(); drop them when no test is left."""
+    t = F.col(text)
+    low = df.withColumn("p_low", F.lower(F.translate(t, ALIKE, ASCII)))
+    return low.withColumns({"p_words": F.split("p_low", r"(?U)\W+"), "p_alpha": alpha_words(t), "p_letters": letters(t), "p_capitals": capitals(t)})
+
+
+def line(text: str = "text") -> Line:
+    return Line(*map(F.col, (text, *PARTS)))
+
+
+def parts(text: Column | Line) -> Line:
+    return text if isinstance(text, Line) else Line(text)
+
+
+@cache
+def needles(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings of which a text holds one at least if the pattern matches in it; none if unknown."""
+
+    def least(options: tuple[str, ...]) -> tuple[int, int]:
+        return min(map(len, options), default=0), -len(options)
+
+    def of(tree: list) -> tuple[str, ...]:
+        found, run = [], ""
+        for op, arg in [*tree, (None, None)]:
+            if op is C.LITERAL:
+                run += chr(arg).lower()
+                continue
+            found.append((run,))
+            run = ""
+            if op is C.SUBPATTERN:
+                found.append(of(arg[3]))
+            elif op is C.BRANCH:
+                sides = [of(x) for x in arg[1]]
+                found.append(tuple(dict.fromkeys(n for s in sides for n in s)) if all(s and all(s) for s in sides) else ())
+            elif op is C.MAX_REPEAT and arg[0] > 0:
+                found.append(of(arg[2]))
+        return max(found, key=least)
+
+    best = of(parser.parse(pattern))
+    return best if least(best)[0] >= NEEDLE and len(best) <= MOST_NEEDLES else ()
+
+
 def rx(pattern: str, case: bool = False) -> str:
     """A rule's pattern for Java: Unicode classes, and case ignored unless `case`."""
     return ("(?U)" if case else "(?iuU)") + pattern
 
 
-def matches(text: Column, pattern: str, case: bool = False) -> Column:
-    return text.rlike(rx(pattern, case))
+def matches(text: Column | Line, pattern: str, case: bool = False) -> Column:
+    """Whether the pattern matches anywhere; of a Line only where one of the pattern's needles is."""
+    x = parts(text)
+    found = x.text.rlike(rx(pattern, case))
+    if x.low is None or not needles(pattern):
+        return found
+    first, *more = (x.low.contains(n) for n in needles(pattern))
+    for other in more:
+        first = first | other
+    return first & found
+
+
+def has_word(text: Column | Line, words: tuple[str, ...]) -> Column:
+    """Whether one of the words, in lower-case ASCII, stands in the text as a word."""
+    x = parts(text)
+    return matches(x, rf"\b({'|'.join(words)})\b") if x.words is None else F.arrays_overlap(x.words, F.lit(list(words)))
 
 
 @F.pandas_udf(T.StringType())
@@ -58,24 +140,27 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
-def alpha_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({ALPHA_WORD})"), F.lit(1))
+def alpha_words(text: Column | Line) -> Column:
+    x = parts(text)
+    return F.regexp_extract_all(x.text, F.lit(f"({ALPHA_WORD})"), F.lit(1)) if x.alpha is None else x.alpha
 
 
-def letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{L}"))
+def letters(text: Column | Line) -> Column:
+    x = parts(text)
+    return F.length(F.regexp_replace(x.text, r"\P{L}+", "")) if x.letters is None else x.letters
 
 
-def capitals(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{Lu}"))
+def capitals(text: Column | Line) -> Column:
+    x = parts(text)
+    return F.length(F.regexp_replace(x.text, r"\P{Lu}+", "")) if x.capitals is None else x.capitals
 
 
-def letter_ratio(text: Column) -> Column:
+def letter_ratio(text: Column | Line) -> Column:
     """Letters among characters that are no white space; 0 if there are none."""
-    return F.coalesce(F.try_divide(letters(text), F.length(F.regexp_replace(text, r"(?U)\s+", ""))), F.lit(0.0))
+    return F.coalesce(F.try_divide(letters(text), F.length(F.regexp_replace(parts(text).text, r"(?U)\s+", ""))), F.lit(0.0))
 
 
-def mostly_all_caps(text: Column) -> Column:
+def mostly_all_caps(text: Column | Line) -> Column:
     return (letters(text) >= 6) & (capitals(text) >= 0.82 * letters(text))
 
 
@@ -84,7 +169,7 @@ def capitalised_share(word_list: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(word_list, lambda w: w.rlike("^[A-Z]"))), F.size(word_list)), F.lit(0.0))
 
 
-def mostly_title_or_caps(text: Column) -> Column:
+def mostly_title_or_caps(text: Column | Line) -> Column:
     return mostly_all_caps(text) | (capitalised_share(alpha_words(text)) >= 0.6)
 
 

@@ -15,7 +15,6 @@ from foliant.functions import text as X
 from foliant.operators.windows import doc_window, page_window
 
 
-
 def geometry(lines: DataFrame) -> DataFrame:
     """Adds what follows from text and box: norm, word_count, y_ratio, x_mid, center_offset, line_height."""
     height = F.when(F.coalesce("page_height", F.lit(0.0)) != 0, F.col("page_height")).otherwise(1.0)
@@ -41,83 +40,99 @@ def annotate(lines: DataFrame, compose: bool = False) -> DataFrame:
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Adds one column per classifier, for lines of any length, and `reject_bare`: the reject reason
-    without page context."""
-    t, n = F.col("text"), F.col("word_count")
+    """Adds one column per classifier, for lines of any length, `reject_bare`, the reject reason without
+    page context, and `reject_first`, its part that no context can change."""
+    t, n = X.line(), F.col("word_count")
     topical = F.col("topical")
     return (
-        lines.withColumns({"topical": P.looks_topical(t), "boilerplate": P.boilerplate_reason(t), "venue": P.venue_reason(t)})
+        X.with_parts(lines)
+        .withColumns({"topical": P.looks_topical(t), "boilerplate": P.boilerplate_reason(t), "venue": P.venue_reason(t)})
         .withColumns(
             {
                 "author": P.looks_like_author(t, n, topical),
                 "fragment": P.looks_like_fragment(t, n),
                 "sentence": P.looks_like_sentence(t, n, topical),
                 "short_name": P.looks_like_short_name(t, topical),
-                "garbled": X.is_garbled(t),
-                "abstract_mark": P.is_abstract_marker(t),
+                "garbled": X.is_garbled(t.text),
+                "abstract_mark": P.is_abstract_marker(t.text),
                 "cover_role": P.is_cover_role(t),
                 "all_caps": X.mostly_all_caps(t),
-                "period_end": X.ends_with_period(t),
+                "period_end": X.ends_with_period(t.text),
             }
         )
-        .withColumn("reject_bare", reject_reason())
+        .withColumn("reject_first", _first_arm(_plain_arms()))
+        .withColumn("reject_bare", F.coalesce("reject_first", _first_arm(_later_arms())))
+        .drop(*X.PARTS)
     )
 
 
-def reject_reason(header: Column | None = None, chrome_page: Column | None = None) -> Column:
-    """The first reason why a classified line is no title, or null; the order of the arms matters."""
-    t, key, n, y, size = (F.col(c) for c in ("text", "norm", "word_count", "y_ratio", "font_size"))
-    topical, caps = F.col("topical"), F.col("all_caps")
-    size = F.coalesce(size, F.lit(0.0))
-    m = lambda p, case=False: X.matches(t, p, case)
-    intro = m(rules.INTRODUCTION_TO)
-    never = F.lit(False)
-    chrome = never if chrome_page is None else F.coalesce(chrome_page, never)
-    header = never if header is None else F.coalesce(header, never)
-    width = F.when(F.coalesce("page_width", F.lit(0.0)) != 0, F.col("page_width")).otherwise(1.0)
-    arms = [
-        (chrome & (F.col("x0") / width >= 0.48), "iop_sidebar"),
-        (chrome & (y < 0.12) & (n <= 4) & ~topical, "journal_subtitle"),
+Arms = list[tuple[Column, Column | str]]
+
+
+def _first_arm(arms: Arms) -> Column:
+    """The reason of the first arm that holds, or null."""
+    out = None
+    for when, reason in arms:
+        out = F.when(when, reason) if out is None else out.when(when, reason)
+    return out
+
+
+def _plain_arms() -> Arms:
+    key, n = F.col("norm"), F.col("word_count")
+    return [
         (key == "", "empty"),
-        (key.isin(*rules.NEVER_TITLES) | X.exact_key(P.without_section_number(t)).isin(*rules.NEVER_TITLES), "section_heading"),
+        (key.isin(*rules.NEVER_TITLES) | X.exact_key(P.without_section_number(F.col("text"))).isin(*rules.NEVER_TITLES), "section_heading"),
         (~n.between(rules.MIN_WORDS, rules.MAX_WORDS), "word_count"),
-        (header & ((y < 0.12) | (y > 0.88)) & ((n > 10) | (size <= 12)), "running_header"),
+    ]
+
+
+def _later_arms() -> Arms:
+    """Arms of classified lines with their parts, in order."""
+    x, key, n, y, size = X.line(), *(F.col(c) for c in ("norm", "word_count", "y_ratio", "font_size"))
+    t, topical, caps = x.text, F.col("topical"), F.col("all_caps")
+    size = F.coalesce(size, F.lit(0.0))
+    m = lambda p, case=False: X.matches(x, p, case)
+    at_start = lambda p, case=False: X.matches(t, p, case)  # noqa: E731  anchored: as fast as looking for a needle
+    intro = m(rules.INTRODUCTION_TO)
+    return [
         (F.col("boilerplate").isNotNull(), F.col("boilerplate")),
         (F.col("garbled"), "garbled"),
-        (m(rules.COURSE_CODE, True), "course_code"),
+        (at_start(rules.COURSE_CODE, True), "course_code"),
         (key.isin(*rules.GENERIC_COURSES) & ~((size >= 18) & (F.col("page") == 1) & (y < 0.25)), "generic_course"),
-        (
-            m(r"^department of\b")
-            | (~topical & (m(rules.INSTITUTION) | (m(r"\b(university|college of engineering|institute of engineering)\b") & (n <= 12)))),
-            "institution",
-        ),
+        (m(rules.DEPARTMENT) | (~topical & (at_start(rules.INSTITUTION) | ((n <= 12) & m(rules.TEACHING_PLACE)))), "institution"),
         ((y < 0.12) & F.col("venue").isNotNull(), F.col("venue")),
         ((y < 0.12) & caps & (n <= 4) & ~topical & (size < 14), "masthead_caps"),
-        (P.is_venue_line(t, F.col("venue"), n), "journal_name"),
+        (P.is_venue_line(x, F.col("venue"), n), "journal_name"),
         (F.col("author"), "author_or_affiliation"),
-        (X.letter_ratio(t) < 0.55, "low_letter_ratio"),
-        (m(r"^[A-Za-z]+\s*,?\s*\d{4}$", True), "date"),
-        (m(r"^\d+(?:\.\d+){2,}[.)]?\s+\S") | (m(r"^\d+\.\d+[.)]?\s+\S") & ~intro), "body_section_heading"),
-        (m(r":\s+(use of|using|this is|it is)\b") & (n >= 8), "definition"),
-        (m(r"^\d+\.\s+[A-Z][a-z]", True) & (n >= 8), "list_item"),
-        (m(r"^(?:[ivxlcdm]{1,6}|[IVXLCDM]{1,6})\.\s+\S", True) & (n <= 8), "body_section_heading"),
-        (~intro & (key.rlike(r"^chapter\s+\d+(?:\s+introduction)?$") | m(r"^(?:\d+(?:\.\d+)*[.)]?\s+)?introduction\b")), "section_heading"),
-        (m(r"\b(internal editor|editor-in-chief|editorial board)\b"), "editor"),
-        (m(r"\b(bachelor of|master of|partial fulfilment|partial fulfillment)\b"), "degree"),
-        (m(r"^(?:engr|dr|prof|mr|mrs|ms)\.?") & ~topical & (n <= 8), "author_or_affiliation"),
+        (X.letter_ratio(x) < 0.55, "low_letter_ratio"),
+        (at_start(rules.MONTH_YEAR, True), "date"),
+        (at_start(rules.DEEP_HEADING) | (at_start(rules.SUB_HEADING) & ~intro), "body_section_heading"),
+        ((n >= 8) & m(rules.DEFINITION), "definition"),
+        ((n >= 8) & at_start(rules.LIST_ITEM, True), "list_item"),
+        ((n <= 8) & at_start(rules.ROMAN_HEADING, True), "body_section_heading"),
+        (~intro & (key.rlike(rules.CHAPTER_KEY) | m(rules.INTRODUCTION)), "section_heading"),
+        (m(rules.EDITOR), "editor"),
+        (m(rules.DEGREE), "degree"),
+        (~topical & (n <= 8) & at_start(rules.TITLED_NAME), "author_or_affiliation"),
         (F.col("fragment"), "body_fragment"),
         ((caps & F.col("period_end") & (n >= 6)) | F.col("sentence"), "sentence"),
-        (P.looks_like_formula(t), "formula"),
-        (
-            P.looks_like_ocr_junk(t, topical) | m(r"\bpermission\b.*\bprohibited\b") | (t.contains("=") & (n <= 6) & ~topical),
-            "ocr_junk",
-        ),
-        (t.rlike(r"^(?U)[\d\s./:-]+$"), "numeric"),
+        (P.looks_like_formula(x), "formula"),
+        (P.looks_like_ocr_junk(x, topical) | m(rules.NO_PERMISSION) | (t.contains("=") & (n <= 6) & ~topical), "ocr_junk"),
+        (t.rlike("(?U)" + rules.NUMERIC), "numeric"),
     ]
-    out = None
-    for when, reason in arms:
-        out = F.when(when, reason) if out is None else out.when(when, reason)
-    return out
+
+
+def reject_reason() -> Column:
+    """The first reason why a classified line in its context is no title, or null."""
+    n, y, size, no = F.col("word_count"), F.col("y_ratio"), F.coalesce("font_size", F.lit(0.0)), F.lit(False)
+    chrome, header = F.coalesce("chrome_page", no), F.coalesce("header", no)
+    width = F.when(F.coalesce("page_width", F.lit(0.0)) != 0, F.col("page_width")).otherwise(1.0)
+    before = [
+        (chrome & (F.col("x0") / width >= 0.48), "iop_sidebar"),
+        (chrome & (y < 0.12) & (n <= 4) & ~F.col("topical"), "journal_subtitle"),
+    ]
+    after = [(header & ((y < 0.12) | (y > 0.88)) & ((n > 10) | (size <= 12)), "running_header")]
+    return F.coalesce(_first_arm(before), F.col("reject_first"), _first_arm(after), F.col("reject_bare"))
 
 
 def with_context(lines: DataFrame) -> DataFrame:
@@ -317,7 +332,7 @@ def signals() -> dict[str, Column]:
 def with_scores(lines: DataFrame) -> DataFrame:
     """Adds reject_reason, a column s_<name> per signal, and score: null where the line is no candidate."""
     named = signals()
-    out = with_context(lines).withColumn("reject_reason", reject_reason(F.col("header"), F.col("chrome_page")))
+    out = with_context(lines).withColumn("reject_reason", reject_reason())
     out = out.withColumns({f"s_{k}": v for k, v in named.items()})
     total = sum((F.col(f"s_{k}") for k in named), F.lit(0.0)) + penalties()
     size, body = F.coalesce("font_size", F.lit(0.0)), F.col("body_size")

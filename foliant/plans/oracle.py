@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 from foliant.functions import rules
-from foliant.functions.predicates import NAME_LIST_CHARS
 from foliant.functions.text import ALPHA_WORD, QUOTES, WORD
 from foliant.sources import adapters as A
 
@@ -126,13 +125,12 @@ def topical(text: str) -> str:
 
 def person_names(text: str, n: str, about: str) -> str:
     tok = f"regexp_extract_all({text}, {quoted(chr(91) + 'A-Za-z][A-Za-z.' + chr(39) + '’-]*')})"
-    shaped = r"^(?:[A-Z](?:\.[A-Z])+\.?|[A-Z]\.?|[A-Z]\.[A-Z][a-z]+|[A-Z][a-z]+\.[A-Z]\.?|[A-Z][a-z]{1,20}|[a-z]{3,20})$"
     named = (
-        f"len(list_filter({tok}, lambda w: regexp_matches(w, {quoted(shaped)}) AND lower(w) NOT IN {members(rules.NAME_STOPS)} "
+        f"len(list_filter({tok}, lambda w: regexp_matches(w, {quoted(rules.NAME_TOKEN)}) AND lower(w) NOT IN {members(rules.NAME_STOPS)} "
         f"AND NOT (length(w) > 2 AND upper(w) = w AND lower(w) <> w)))"
     )
     none_of = lambda test: f"len(list_filter({tok}, lambda w: {test})) = 0"
-    initial = f"NOT {none_of('regexp_matches(w, ' + quoted(r'^(?:[A-Z](?:\.[A-Z])+\.?|[A-Z]\.)$') + ')')}"
+    initial = f"NOT {none_of('regexp_matches(w, ' + quoted(rules.INITIALS) + ')')}"
     two = (
         f"({n} = 2 AND {named} = 2 AND {none_of('NOT regexp_matches(w, ' + quoted('^[A-Z][a-z]{2,20}$') + ')')} "
         f"AND {none_of('lower(w) IN ' + members(rules.NAME_NOUNS))})"
@@ -151,41 +149,41 @@ def author(text: str, n: str, about: str) -> str:
             hit(text, rules.AFFILIATION),
             f"({commas} >= 2 AND {n} <= 22)",
             f"({commas} >= 1 AND {n} <= 18 AND ({hit(text, r'\band\b')} OR regexp_matches({text}, {quoted(f'[{_W}]&[{_W}]')})))",
-            f"({n} <= 10 AND {hit(text, r"^[^\W\d_][\w.'’-]+(?:\s+[^\W\d_][\w.'’-]+){1,3}\s+(?:and|&)\s+[^\W\d_]", True)})",
+            f"({n} <= 10 AND {hit(text, rules.TWO_NAMES, True)})",
         ]
     )
     return "(" + " OR ".join(
         [
-            hit(text, r"\b[A-Z]{2,}\d{3,}/\d+", True),
-            hit(text, r"[\w.+-]+@[\w-]+\."),
-            hit(text, r"\bcorresponding author\b"),
+            hit(text, rules.ID_CODE, True),
+            hit(text, rules.EMAIL),
+            hit(text, rules.CORRESPONDING),
             f"(NOT {about} AND ({plain}))",
-            f"(length({text}) <= {NAME_LIST_CHARS} AND {n} <= 16 AND {hit(text, rules.NAME_LIST)})",
-            hit(text, r"[^\W\d_][\w.'-]+(?:\s+[\w.'-]+){0,3}\s*[\d*†‡]+(?:\s*,\s*[^\W\d_])", True),
-            f"({hit(text, r'\b[A-Z]\.\s*[A-Z]\.\s*[A-Z][a-z]+', True)} AND contains({text}, ','))",
+            f"({n} <= 16 AND {hit(text, rules.NAME_LIST)})",
+            hit(text, rules.MARKED_NAME, True),
+            f"({hit(text, rules.TWO_INITIALS, True)} AND contains({text}, ','))",
             person_names(text, n, about),
         ]
     ) + ")"
 
 
 def fragment(text: str, n: str) -> str:
-    opener = hit(f"ltrim({text})", r"^(more than|of the|in the same|to compare|as well as|so it was)\b")
+    opener = hit(f"ltrim({text})", rules.FRAGMENT_OPENER)
     return f"((regexp_matches(regexp_extract({text}, '\\p{{L}}'), '^\\p{{Ll}}') AND {n} >= 6) OR ({n} >= 8 AND {opener}))"
 
 
 def sentence(text: str, n: str, about: str) -> str:
-    finite, titled = hit(text, rules.FINITE_VERB), title_or_caps(text)
-    opener = hit(text, r"^(the|this|these|those|it|we|our|i)\s")
+    finite, titled = hit(text, rf"\b({'|'.join(rules.FINITE_VERBS)})\b"), title_or_caps(text)
+    opener = hit(text, rules.SENTENCE_OPENER)
     return "(" + " OR ".join(
         [
-            f"({n} >= 10 AND {hit(text, r'^(the|this|these|those|it|we|our)\s')} AND {finite})",
+            f"({n} >= 10 AND {hit(text, rules.SENTENCE_SUBJECT)} AND {finite})",
             f"({n} >= 11 AND {finite} AND NOT {titled})",
-            hit(text, r"\bI successfully\b|\bwe successfully\b"),
-            f"({hit(text, r'\bI\s+\w+ed\b', True)} AND NOT contains({text}, ':') AND NOT {titled})",
+            hit(text, rules.FIRST_PERSON),
+            f"({hit(text, rules.FIRST_PERSON_PAST, True)} AND NOT contains({text}, ':') AND NOT {titled})",
             f"({n} >= 12 AND {period_end(text)} AND ({opener} OR {finite} OR NOT {about}))",
-            f"({n} >= 8 AND {opener} AND {hit(text, r'\b(thank|thanks|gratitude|extend|express|acknowledge)\b')})",
-            f"({n} >= 12 AND {hit(text, r'\b(comprises|which will|in order to|is used for|include a)\b')})",
-            f"({n} >= 8 AND {hit(text, r'^[A-Z][A-Z\s]+:\s*[-–]?\s*(it|this|the)\s+\w+')})",
+            f"({n} >= 8 AND {opener} AND {hit(text, rules.THANKS)})",
+            f"({n} >= 12 AND {hit(text, rules.SENTENCE_PHRASE)})",
+            f"({n} >= 8 AND {hit(text, rules.LABELLED_SENTENCE)})",
         ]
     ) + ")"
 
@@ -235,8 +233,8 @@ def reject(context: bool) -> str:
         (m(rules.COURSE_CODE, True), "'course_code'"),
         (f"norm IN {members(rules.GENERIC_COURSES)} AND NOT (font_size >= 18 AND page = 1 AND y_ratio < 0.25)", "'generic_course'"),
         (
-            f"{m(r'^department of\b')} OR (NOT topical AND ({m(rules.INSTITUTION)} OR "
-            f"({m(r'\b(university|college of engineering|institute of engineering)\b')} AND word_count <= 12)))",
+            f"{m(rules.DEPARTMENT)} OR (NOT topical AND ({m(rules.INSTITUTION)} OR "
+            f"({m(rules.TEACHING_PLACE)} AND word_count <= 12)))",
             "'institution'",
         ),
         ("y_ratio < 0.12 AND venue IS NOT NULL", "venue"),
@@ -248,26 +246,26 @@ def reject(context: bool) -> str:
         ),
         ("author", "'author_or_affiliation'"),
         (f"coalesce({letters('text')} / nullif(length(regexp_replace(text, '\\s+', '', 'g')), 0), 0) < 0.55", "'low_letter_ratio'"),
-        (m(r"^[A-Za-z]+\s*,?\s*\d{4}$", True), "'date'"),
-        (f"{m(r'^\d+(?:\.\d+){2,}[.)]?\s+\S')} OR ({m(r'^\d+\.\d+[.)]?\s+\S')} AND NOT {intro})", "'body_section_heading'"),
-        (f"{m(r':\s+(use of|using|this is|it is)\b')} AND word_count >= 8", "'definition'"),
-        (f"{m(r'^\d+\.\s+[A-Z][a-z]', True)} AND word_count >= 8", "'list_item'"),
-        (f"{m(r'^(?:[ivxlcdm]{1,6}|[IVXLCDM]{1,6})\.\s+\S', True)} AND word_count <= 8", "'body_section_heading'"),
+        (m(rules.MONTH_YEAR, True), "'date'"),
+        (f"{m(rules.DEEP_HEADING)} OR ({m(rules.SUB_HEADING)} AND NOT {intro})", "'body_section_heading'"),
+        (f"{m(rules.DEFINITION)} AND word_count >= 8", "'definition'"),
+        (f"{m(rules.LIST_ITEM, True)} AND word_count >= 8", "'list_item'"),
+        (f"{m(rules.ROMAN_HEADING, True)} AND word_count <= 8", "'body_section_heading'"),
         (
-            f"NOT {intro} AND (regexp_matches(norm, '^chapter\\s+\\d+(?:\\s+introduction)?$') OR {m(r'^(?:\d+(?:\.\d+)*[.)]?\s+)?introduction\b')})",
+            f"NOT {intro} AND (regexp_matches(norm, {quoted(rules.CHAPTER_KEY)}) OR {m(rules.INTRODUCTION)})",
             "'section_heading'",
         ),
-        (m(r"\b(internal editor|editor-in-chief|editorial board)\b"), "'editor'"),
-        (m(r"\b(bachelor of|master of|partial fulfilment|partial fulfillment)\b"), "'degree'"),
-        (f"{m(r'^(?:engr|dr|prof|mr|mrs|ms)\.?')} AND NOT topical AND word_count <= 8", "'author_or_affiliation'"),
+        (m(rules.EDITOR), "'editor'"),
+        (m(rules.DEGREE), "'degree'"),
+        (f"{m(rules.TITLED_NAME)} AND NOT topical AND word_count <= 8", "'author_or_affiliation'"),
         ("fragment", "'body_fragment'"),
         ("(all_caps AND period_end AND word_count >= 6) OR sentence", "'sentence'"),
         (formula("text"), "'formula'"),
         (
-            f"{ocr_junk('text', 'topical')} OR {m(r'\bpermission\b.*\bprohibited\b')} OR (contains(text, '=') AND word_count <= 6 AND NOT topical)",
+            f"{ocr_junk('text', 'topical')} OR {m(rules.NO_PERMISSION)} OR (contains(text, '=') AND word_count <= 6 AND NOT topical)",
             "'ocr_junk'",
         ),
-        (r"regexp_matches(text, '^[\d\s./:-]+$')", "'numeric'"),
+        (f"regexp_matches(text, {quoted(rules.NUMERIC)})", "'numeric'"),
     ]
     return "CASE " + " ".join(f"WHEN {w} THEN {r}" for w, r in arms) + " END"
 
@@ -455,4 +453,4 @@ def caps_signal(text: str) -> str:
 def short_name(text: str, about: str) -> str:
     w = alpha(text)
     nouns = f"len(list_filter({w}, lambda w: lower(w) IN {members(rules.SHORT_NAME_NOUNS)} OR NOT regexp_matches(w, '^[A-Z]'))) = 0"
-    return f"(len({w}) BETWEEN 1 AND 3 AND NOT {about} AND ({hit(text, r'\b(dr|prof|engr|mr|mrs|ms)\b')} OR {nouns}))"
+    return f"(len({w}) BETWEEN 1 AND 3 AND NOT {about} AND ({hit(text, rules.HONORIFIC)} OR {nouns}))"

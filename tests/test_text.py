@@ -97,6 +97,30 @@ def classes(on, make, texts):
     return on(lambda t: make(t, X.word_count(t), P.looks_topical(t)), texts)
 
 
+def test_needles_are_in_every_match():
+    cases = {r"\bissn\b": ("issn",), r"available\s+online": ("available",), r"©|copyright\s+\d{4}": (), r"^of\s+approval$": ("approval",),
+             r"\b(bachelor of|master of)\b": ("bachelor of", "master of"), r"\d+": (), r"(?:abcd)?xy": ()}
+    assert {p: tuple(sorted(X.needles(p))) for p in cases} == {p: tuple(sorted(n)) for p, n in cases.items()}
+
+
+def test_parts_change_no_class(spark):
+    odd = ["İSSN 1234", "ıssn", "I\u017f\u017fN", "COPYRİGHT 2020 x", "boo\u212as downloaded from", "DESIGN study", "das Design", "de\u017fign", "A.B. Smith, x", "a@b.c", "", "é",
+           "The work is done in this place by us all.", "Dr Smith", "Permission is prohibited", "Internal Editor"]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    t, n = F.col("text"), X.word_count(F.col("text"))
+
+    def made(x):
+        about = P.looks_topical(x)
+        return [c.alias(k) for k, c in {
+            "boilerplate": P.boilerplate_reason(x), "venue": P.venue_reason(x), "topical": about, "author": P.looks_like_author(x, n, about),
+            "sentence": P.looks_like_sentence(x, n, about), "short": P.looks_like_short_name(x, about), "caps": X.mostly_all_caps(x), "ratio": X.letter_ratio(x),
+            "junk": P.looks_like_ocr_junk(x, about), "rest": X.matches(x, rules.NO_PERMISSION) | X.matches(x, rules.EDITOR),
+        }.items()]
+
+    assert X.with_parts(df).select("text", *made(X.line())).collect() == df.select("text", *made(t)).collect()
+    assert df.select(P.boilerplate_reason(t).alias("b")).first().b == "issn"
+
+
 def test_authors(on):
     yes = ["Anna Lopez and Ravi Kumar", "University of X", "a.b@c.org", "Kumar, Singh, Lopez", "J. R. Smith, PhD", "Lopez1, Kumar2", "AB123/4", "Anand Kumar S. Malipatil", "Ravi Kumar"]
     no = ["Design and Analysis of a Solar Dryer", "The story of water", "Computer Networks"]
@@ -105,6 +129,8 @@ def test_authors(on):
 
 def test_a_very_long_name_list_does_not_bring_the_machine_down(on):
     assert classes(on, P.looks_like_author, ["Anna Lopez, " * 4500 + "Ravi"]) == [False]
+    # Word counts are of ASCII words, so a long list in another script is one.
+    assert classes(on, P.looks_like_author, ["Анна Лопез, " * 4500 + "Рави", "Анна Лопез, " * 4500 + "Design Study", "Анна Лопез, " * 200 + "Design 5"]) == [True, True, False]
 
 
 def test_prose(on):
