@@ -13,8 +13,11 @@ from foliant.functions.text import (
     ends_with_period,
     exact_key,
     has_word,
+    is_in,
     letters,
+    literal,
     matches,
+    matches_sql,
     mostly_all_caps,
     mostly_title_or_caps,
     parts,
@@ -26,7 +29,9 @@ Text = Column | Line
 
 def first_match(text: Text, table: tuple[tuple[str, str], ...]) -> Column:
     """Reason of the first rule that matches, or null."""
-    out = None
+    x, out = parts(text), None
+    if x.name:
+        return F.expr(f"CASE {' '.join(f'WHEN {matches_sql(x, p)} THEN {literal(r)}' for p, r in table)} END")
     for pattern, reason in table:
         hit = matches(text, pattern)
         out = F.when(hit, reason) if out is None else out.when(hit, reason)
@@ -34,7 +39,8 @@ def first_match(text: Text, table: tuple[tuple[str, str], ...]) -> Column:
 
 
 def boilerplate_reason(text: Text) -> Column:
-    known = exact_key(parts(text).text).isin(*rules.NEVER_TITLES, *rules.GENERIC_TITLES)
+    x, never = parts(text), (*rules.NEVER_TITLES, *rules.GENERIC_TITLES)
+    known = is_in(x.key, never) if x.key else exact_key(x.text).isin(*never)
     return F.when(known, "boilerplate").otherwise(first_match(text, rules.LINE_RULES))
 
 
@@ -129,12 +135,12 @@ def looks_like_sentence(text: Text, n_words: Column, topical: Column) -> Column:
 
 
 def looks_like_formula(text: Text) -> Column:
-    tokens = F.regexp_extract_all(parts(text).text, F.lit(r"(?U)(\S+)"), F.lit(1))
-    cores = F.transform(tokens, lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", ""))
-    short = F.filter(
-        cores, lambda w: (w != "") & ~F.lower(w).isin(*rules.FORMULA_SKIP) & (w.rlike("^[0-9]+$") | (F.length(w) == 1))
-    )
-    return (F.size(tokens) >= 6) & (F.size(short) >= 0.4 * F.size(tokens))
+    """Of six words or more, two in five are numbers or single letters, whatever signs are in them."""
+    t = parts(text).text
+    words = F.regexp_count(t, F.lit(r"(?U)\S+"))
+    letter, number = r"[^A-Za-z0-9\s]*+[A-Za-z][^A-Za-z0-9\s]*+", r"(?=[^A-Za-z\s]*[0-9])[^A-Za-z\s]++"
+    short = F.regexp_count(t, F.lit(rf"(?U)(?<!\S)(?:{letter}|{number})(?!\S)"))
+    return (words >= 6) & (short >= 0.4 * words)
 
 
 def looks_like_ocr_junk(text: Text, topical: Column) -> Column:

@@ -20,10 +20,12 @@ WORD, ALPHA_WORD = "[A-Za-z0-9][A-Za-z0-9'-]*", "[A-Za-z][A-Za-z'-]*"
 QUOTES = " \t\"'«»“”‘’#"
 
 
+#: Any character but ASCII, and those above it that are common and that NFKC leaves alone.
+UNSETTLED = "[^\\x00-\\x7f¡-§©«¬®°±¶·»¿À-ÿ–—‘’“”•€]"
 #: Letters other than ASCII ones that patterns take for them when they ignore case, and those.
 ALIKE, ASCII = "İıſ\u212a", "iisk"
-#: A pattern's needles: alternatives at most, characters of one at least.
-MOST_NEEDLES, NEEDLE = 8, 3
+#: A pattern's needles: alternatives at most, characters of one at least, one if it is a sign.
+MOST_NEEDLES, NEEDLE = 8, 2
 
 
 class Line(NamedTuple):
@@ -35,6 +37,8 @@ class Line(NamedTuple):
     alpha: Column | None = None
     letters: Column | None = None
     capitals: Column | None = None
+    name: str | None = None  # of the column that has the text, for SQL
+    key: str | None = None  # of the column that has its exact_key
 
 
 #: Names of the columns that with_parts() adds.
@@ -48,8 +52,32 @@ def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
     return low.withColumns({"p_words": F.split("p_low", r"(?U)\W+"), "p_alpha": alpha_words(t), "p_letters": letters(t), "p_capitals": capitals(t)})
 
 
-def line(text: str = "text") -> Line:
-    return Line(*map(F.col, (text, *PARTS)))
+def line(text: str = "text", key: str | None = "norm") -> Line:
+    return Line(*map(F.col, (text, *PARTS)), text, key)
+
+
+def bare(text: str) -> Line:
+    """A text column without parts."""
+    return Line(F.col(text), name=text)
+
+
+def literal(text: str) -> str:
+    """A SQL literal of the text."""
+    quote = next((q for q in "'\"" if q not in text), None)
+    return f"r{quote}{text}{quote}" if quote else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def is_in(name: str, values: tuple[str, ...]) -> Column:
+    """Whether the column of that name has one of the values; one expression, however many there are."""
+    return F.expr(f"{name} IN ({', '.join(map(literal, values))})")
+
+
+def matches_sql(x: Line, pattern: str, case: bool = False) -> str:
+    """matches() of a text with a name, as SQL."""
+    found = f"{x.name} RLIKE {literal(rx(pattern, case))}"
+    if x.low is None or not needles(pattern):
+        return found
+    return f"(({' OR '.join(f'contains(p_low, {literal(n)})' for n in needles(pattern))}) AND {found})"
 
 
 def parts(text: Column | Line) -> Line:
@@ -61,7 +89,8 @@ def needles(pattern: str) -> tuple[str, ...]:
     """Lower-case strings of which a text holds one at least if the pattern matches in it; none if unknown."""
 
     def least(options: tuple[str, ...]) -> tuple[int, int]:
-        return min(map(len, options), default=0), -len(options)
+        """How telling the least telling one is; a sign is worth two letters."""
+        return min((sum(1 if c.isalnum() or c == " " else NEEDLE for c in x) for x in options), default=0), -len(options)
 
     def of(tree: list) -> tuple[str, ...]:
         found, run = [], ""
@@ -92,6 +121,8 @@ def rx(pattern: str, case: bool = False) -> str:
 def matches(text: Column | Line, pattern: str, case: bool = False) -> Column:
     """Whether the pattern matches anywhere; of a Line only where one of the pattern's needles is."""
     x = parts(text)
+    if x.name:
+        return F.expr(matches_sql(x, pattern, case))
     found = x.text.rlike(rx(pattern, case))
     if x.low is None or not needles(pattern):
         return found
@@ -104,7 +135,7 @@ def matches(text: Column | Line, pattern: str, case: bool = False) -> Column:
 def has_word(text: Column | Line, words: tuple[str, ...]) -> Column:
     """Whether one of the words, in lower-case ASCII, stands in the text as a word."""
     x = parts(text)
-    return matches(x, rf"\b({'|'.join(words)})\b") if x.words is None else F.arrays_overlap(x.words, F.lit(list(words)))
+    return matches(x, rf"\b({'|'.join(words)})\b") if x.words is None else F.expr(f"arrays_overlap(p_words, array({', '.join(map(literal, words))}))")
 
 
 @F.pandas_udf(T.StringType())
@@ -118,9 +149,14 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00ad"), F.lit("")), r"(?U)\s+", " "))
 
 
-def normalize_space(text: Column, compose: bool = False) -> Column:
-    """collapse_space, after NFKC if `compose` (a Python step; leave it out for text known to be composed)."""
-    return collapse_space(nfkc(F.coalesce(text, F.lit(""))) if compose else text)
+def composed(text: Column) -> Column:
+    """The text after NFKC; only texts with a character that it may change go through Python."""
+    return F.coalesce(nfkc(F.when(text.rlike(UNSETTLED), text)), text)
+
+
+def normalize_space(text: Column, compose: bool = True) -> Column:
+    """collapse_space after NFKC; without `compose`, for text known to be composed, collapse_space alone."""
+    return collapse_space(composed(F.coalesce(text, F.lit(""))) if compose else text)
 
 
 def exact_key(text: Column) -> Column:
@@ -211,7 +247,7 @@ def matches_filename(title: Column, filename: Column) -> Column:
     return F.coalesce((alnum(title) == alnum(stem)) & (F.length(alnum(title)) >= 6) & (filename != ""), F.lit(False))
 
 
-def clean_metadata_title(title: Column, compose: bool = False) -> Column:
+def clean_metadata_title(title: Column, compose: bool = True) -> Column:
     text = normalize_space(title, compose)
     text = F.regexp_replace(text, rx(r"\s*[|_].*?\bMedium\s*$"), "")
     return collapse_space(F.translate(F.regexp_replace(text, "^#+", ""), "_", " "))
@@ -221,22 +257,29 @@ def is_garbled(text: Column) -> Column:
     """Whether the first 5000 characters are decoding junk rather than text."""
     sample = F.substring(text, 1, 5000)
     size = F.length(sample)
-    controls = F.regexp_count(sample, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
+    control = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+    controls = F.regexp_count(sample, F.lit(control))
     compact = F.regexp_replace(sample, r"(?U)[\s\x1c-\x1f]+", "")
+    # The counts are only taken where there is something to count.
     return (
-        (controls >= 8)
-        | ((controls >= 2) & (controls > 0.015 * size))
-        | (F.regexp_count(sample, F.lit(r"\x03")) >= 2)
-        | (F.regexp_count(sample, F.lit(r"\x00")) >= 2)
+        (
+            sample.rlike(control)
+            & (
+                (controls >= 8)
+                | ((controls >= 2) & (controls > 0.015 * size))
+                | (F.regexp_count(sample, F.lit(r"\x03")) >= 2)
+                | (F.regexp_count(sample, F.lit(r"\x00")) >= 2)
+            )
+        )
         | sample.rlike("^,[A-Z]{6,}")
         | (compact == "")
-        | (F.regexp_count(sample, F.lit("�")) > 0.05 * size)
-        | (F.regexp_count(sample, F.lit(r"(?i)\(cid:\d+\)")) >= 8)
+        | (sample.contains("�") & (F.regexp_count(sample, F.lit("�")) > 0.05 * size))
+        | (sample.contains("(") & (F.regexp_count(sample, F.lit(r"(?i)\(cid:\d+\)")) >= 8))
         | (letters(compact) < 0.25 * F.length(compact))
     )
 
 
-def clean_line(text: Column, compose: bool = False) -> Column:
+def clean_line(text: Column, compose: bool = True) -> Column:
     """A line without quotes, copyright notices and what publishers' pages glue to its end."""
     t = F.btrim(normalize_space(text, compose), F.lit(QUOTES))
     t = F.regexp_replace(t, "[\"'«»“”]+$", "")

@@ -32,7 +32,7 @@ def geometry(lines: DataFrame) -> DataFrame:
     )
 
 
-def annotate(lines: DataFrame, compose: bool = False) -> DataFrame:
+def annotate(lines: DataFrame, compose: bool = True) -> DataFrame:
     """Lines with text, cleaned, with their geometry. Null boxes count as zero."""
     boxes = {c: F.coalesce(c, F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")}
     kept = lines.where(F.trim(F.coalesce("text", F.lit(""))) != "")
@@ -81,7 +81,7 @@ def _plain_arms() -> Arms:
     key, n = F.col("norm"), F.col("word_count")
     return [
         (key == "", "empty"),
-        (key.isin(*rules.NEVER_TITLES) | X.exact_key(P.without_section_number(F.col("text"))).isin(*rules.NEVER_TITLES), "section_heading"),
+        (X.is_in("norm", rules.NEVER_TITLES) | X.exact_key(P.without_section_number(F.col("text"))).isin(*rules.NEVER_TITLES), "section_heading"),
         (~n.between(rules.MIN_WORDS, rules.MAX_WORDS), "word_count"),
     ]
 
@@ -92,7 +92,7 @@ def _later_arms() -> Arms:
     t, topical, caps = x.text, F.col("topical"), F.col("all_caps")
     size = F.coalesce(size, F.lit(0.0))
     m = lambda p, case=False: X.matches(x, p, case)
-    at_start = lambda p, case=False: X.matches(t, p, case)  # noqa: E731  anchored: as fast as looking for a needle
+    at_start = lambda p, case=False: X.matches(X.bare("text"), p, case)  # noqa: E731  as fast as looking for a needle
     intro = m(rules.INTRODUCTION_TO)
     return [
         (F.col("boilerplate").isNotNull(), F.col("boilerplate")),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +32,22 @@ OVER_ABSENT = " Overrode /Title metadata; that field does not appear on the page
 OVER_WEAKER = " Overrode /Title metadata with the stronger in-PDF title."
 
 
+#: The longest word of each phrase of a cover page; only a page that has one is put together.
+COVER_WORDS = tuple(dict.fromkeys(max(re.findall("[a-z]+", phrase), key=len) for phrase in re.sub(r"\\.", " ", rules.COVER_PAGE).split("|")))
+
+
+def with_covers(lines: DataFrame) -> DataFrame:
+    """Adds `kept`: false on pages whose joined text is a publisher's cover, unless nothing would be left."""
+    hint = F.max(F.lower("text").rlike("|".join(COVER_WORDS))).over(page_window())
+    own = F.collect_list(F.when(F.col("hint"), F.struct("ord", "text"))).over(page_window())
+    blob = F.array_join(F.transform(F.array_sort(F.col("own")), lambda x: x["text"]), " ")
+    marked = lines.withColumn("hint", hint).withColumn("own", own).withColumn("on_cover", F.col("hint") & X.matches(blob, rules.COVER_PAGE))
+    return marked.withColumn("kept", ~F.col("on_cover") | F.min("on_cover").over(doc_window())).drop("hint", "own", "on_cover")
+
+
 def drop_cover_pages(lines: DataFrame) -> DataFrame:
-    """Without pages whose joined text is a publisher's cover, unless nothing would be left."""
-    blob = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text")).over(page_window())), lambda x: x["text"]), " ")
-    marked = lines.withColumn("on_cover", X.matches(blob, rules.COVER_PAGE))
-    return marked.withColumn("all_cover", F.min("on_cover").over(doc_window())).where("not on_cover or all_cover").drop("on_cover", "all_cover")
+    """Without the pages that with_covers() marks."""
+    return with_covers(lines).where("kept").drop("kept")
 
 
 def with_label(lines: DataFrame) -> DataFrame:
@@ -55,8 +67,8 @@ def with_label(lines: DataFrame) -> DataFrame:
     good = (
         (lt != "")
         & (n >= rules.MIN_WORDS)
-        & P.boilerplate_reason(lt).isNull()
-        & ~P.looks_like_sentence(lt, n, P.looks_topical(lt))
+        & P.boilerplate_reason(X.bare("label_title")).isNull()
+        & ~P.looks_like_sentence(X.bare("label_title"), n, P.looks_topical(X.bare("label_title")))
     )
     return (
         lines.withColumns({"label_title": title, "label_why": why})
@@ -94,10 +106,14 @@ def fallback_titles(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(best_fallback().alias("best")).where("best is not null").select("doc_id", "best.*")
 
 
-def keys_of_first_pages(over: W | None = None) -> Column:
-    """Aggregate, over a window if given: the keys of the lines of the first three pages, in order."""
-    rows = F.collect_list(F.when(F.col("page") <= 3, F.struct("ord", "norm")))
-    return F.array_join(F.transform(F.array_sort(rows if over is None else rows.over(over)), lambda x: x["norm"]), " ")
+def first_keys() -> Column:
+    """Aggregate: the lines of the first three pages, with their keys."""
+    return F.collect_list(F.when(F.col("page") <= 3, F.struct("ord", "norm")))
+
+
+def joined_keys(rows: Column) -> Column:
+    """The keys that first_keys() collected, in order."""
+    return F.array_join(F.transform(F.array_sort(rows), lambda x: x["norm"]), " ")
 
 
 def key_in(title: Column, blob: Column) -> Column:
@@ -107,23 +123,24 @@ def key_in(title: Column, blob: Column) -> Column:
     return (F.length(key) >= 8) & (blob.contains(key) | ((F.length(packed) >= 10) & F.regexp_replace(blob, " ", "").contains(packed)))
 
 
-def validate_metadata(docs: DataFrame, compose: bool = False) -> DataFrame:
+def validate_metadata(docs: DataFrame, compose: bool = True) -> DataFrame:
     """Adds meta_clean (the cleaned title) and meta_status (`ok`, or why it is no title)."""
-    t, source = F.col("meta_clean"), F.coalesce("meta_title", F.lit(""))
+    x, source = X.bare("meta_clean"), F.coalesce("meta_title", F.lit(""))
+    t = x.text
     key = X.exact_key(t)
     status = (
         F.when(t == "", "empty")
         .when(source.contains("..."), "truncated")
         .when(F.length(t) < rules.MIN_METADATA_CHARS, "too_short")
-        .when(X.matches(t, rules.FILE_EXTENSION), "file_extension")
+        .when(X.matches(x, rules.FILE_EXTENSION), "file_extension")
         .when(X.matches(t, rules.WORD_PROCESSOR), "word_processor")
         .when(X.matches(t, rules.FILE_PATH), "filepath")
         .when(X.matches(source, rules.SHARING_SITE) | X.matches(t, r"^\d+\s*,\s*\d+"), "studocu")
         .when(key.isin(*rules.GENERIC_TITLES), "generic")
         .when(X.matches_filename(t, F.col("filename")), "matches_filename")
         .when(F.coalesce((F.col("meta_author") != "") & (X.exact_key(F.col("meta_author")) == key), F.lit(False)), "matches_author")
-        .when(P.boilerplate_reason(t).isNotNull(), "boilerplate")
-        .when(P.venue_reason(t).isNotNull(), "journal_masthead")
+        .when(P.boilerplate_reason(x).isNotNull(), "boilerplate")
+        .when(P.venue_reason(x).isNotNull(), "journal_masthead")
         .when(X.word_count(t) > rules.MAX_WORDS, "too_long")
         .otherwise("ok")
     )
@@ -132,7 +149,7 @@ def validate_metadata(docs: DataFrame, compose: bool = False) -> DataFrame:
 
 def title_on_page(titles: DataFrame, title_col: str, lines: DataFrame) -> DataFrame:
     """(doc_id, on_page): whether the title's key stands in the joined keys of the first three pages."""
-    early = lines.groupBy(F.col("doc_id").alias("of")).agg(keys_of_first_pages().alias("blob"))
+    early = lines.groupBy(F.col("doc_id").alias("of")).agg(joined_keys(first_keys()).alias("blob"))
     return titles.join(early, F.col("doc_id") == F.col("of"), "left").select("doc_id", key_in(F.col(title_col), F.col("blob")).alias("on_page"))
 
 
@@ -249,16 +266,17 @@ def layout_candidates(raw: DataFrame) -> DataFrame:
     return features.with_scores(features.classify(features.geometry(usable)))
 
 
-def layout_titles(lines: DataFrame, compose: bool = False) -> DataFrame:
+def layout_titles(lines: DataFrame, compose: bool = True) -> DataFrame:
     """Layout titles (schema TITLES, and `blob`) of lines (schema LINES): a chain with two exchanges.
 
     What is known of a document as a whole rides on its first line from step to step.
     """
     dealt = lines.select(*LINES.names).repartition("doc_id")  # before the costly expressions, which are then spread too
     raw = with_label(features.classify(features.annotate(dealt, compose)))
-    whole = F.struct(first_label().over(doc_window()).alias("raw_label"), keys_of_first_pages(doc_window()).alias("blob"))
-    raw = drop_cover_pages(raw.withColumn("carried", whole).drop("label"))
-    raw = raw.withColumn("carried", F.when(F.row_number().over(doc_window().orderBy("ord")) == 1, F.col("carried")))
+    raw = with_covers(raw.withColumns({"raw_label": first_label().over(doc_window()), "keys": first_keys().over(doc_window())}).drop("label"))
+    first = F.row_number().over(doc_window().orderBy(F.desc("kept"), "ord")) == 1
+    whole = F.struct("raw_label", joined_keys(F.col("keys")).alias("blob"))
+    raw = raw.withColumn("first", first).withColumn("carried", F.when(F.col("first"), whole)).where("kept").drop("kept", "first", "raw_label", "keys")
     usable = merge.merge_adjacent(merge.with_merge_flags(raw), together=True).repartition("doc_id")
     scored = merge.with_merge_flags(with_label(features.with_scores(features.classify(features.geometry(usable)))))
     names = list(rules.WEIGHTS)
@@ -278,10 +296,9 @@ def layout_titles(lines: DataFrame, compose: bool = False) -> DataFrame:
     )
     keep = ["text", "norm", "page", "font_size", "score", "topical", "all_caps", "word_count", "author", "prose", "signals", "carried"]
     grown = merge.grow_candidates(scored, keep, together=True)
-    m = F.col("merged_text")
-    judged = grown.withColumns({"m_words": X.word_count(m), "m_topical": P.looks_topical(m)}).withColumns(
+    m = X.bare("merged_text")
+    judged = grown.withColumns({"m_words": X.word_count(m.text), "m_topical": P.looks_topical(m), "m_norm": X.exact_key(m.text)}).withColumns(
         {
-            "m_norm": X.exact_key(m),
             "m_author": P.looks_like_author(m, F.col("word_count"), F.col("m_topical")),
             "m_short": X.matches(m, rules.NAME_PREFIX) | P.looks_like_short_name(m, F.col("m_topical")),
             "m_prose": P.boilerplate_reason(m).isNotNull()
@@ -295,7 +312,7 @@ def layout_titles(lines: DataFrame, compose: bool = False) -> DataFrame:
     return per_document(judged, None, _layout, schema, together=True).withColumn("signals", F.map_from_entries("signals"))
 
 
-def detect_titles(docs: DataFrame, lines: DataFrame, compose: bool = False) -> DataFrame:
+def detect_titles(docs: DataFrame, lines: DataFrame, compose: bool = True) -> DataFrame:
     """One row (schema TITLES) per row of `docs`, from its metadata and lines (schemas DOCS and LINES).
 
     doc_id is the key of docs. Lines come in `ord` order, which breaks every tie. Null and blank texts
