@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions import rules
 from foliant.functions import text as X
 from foliant.operators.folds import per_document
 from foliant.operators.windows import page_window
-from foliant.schemas import LINES, SPANS
+from foliant.schemas import LINES, OCR_WORDS, SPANS, table
 
 URL = r"https?://|\bwww\."
 
@@ -52,7 +55,7 @@ def layout_spans(pages: DataFrame) -> DataFrame:
 def block_spans(blocks: DataFrame) -> DataFrame:
     """Spans from plain text blocks (doc_id, page, block, type, text, x0, y0, x1, y1): the lines of a
     block share its height evenly, and the font size is three quarters of a line."""
-    parts = F.filter(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.trim(x)), lambda x: x != "")
     rows = blocks.where(F.coalesce("type", F.lit(0)) == 0).withColumn("parts", parts).where(F.size("parts") > 0)
     height = F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)) / F.size("parts")
     lined = rows.withColumn("height", height).select("*", F.posexplode("parts").alias("line", "part"))
@@ -171,6 +174,48 @@ def page_reports(pages: DataFrame, native: DataFrame, ocr: DataFrame | None = No
     )
 
 
+class OcrUnavailable(RuntimeError):
+    """What an engine raises where recognition cannot be had at all."""
+
+
+def recognise(pages: DataFrame, engine: Callable[[dict, float], list[dict]], clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """(doc_id, page, method, error, timeout, words) of pages that need OCR, the first OCR_PAGES of a document.
+
+    `engine(row of pages, timeout)` yields words (OCR_WORDS without doc_id and page). A page's time is what is
+    left of its document's budget, OCR_MIN_TIMEOUT_SEC at least, and the whole budget again once it is spent. Errors
+    of the engine are a page's method and error, and fail no task.
+    """
+    word = T.StructType([f for f in OCR_WORDS.fields if f.name not in ("doc_id", "page")])
+    out = table("doc_id long, page int, method string, error string, timeout double", T.StructField("words", T.ArrayType(word)))
+
+    def fold(rows: list[dict]) -> list[dict]:
+        made, used = [], 0.0
+        for k, row in enumerate(rows):
+            page = {"doc_id": row["doc_id"], "page": row["page"], "method": "ocr", "error": None, "timeout": None, "words": []}
+            made.append(page)
+            if k >= rules.OCR_PAGES:
+                page |= {"method": "ocr_skipped", "error": "OCR page limit reached"}
+                continue
+            left = rules.OCR_BUDGET_SEC - used
+            page["timeout"] = max(rules.OCR_MIN_TIMEOUT_SEC, left if left > 0 else rules.OCR_BUDGET_SEC)
+            began = clock()
+            try:
+                page["words"] = [{f: w.get(f) for f in word.names} for w in engine(row, page["timeout"])]
+            except OcrUnavailable as e:
+                page |= {"method": "ocr_unavailable", "error": str(e)}
+            except Exception as e:  # noqa: BLE001  a page that cannot be read is data
+                page |= {"method": "ocr_failed", "error": f"OCR failed: {e}"}
+            used += clock() - began
+        return made
+
+    return per_document(pages, ["page"], fold, out)
+
+
+def recognised_words(pages: DataFrame) -> DataFrame:
+    """Words (schema OCR_WORDS) of what recognise() gives."""
+    return pages.select("doc_id", "page", F.explode("words").alias("w")).select("doc_id", "page", "w.*").select(*OCR_WORDS.names)
+
+
 def ocr_lines(words: DataFrame) -> DataFrame:
     """Spans of recognised words (schema OCR_WORDS): one for each block, paragraph and line."""
     good = words.where((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.coalesce("conf", F.lit(-1.0)) >= 0))
@@ -300,9 +345,7 @@ def spans_to_lines(spans: DataFrame, pages: DataFrame | None = None) -> DataFram
     boxes = {c: F.coalesce(c, F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")}
     src = spans.select(*SPANS.names).withColumns(boxes | {"text": F.coalesce("text", F.lit("")), "page": F.coalesce("page", F.lit(1))})
     bare = [f for f in LINES.fields if f.name not in ("page_width", "page_height")]
-    from pyspark.sql.types import StructType
-
-    lines = per_document(src, ["ord"], lines_of, StructType(bare))
+    lines = per_document(src, ["ord"], lines_of, T.StructType(bare))
     return with_page_size(lines, pages)
 
 

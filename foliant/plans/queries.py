@@ -6,6 +6,7 @@ SQL are order-dependent folds; the tests hold them against straightforward loops
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -351,6 +352,118 @@ def extract_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "title", "mode", "reason", "quota_exhausted", "pages_extended", "sent_chars")
 
 
+def title_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the best lines are strong or weak titles; some are cut to a word, left open or called a fallback."""
+    best, doc = _best(spark, sf_dir), F.col("b_doc")
+    t = F.when(doc % 7 == 3, F.concat("title", F.lit(" of the"))).when(doc % 11 == 2, F.substring_index("title", " ", 1)).when(doc % 13 == 5, "Introduction to Dryers").otherwise(F.col("title"))
+    why = F.when(doc % 5 == 0, titles.FALLBACK).otherwise(titles.HEURISTIC)
+    return best.select(
+        doc.alias("doc_id"), titles.is_high_confidence(t, F.col("confidence"), F.col("score"), F.col("page")).alias("high"), titles.is_weak(t, why).alias("weak")
+    )
+
+
+FONTS = ("Arial-Bold", "Times-Italic", "Helvetica", "Lato-SemiBold", "Georgia-Oblique", "")
+
+
+def _raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a reader yields them: a block for each line, with its text, a blank span and one of few fields."""
+    at = F.col("ord")
+    box = F.array("x0", "y0", F.col("x1") + 0.126, "y1")
+    font = F.element_at(F.lit(list(FONTS)), (at % len(FONTS) + 1).cast("int"))
+    none = F.lit(None)
+    made = [(F.col("text"), font, F.col("font_size") + 0.333, at % 32, box), (F.lit(" "), font, F.col("font_size"), at % 32, box), (F.lit("tail"), none, none, none, F.array(F.lit(1.0), F.lit(2.0)))]
+    span = lambda t, f, z, g, b: F.struct(
+        t.alias("text"), f.cast("string").alias("font"), z.cast("double").alias("size"), g.cast("int").alias("flags"), b.alias("bbox")
+    )
+    block = F.struct(F.col("ord"), F.when(at % 6 == 5, 1).otherwise(0).alias("type"), F.array(F.array(*(span(*m) for m in made))).alias("lines"))
+    garbled = F.when(F.col("doc_id") % 2 == 0, F.lit(MESS)).otherwise(F.lit("plain text"))
+    return _pages(spark, sf_dir).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(block)), lambda b: F.struct(b["type"], b["lines"])).alias("blocks")).withColumn("plain_text", garbled)
+
+
+#: A text that no reader could decode.
+MESS = "(cid:1)" * 9
+
+
+def layout_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.layout_spans(_raw_pages(spark, sf_dir)).drop("source", "confidence")
+
+
+def _text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's lines as one block, with a blank line behind each; some are no text."""
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n \n")
+    return _pages(spark, sf_dir).groupBy("doc_id", "page").agg(
+        rows.alias("text"), F.lit(0).alias("block"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
+    ).withColumn("type", F.when((F.col("doc_id") + F.col("page")) % 5 == 4, 1))
+
+
+def block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.block_spans(_text_blocks(spark, sf_dir)).select("doc_id", "ord", "text", "page", "font_size", "x0", "y0", "x1", "y1", "line")
+
+
+def _partly_garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of pages, of which some, or on some pages all, cannot be read, and some are addresses."""
+    raw = spans.layout_spans(_raw_pages(spark, sf_dir))
+    all_bad = (F.col("doc_id") + F.col("page")) % 3 == 0
+    some = F.when(all_bad | (F.col("ord") % 4 == 1), MESS).when(F.col("ord") % 7 == 2, F.concat(F.lit("www."), "text")).otherwise(F.col("text"))
+    return raw.withColumn("text", some)
+
+
+def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.page_spans(_partly_garbled(spark, sf_dir), _raw_pages(spark, sf_dir), spans.block_spans(_text_blocks(spark, sf_dir)))
+    return found.select("doc_id", "page", "ord", "text", "font_size")
+
+
+def usable_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.usable_spans(_partly_garbled(spark, sf_dir)).select("doc_id", "page", "ord", "text")
+
+
+def ocr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn a page to recognise, by an engine that takes a time told by the page, on a clock of its own."""
+    now = [0.0]
+
+    def engine(page: dict, timeout: float) -> list[dict]:
+        now[0] += (page["doc_id"] * 7 + page["page"] * 13) % 50
+        if page["page"] % 5 == 4:
+            raise spans.OcrUnavailable("no engine")
+        if page["page"] % 3 == 2:
+            raise ValueError("bad page")
+        return [{"block_num": 1, "par_num": 1, "line_num": 1, "text": "seen", "conf": 90.0, "x0": 1.0, "y0": 1.0, "x1": 2.0, "y1": 2.0}]
+
+    pages = _turn_pages(spark, sf_dir).select("doc_id", "page")
+    return spans.recognise(pages, engine, lambda: now[0]).select("doc_id", "page", "method", "error", "timeout", F.size("words").alias("words"))
+
+
+def _quick_ring(keys: list[tuple[str, str]]) -> model.KeyRing:
+    return model.KeyRing(keys, clock=lambda: 0.0, sleep=lambda seconds: None)
+
+
+def extract_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with a caller that names the second line of the prompt, fails, or is not let in, by the prompt's length."""
+
+    def call(key: str, name: str, prompt: str, timeout: float, **options: object) -> str:
+        if len(prompt) % 3 == 1:
+            raise RuntimeError("500 internal")
+        if len(prompt) % 3 == 2:
+            raise RuntimeError("Permission denied")
+        said = json.dumps({"title": prompt.split("\n")[1], "page": 1, "reason": "as asked"})
+        return json.dumps({"candidates": [{"finishReason": "STOP", "content": {"parts": [{"text": said}]}}]})
+
+    options = Options(call=call, keys=[("K", "k")], models=["m"], ring=_quick_ring)
+    out = extract_titles(_docs(spark, sf_dir), _pages(spark, sf_dir), options)
+    return out.select("doc_id", "title", "source", "confidence", "page", "mode", "reason", "quota_exhausted")
+
+
+def extract_on_spent_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with keys out of quota: the layout's title, and why."""
+
+    def call(key: str, name: str, prompt: str, timeout: float, **options: object) -> str:
+        raise RuntimeError("429 Resource_Exhausted: quota")
+
+    options = Options(call=call, keys=[("K", "k")], models=["m"], ring=_quick_ring)
+    out = extract_titles(_docs(spark, sf_dir), _pages(spark, sf_dir), options)
+    return out.select("doc_id", "title", "source", "confidence", "score", "page", "mode", "reason", "quota_exhausted")
+
+
 QUERIES: dict[str, Query] = {
     "body_font_size": body_font_size,
     "weighted_percentile": in_context(lambda: features.percentile_signal(F.col("percentile"))),
@@ -396,6 +509,14 @@ QUERIES: dict[str, Query] = {
     "detect_title": detect_title,
     "detect_wrapped_title": detect_wrapped_title,
     "extract_without_model": extract_without_model,
+    "extract_with_model": extract_with_model,
+    "extract_on_spent_quota": extract_on_spent_quota,
+    "title_strength": title_strength,
+    "layout_spans": layout_spans,
+    "block_spans": block_spans,
+    "page_spans": page_spans,
+    "usable_spans": usable_spans,
+    "ocr_budget": ocr_budget,
 }
 
 
@@ -462,6 +583,39 @@ def _sql() -> dict[str, str]:
     messages = "[" + ", ".join(map(O.quoted, MESSAGES)) + "]"
     m = f"lower({messages}[(page_id % {len(MESSAGES)} + 1)::INT])"
     any_of = lambda xs: "(" + " OR ".join(f"contains({m}, {O.quoted(x)})" for x in xs) + ")"
+    said = f"""SELECT d.doc_id, coalesce(f.text, '') AS front FROM ({docs}) d LEFT JOIN ({front_sql(f"SELECT * FROM ({pages}) WHERE page <= {rules.PRIMARY_PAGES}")}) g ON d.doc_id = g.doc_id
+      LEFT JOIN ({front_sql(f"SELECT * FROM ({pages}) WHERE page <= {rules.SEARCH_PAGES}")}) f7 ON d.doc_id = f7.doc_id
+      LEFT JOIN LATERAL (SELECT CASE WHEN coalesce(length(g.text), 0) < {rules.SPARSE_CHARS} THEN f7.text ELSE g.text END AS text) f ON true"""
+    asked = "CASE WHEN front = '' THEN 'no text' WHEN length(front) % 3 = 0 THEN 'said' WHEN length(front) % 3 = 1 THEN 'failed' ELSE 'barred' END"
+    named_title = O.collapse("string_split(front, chr(10))[2]")
+    spent = "'All Gemini keys were quota-exhausted; used heuristic as the last fallback. '"
+    best_title = """CASE WHEN doc_id % 7 = 3 THEN title || ' of the' WHEN doc_id % 11 = 2 THEN string_split(title, ' ')[1] WHEN doc_id % 13 = 5 THEN 'Introduction to Dryers' ELSE title END"""
+    fonts = "[" + ", ".join(map(O.quoted, FONTS)) + "]"
+    quote = "''"
+    of_line = lambda value, other: f"CASE k WHEN 0 THEN {value} ELSE {other} END"
+    font_name = of_line(f"{fonts}[ord % {len(FONTS)} + 1]", quote)
+    style = lambda bit, hints: f"({of_line(f'(ord % 32) & {bit}', '0')} <> 0 OR regexp_matches(lower({font_name}), {O.quoted('|'.join(hints))}))"
+    raw_spans = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, block, k) - 1 AS ord, {of_line('text', "'tail'")} AS text, page::INT AS page,
+        {font_name} AS font_name, {of_line('round(font_size + 0.333, 2)', '0.0')}::DOUBLE AS font_size, {style(16, rules.BOLD_HINTS)} AS bold,
+        {style(2, rules.ITALIC_HINTS)} AS italic, {of_line('round(x0, 2)', '0.0')}::DOUBLE AS x0, {of_line('round(y0, 2)', '0.0')}::DOUBLE AS y0,
+        {of_line('round(x1 + 0.126, 2)', '0.0')}::DOUBLE AS x1, {of_line('round(y1, 2)', '0.0')}::DOUBLE AS y1, block::INT AS block, 0 AS line
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1 AS block FROM ({pages})) CROSS JOIN (VALUES (0), (2)) v(k)
+      WHERE ord % 6 <> 5 AND (k = 2 OR trim(text) <> '')"""
+    block_lines = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS ord, p AS text, page::INT AS page, round(h * 0.75, 2) AS font_size, round(x0, 2) AS x0,
+        round(y0 + i * h, 2) AS y0, round(x1, 2) AS x1, round(y0 + i * h + h, 2) AS y1, i::INT AS line FROM (
+          SELECT *, unnest(parts) AS p, unnest(range(len(parts))) AS i, greatest(y1 - y0, 1.0) / len(parts) AS h FROM (
+            SELECT doc_id, page, list(text ORDER BY ord) FILTER (trim(text) <> '') AS parts, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ({pages}) GROUP BY doc_id, page)
+          WHERE (doc_id + page) % 5 <> 4)"""
+    partly = f"""SELECT doc_id, page, ord, font_size, CASE WHEN (doc_id + page) % 3 = 0 OR ord % 4 = 1 THEN {O.quoted(MESS)} WHEN ord % 7 = 2 THEN 'www.' || text ELSE text END AS text FROM ({raw_spans})"""
+    address = O.hit("text", spans.URL)
+    judged = f"""SELECT *, count(*) FILTER (NOT bad) OVER p AS n_clean, count(*) OVER p AS n_all,
+        sum(CASE WHEN NOT bad AND NOT {address} THEN {O.letters('text')} ELSE 0 END) OVER p AS clean_letters, sum(CASE WHEN NOT {address} THEN {O.letters('text')} ELSE 0 END) OVER p AS all_letters
+      FROM (SELECT *, {O.garbled('text')} AS bad FROM ({partly})) WINDOW p AS (PARTITION BY doc_id, page)"""
+    joined_text = "string_agg(text, ' ' ORDER BY ord)"
+    whole_page = f"SELECT doc_id, page, {O.garbled('t')} AS page_bad FROM (SELECT doc_id, page, {joined_text} AS t FROM ({partly}) GROUP BY doc_id, page)"
+    spent_time = "(doc_id * 7 + page * 13) % 50"
+    turns_in_order = f"""SELECT *, row_number() OVER o AS turn_no, {rules.OCR_BUDGET_SEC} - coalesce(sum({spent_time}) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+      FROM ({turn_pages}) WINDOW o AS (PARTITION BY doc_id ORDER BY page)"""
     return {
         "body_font_size": sized,
         "weighted_percentile": value(O.percentile_signal("p"), share),
@@ -534,6 +688,27 @@ def _sql() -> dict[str, str]:
         "detect_title": oracle_folds.detected(meta, pages),
         "detect_wrapped_title": oracle_folds.detected(meta, oracle_folds.wrapped(pages)),
         "multiline_title": oracle_folds.multiline_titles(oracle_folds.wrapped(pages)),
+        "extract_with_model": f"""SELECT doc_id, CASE WHEN asked = 'said' AND t <> '' AND lower(t) NOT IN ('null', 'none', 'n/a') THEN t END AS title, CASE WHEN title IS NOT NULL THEN 'gemini' END AS source,
+            CASE WHEN title IS NOT NULL THEN 'high' ELSE 'low' END AS confidence, CASE WHEN asked = 'said' THEN 1 END AS page,
+            CASE asked WHEN 'said' THEN 'extract' WHEN 'failed' THEN 'error' ELSE 'unavailable' END AS mode,
+            CASE asked WHEN 'said' THEN 'as asked' WHEN 'failed' THEN '500 internal' WHEN 'barred' THEN 'Gemini auth failed on K' ELSE {O.quoted(model.NO_TEXT)} END AS reason, false AS quota_exhausted
+          FROM (SELECT doc_id, asked, trim(trim(n, '"'), '''') AS t FROM (SELECT doc_id, {asked} AS asked, {named_title} AS n FROM ({said})))""",
+        "extract_on_spent_quota": f"""SELECT s.doc_id, CASE WHEN front <> '' THEN t.title END AS title, CASE WHEN front <> '' THEN coalesce(t.source, 'heuristic') END AS source,
+            CASE WHEN front <> '' THEN t.confidence ELSE 'low' END AS confidence, CASE WHEN front <> '' THEN t.score END AS score, CASE WHEN front <> '' THEN t.page END AS page,
+            CASE WHEN front <> '' THEN 'quota_exhausted' ELSE 'unavailable' END AS mode, CASE WHEN front <> '' THEN trim({spent} || coalesce(t.reason, '')) ELSE {O.quoted(model.NO_TEXT)} END AS reason,
+            front <> '' AS quota_exhausted FROM ({said}) s JOIN ({oracle_folds.detected(meta, f"SELECT * FROM ({pages}) WHERE page <= {rules.PRIMARY_PAGES}")}) t ON s.doc_id = t.doc_id""",
+        "title_strength": f"""SELECT doc_id, trim(t) <> '' AND (confidence = 'high' OR (page = 1 AND score >= {rules.MEDIUM_SCORE} AND {O.hit('t', rules.INTRODUCTION_TO)})) AS high,
+            trim(t) = '' OR {O.n_words('t')} <= 2 OR {O.incomplete('t')} OR doc_id % 5 = 0 AS weak FROM (SELECT *, {best_title} AS t FROM ({best}))""",
+        "layout_spans": raw_spans,
+        "block_spans": block_lines,
+        "page_spans": f"""SELECT doc_id, page, ord, text, font_size FROM ({judged}) JOIN ({whole_page}) USING (doc_id, page) WHERE NOT (page_bad AND doc_id % 2 = 1)
+            AND (NOT bad OR NOT (n_clean > 0 AND (n_clean >= greatest(1, floor(n_all * 0.35)) OR clean_letters >= 40)))
+          UNION ALL SELECT doc_id, page, ord, text, font_size FROM ({block_lines}) JOIN ({whole_page}) USING (doc_id, page) WHERE page_bad AND doc_id % 2 = 1""",
+        "usable_spans": f"SELECT doc_id, page, ord, text FROM ({judged}) WHERE (clean_letters >= 40 AND NOT bad) OR (clean_letters < 40 AND all_letters >= 40)",
+        "ocr_budget": f"""SELECT doc_id, page::INT AS page, CASE WHEN turn_no > {rules.OCR_PAGES} THEN 'ocr_skipped' WHEN page % 5 = 4 THEN 'ocr_unavailable' WHEN page % 3 = 2 THEN 'ocr_failed' ELSE 'ocr' END AS method,
+            CASE WHEN turn_no > {rules.OCR_PAGES} THEN 'OCR page limit reached' WHEN page % 5 = 4 THEN 'no engine' WHEN page % 3 = 2 THEN 'OCR failed: bad page' END AS error,
+            CASE WHEN turn_no <= {rules.OCR_PAGES} THEN greatest({rules.OCR_MIN_TIMEOUT_SEC}, CASE WHEN rest > 0 THEN rest ELSE {rules.OCR_BUDGET_SEC} END)::DOUBLE END AS timeout,
+            CASE WHEN turn_no <= {rules.OCR_PAGES} AND page % 5 <> 4 AND page % 3 <> 2 THEN 1 ELSE 0 END AS words FROM ({turns_in_order})""",
         "extract_without_model": f"""SELECT d.doc_id, CAST(NULL AS VARCHAR) AS title, 'unavailable' AS mode, CASE WHEN coalesce(f.text, '') = '' THEN {O.quoted(model.NO_TEXT)} ELSE {O.quoted(model.NO_KEY)} END AS reason,
             false AS quota_exhausted, coalesce(length(g.text), 0) < {rules.SPARSE_CHARS} AND coalesce(last, 0) > {rules.PRIMARY_PAGES} AS pages_extended, coalesce(length(f.text), 0) AS sent_chars
           FROM ({docs}) d LEFT JOIN ({front_sql(f"SELECT * FROM ({pages}) WHERE page <= {rules.PRIMARY_PAGES}")}) g ON d.doc_id = g.doc_id
