@@ -112,8 +112,9 @@ class StringMachine:
             group += [fold_text(text), apart]
             size += len(group[-2])
             if size > 4 * AT_ONCE or k == len(texts) - 1:
-                starts = np.cumsum([0, *(len(group[j]) + len(group[j + 1]) for j in range(0, len(group), 2))])[:-1]
-                out[first : k + 1] = np.maximum.reduceat(self.windows(np.concatenate(group)), starts)
+                ends = np.cumsum([len(g) for g in group])
+                spans = np.r_[0, ends[:-1]]  # of a text, then of what keeps it apart, whose windows reach into the next
+                out[first : k + 1] = np.maximum.reduceat(self.windows(np.concatenate(group)), spans)[::2]
                 group, first, size = [], k + 1, 0
         return out
 

@@ -7,8 +7,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_dedup import roots, slow_fingerprint
+from test_queries import crc, plain_language, plain_languages, plain_toxicity
 
-from foliant.llm import language, packing, toxicity
+from foliant.llm import language, toxicity
 from foliant.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -20,31 +21,33 @@ def test_stages():
 
 
 def test_against_brute_force(spark):
+    """Each stage by plain code; of the operators' own only the toxicity machine's weights are taken."""
+    from tokenizers import Tokenizer
+
     docs = table(spark, DATA, "documents")
     rows = {r.doc_id: r for r in docs.collect()}
     machine = toxicity.fit(docs, table(spark, DATA, "labels"))
-    kept = {k for k, r in rows.items() if machine is None or machine.score([r.text])[0] < corpus_pipeline.TOXIC}
-    left = docs.where(docs.doc_id.isin(list(kept)))
-    model = language.fit(left)
+    kept = {k for k, r in rows.items() if plain_toxicity(machine, r.text) < corpus_pipeline.TOXIC}
+    assert 0 < len(kept) < len(rows)
+    # Training takes whole texts of up to 20,000 characters, and the heads of longer ones.
+    learn = [(rows[k].text[:20_000], rows[k].lang) for k in sorted(kept, key=str) if rows[k].lang is not None and rows[k].text is not None and crc(k, 4) != 2]
+    model = plain_languages(learn)
     for k in list(kept):
-        c = language._counts(rows[k].text)
-        if c is None:
-            kept.remove(k)
-            continue
-        _, p, close = model.decode(c[None, :])
-        if close[0] and p[0] < corpus_pipeline.SURE:
+        said = plain_language(model, rows[k].text)
+        if said is None or said[1] < corpus_pipeline.SURE or said[2] > corpus_pipeline.ALIKE * said[1]:
             kept.remove(k)
     fp = {k: slow_fingerprint(rows[k].text) for k in kept}
     group = roots(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
     kept = {k for k in kept if group[k] == k}
-    tokens = packing.PieceTokenizer.of(public_tokenizers.path("byte_bpe_50k.json"))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = set()
     for k in kept:
-        data = tokens.encode([rows[k].text])[0] + (1).to_bytes(4, "little")
-        at = 0
-        for n in packing.binary_lengths(len(data) // 4, 2048):
-            want.add((k, at, n, zlib.crc32(data[4 * at : 4 * (at + n)]), len(data) // 4))
-            at += n
+        data = np.array([*lib.encode(rows[k].text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        n, at = len(data) // 4, 0
+        while at < n:
+            size = min(2048, 1 << (n - at).bit_length() - 1)
+            want.add((k, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]), n))
+            at += size
     out = corpus_pipeline.run(spark, DATA).collect()
     assert len(out) == len(want) and {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out} == want
 
