@@ -149,16 +149,21 @@ def with_context(lines: DataFrame) -> DataFrame:
     marker = lambda when: F.min(F.when(when, F.struct("page", "y0"))).over(doc_window())
     margin = (F.col("y_ratio") < 0.12) | (F.col("y_ratio") > 0.88)
     listed = (F.col("norm") != "") & (F.col("word_count") <= 18)
-    spot = F.struct("ord", "y0", "y1")
+    # Where each line of a page ends before the next begins, the lines next to it tell the gaps; else all of the page do.
+    reach = F.max("y1").over(order.rowsBetween(W.unboundedPreceding, -1))
+    crossed = F.coalesce(F.col("reach") > F.col("y0") + 0.4, F.lit(False)) | (F.col("y1") - F.col("y0") <= 0.4)
     others = F.filter("on_page", lambda o: o["ord"] != F.col("ord"))
     is_above = lambda o: o["y1"] <= F.col("y0") + 0.4
     above = F.array_min(F.transform(F.filter(others, is_above), lambda o: F.col("y0") - o["y1"]))
     below = F.array_min(
         F.transform(F.filter(others, lambda o: ~is_above(o) & (o["y0"] >= F.col("y1") - 0.4)), lambda o: o["y0"] - F.col("y1"))
     )
+    above = F.when(F.col("crossed"), above).otherwise(F.col("y0") - F.col("reach"))
+    below = F.when(F.col("crossed"), below).otherwise(F.col("next_y0") - F.col("y1"))
     return (
         lines.withColumns({"size_key": F.round(size, 1), "size_or_0": size, "weight": weight})
-        .withColumns({"size_chars": F.sum("weight").over(by_size), "size_ord": F.min("ord").over(by_size)})
+        .withColumns({"size_chars": F.sum("weight").over(by_size), "size_ord": F.min("ord").over(by_size), "reach": reach, "next_y0": F.lead("y0").over(order)})
+        .withColumn("crossed", F.max(crossed).over(page_window()))
         .withColumns(
             {
                 "body_size": F.coalesce(
@@ -174,7 +179,7 @@ def with_context(lines: DataFrame) -> DataFrame:
                 & (F.min(F.when(listed, F.col("page"))).over(by_norm) < F.max(F.when(listed, F.col("page"))).over(by_norm))
                 & (F.sum(F.when(listed & margin, 1).otherwise(0)).over(by_norm) >= 2),
                 "chrome_page": F.max(X.matches(F.col("text"), rules.CHROME_MARKER)).over(page_window()),
-                "on_page": F.collect_list(spot).over(page_window()),
+                "on_page": F.collect_list(F.when(F.col("crossed"), F.struct("ord", "y0", "y1"))).over(page_window()),
                 "above_size": F.lag(size).over(order),
                 "below_size": F.lead(size).over(order),
                 "below_author": F.lead("author").over(order),
@@ -188,7 +193,7 @@ def with_context(lines: DataFrame) -> DataFrame:
                 ),
             }
         )
-        .drop("on_page", "size_key", "size_or_0", "weight", "size_chars", "size_ord")
+        .drop("on_page", "reach", "next_y0", "crossed", "size_key", "size_or_0", "weight", "size_chars", "size_ord")
     )
 
 

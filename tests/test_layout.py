@@ -190,6 +190,32 @@ def test_body_size_ties_go_to_the_first_seen(spark):
     assert features.with_context(features.classify(features.annotate(lines_df(spark, [line(0, "only this", 0)])))).first().body_size == 11
 
 
+def test_gaps_of_regular_and_irregular_pages(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for page in range(1, 25):
+        boxes = []
+        top = 20.0
+        for _ in range(rng.randint(1, 9)):
+            tall = rng.choice([0.0, 0.3, 8.0, 12.0, 30.0])
+            boxes.append((top, top + tall))
+            # On every third page boxes may overlap, or stand side by side.
+            top += rng.choice([0.0, 0.2, 5.0, tall, tall + 9]) if page % 3 == 0 else max(tall, 0.5) + rng.choice([0.0, 0.3, 6.0, 40.0])
+        if page % 3:
+            boxes = [(a, max(b, a + 1.0)) for a, b in boxes]
+        for y0, y1 in boxes:
+            rows.append(line(len(rows), f"Line number {len(rows)}", 10, page=page, box=(72, y0, 300, y1)))
+        first = len(rows) - len(boxes)
+        for k, (y0, y1) in enumerate(boxes):
+            others = [b for j, b in enumerate(boxes) if j != k]
+            above = min([y0 - b for a, b in others if b <= y0 + 0.4], default=y0)
+            below = min([a - y1 for a, b in others if b > y0 + 0.4 and a >= y1 - 0.4], default=1e9)
+            want[first + k] = (round(max(min(y0, above), 0.0), 3), round(max(min(792.0 - y1, below), 0.0), 3))
+    out = features.with_context(features.classify(features.annotate(lines_df(spark, rows)))).select("ord", "gap_above", "gap_below").collect()
+    assert {r.ord: (round(r.gap_above, 3), round(r.gap_below, 3)) for r in out} == want
+
+
 def wrapped(second_size=16, gap=6, first="Study of the Performance of", second="a Wind Turbine"):
     return [line(0, first, 16, box=(150, 100, 460, 116), bold=True), line(1, second, second_size, box=(220, 116 + gap, 390, 132 + gap), bold=True)]
 
