@@ -320,7 +320,7 @@ def test_bpe_rows(spark, reference):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations", "documents"):
+    for t in ("pages", "conversations", "documents", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     rel = con.sql(SQL[name])
     cols = sorted(rel.columns)
