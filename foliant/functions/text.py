@@ -144,6 +144,9 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+nfkc = nfkc.asNondeterministic()  # else a filter on its result would run it once more
+
+
 def collapse_space(text: Column) -> Column:
     """Without soft hyphens, white-space runs as one space, trimmed; null counts as empty."""
     return F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00ad"), F.lit("")), r"(?U)\s+", " "))

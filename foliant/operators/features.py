@@ -32,6 +32,15 @@ def geometry(lines: DataFrame) -> DataFrame:
     )
 
 
+def deal(lines: DataFrame, compose: bool = True) -> DataFrame:
+    """Lines after NFKC, a document's in one partition; annotate them without composing them again.
+
+    What Python has worked on counts as dealt no longer, so this comes first.
+    """
+    texts = lines.withColumn("text", X.composed(F.coalesce("text", F.lit("")))) if compose else lines
+    return texts.repartition("doc_id")
+
+
 def annotate(lines: DataFrame, compose: bool = True) -> DataFrame:
     """Lines with text, cleaned, with their geometry. Null boxes count as zero."""
     boxes = {c: F.coalesce(c, F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")}

@@ -271,8 +271,8 @@ def layout_titles(lines: DataFrame, compose: bool = True) -> DataFrame:
 
     What is known of a document as a whole rides on its first line from step to step.
     """
-    dealt = lines.select(*LINES.names).repartition("doc_id")  # before the costly expressions, which are then spread too
-    raw = with_label(features.classify(features.annotate(dealt, compose)))
+    dealt = features.deal(lines.select(*LINES.names), compose)  # before the costly expressions, which are then spread too
+    raw = with_label(features.classify(features.annotate(dealt, compose=False)))
     raw = with_covers(raw.withColumns({"raw_label": first_label().over(doc_window()), "keys": first_keys().over(doc_window())}).drop("label"))
     first = F.row_number().over(doc_window().orderBy(F.desc("kept"), "ord")) == 1
     whole = F.struct("raw_label", joined_keys(F.col("keys")).alias("blob"))

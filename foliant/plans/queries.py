@@ -52,7 +52,7 @@ def _classified(lines: DataFrame) -> DataFrame:
 
 def _dealt(lines: DataFrame) -> DataFrame:
     """Classified lines, dealt by document for what follows."""
-    return _classified(lines.repartition("doc_id"))
+    return features.classify(features.annotate(features.deal(lines), compose=False))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
