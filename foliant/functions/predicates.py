@@ -77,7 +77,8 @@ def looks_like_person_names(text: Text, n_words: Column, topical: Column) -> Col
     return (
         ~topical
         & n_words.between(2, 12)
-        & ~matches(text, rules.NOT_A_NAME)
+        & ~has_word(text, rules.NOT_A_NAME)
+        & ~matches(text, rules.NOT_A_NAME_EITHER)
         & ~matches(text, r"\d{3,}")
         & (count >= 2)
         & (named >= 0.75 * count)

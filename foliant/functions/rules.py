@@ -191,7 +191,7 @@ COVER_ROLE = (
     r"^(?:submitted\s+by|submitted\s+to|under\s+the\s+guidance|guided\s+by|prepared\s+by|presented\s+by|a\s+project\s+report|"
     r"in\s+partial\s+fulfill?ment)\b"
 )
-NOT_A_NAME = r"\b(of|for|with|using|from|into|on|to|by|and the)\b"
+NOT_A_NAME, NOT_A_NAME_EITHER = ("of", "for", "with", "using", "from", "into", "on", "to", "by"), r"\band the\b"
 VENUE_EXEMPT = r"\b(using|based|towards|toward|analysis|study|effect|impact|role|for)\b"
 INTRODUCTION_TO = r"\bintroduction\s+to\b"
 

@@ -282,13 +282,34 @@ def is_garbled(text: Column) -> Column:
     )
 
 
-def clean_line(text: Column, compose: bool = True) -> Column:
-    """A line without quotes, copyright notices and what publishers' pages glue to its end."""
-    t = F.btrim(normalize_space(text, compose), F.lit(QUOTES))
-    t = F.regexp_replace(t, "[\"'«»“”]+$", "")
-    t = F.regexp_replace(t, r"(?U)\s*\(\s*©[^)]*\)", " ")
+def unquoted(text: Column, compose: bool = True) -> Column:
+    """A line with single spaces, without quotes around it."""
+    return F.btrim(normalize_space(text, compose), F.lit(QUOTES))
+
+
+def cut_glued(text: Column) -> Column:
+    """An unquoted line without copyright notices and what publishers' pages glue to its end."""
+    t = F.regexp_replace(text, r"(?U)\s*\(\s*©[^)]*\)", " ")
     for cut in (r"(?U)\s+©\s+.*$", rx(r"\s+you\s+may\s+also\s+like\b.*$"), rx(r"^paper\s*[•·\-]?\s*open\s+access\s*"),
                 rx(r"\s+(?:e-?issn|M\.?\s*Tech|Department\s+Of)\b.*$")):
         t = F.regexp_replace(t, cut, "")
     t = F.regexp_replace(t, r"(?U)([A-Za-z])\s+[A-Z]\.[A-Z][a-z]+\s+[A-Z][a-z]+.*$", "$1")
     return collapse_space(t)
+
+
+#: Strings of which cut_glued() finds one, in the folded text, where it cuts anything; else two initials.
+GLUED = ("©", "also", "paper", "issn", "tech", "department")
+
+
+def clean_line(text: Column, compose: bool = True) -> Column:
+    return cut_glued(unquoted(text, compose))
+
+
+def with_clean_lines(df: DataFrame, compose: bool = True) -> DataFrame:
+    """clean_line() of the column text; the patterns are only tried where they can match."""
+    low = F.lower(F.translate("text", ALIKE, ASCII))
+    glued = F.col("text").rlike(r"[A-Z]\.[A-Z][a-z]")
+    for needle in GLUED:
+        glued = glued | F.col("p_low").contains(needle)
+    out = df.withColumn("text", unquoted(F.col("text"), compose)).withColumn("p_low", low)
+    return out.withColumn("text", F.when(glued, cut_glued(F.col("text"))).otherwise(F.col("text"))).drop("p_low")

@@ -45,7 +45,7 @@ def annotate(lines: DataFrame, compose: bool = True) -> DataFrame:
     """Lines with text, cleaned, with their geometry. Null boxes count as zero."""
     boxes = {c: F.coalesce(c, F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")}
     kept = lines.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    return geometry(kept.withColumns(boxes).withColumn("text", X.clean_line(F.col("text"), compose)))
+    return geometry(X.with_clean_lines(kept.withColumns(boxes), compose))
 
 
 def classify(lines: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def person_names(text: str, n: str, about: str) -> str:
         f"AND {none_of('lower(w) IN ' + members(rules.NAME_NOUNS))})"
     )
     return (
-        f"(NOT {about} AND {n} BETWEEN 2 AND 12 AND NOT {hit(text, rules.NOT_A_NAME)} AND NOT {hit(text, chr(92) + 'd{3,}')} "
+        f"(NOT {about} AND {n} BETWEEN 2 AND 12 AND NOT {hit(text, rf"\b({'|'.join(rules.NOT_A_NAME)}|and the)\b")} AND NOT {hit(text, chr(92) + 'd{3,}')} "
         f"AND len({tok}) >= 2 AND {named} >= 0.75 * len({tok}) AND ({initial} OR {named} >= 4 OR {two}))"
     )
 

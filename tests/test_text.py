@@ -112,6 +112,14 @@ def test_needles_are_in_every_match():
     assert {p: tuple(sorted(X.needles(p))) for p in cases} == {p: tuple(sorted(n)) for p, n in cases.items()}
 
 
+def test_lines_are_cleaned_alike_with_and_without_needles(spark):
+    texts = ["'A title'", "Title (© 2020 X) more", "Title © IEEE", "Title You may also like this", "PAPER • OPEN ACCESS Title", "Title e-ISSN 12", "Title İSSN 1", "Title M. Tech 3",
+             "Title Department of X", "A title J.Smith Adams and more", "no J.Smith", "  plain   text  ", "", "«»", "x \"#", "It is also plain paper", "a\u00a0© b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [r.t for r in df.select(X.clean_line(F.col("text")).alias("t")).collect()]
+    assert [r.text for r in X.with_clean_lines(df).collect()] == want
+
+
 def test_parts_change_no_class(spark):
     odd = ["İSSN 1234", "ıssn", "I\u017f\u017fN", "COPYRİGHT 2020 x", "boo\u212as downloaded from", "DESIGN study", "das Design", "de\u017fign", "A.B. Smith, x", "a@b.c", "", "é",
            "The work is done in this place by us all.", "Dr Smith", "Permission is prohibited", "Internal Editor"]
