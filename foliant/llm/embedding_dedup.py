@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -461,7 +462,7 @@ def near_duplicates(
     usable = F.col("key").isNotNull() & F.col("id").isNotNull()
     classes = scratch.write(rows.where(usable).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "classes")
     joined = None
-    for n in range(1 << 10):
+    for n in count():  # every round but the last unites something
         now = _with_components(classes, joined)
         with scratch.inside() as inner:
             edges = scratch.write(pass_edges(now, inner, threshold, passes, window, bits, n), "edges")
