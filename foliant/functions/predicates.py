@@ -89,7 +89,7 @@ def looks_like_person_names(text: Text, n_words: Column, topical: Column) -> Col
 def looks_like_author(text: Text, n_words: Column, topical: Column) -> Column:
     """Names, affiliations, addresses."""
     t = parts(text).text
-    commas = F.regexp_count(t, F.lit(","))
+    commas = F.length(t) - F.length(F.replace(t, F.lit(",")))
     plain = ~topical & (
         matches(text, rules.INSTITUTION)
         | matches(text, rules.AFFILIATION)
