@@ -35,7 +35,7 @@ PATTERNS = tuple((a, b, d) for d in range(3, SPAN) for a, b in combinations(rang
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, ROUNDS, AT_ONCE = 96, 32, 4, 1 << 18
 #: Log-likelihood ratio from which a string may be a toxic landmark; times it must be as frequent in toxic documents
 #: for that, and for every window that begins with it to count as toxic; weight of the toxic class in the calibration.
-LEAST_WORTH, LEAN, SURE, TOXIC_WEIGHT = 10.0, 2, 20, 0.25
+LEAST_WORTH, LEAN, SURE, TOXIC_WEIGHT = 10.0, 2, 20, 0.2
 #: Windows of a toxic document, copies of each with a letter put in, windows that a round takes from a clean document.
 PLACES, INSERTED, HARD = 4, 4, 3
 
@@ -238,8 +238,9 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, c: float = 1.0)
         if not places:
             lone.append(k)
         for i in places:
-            known += [(streams[k], i), *((_with_insert(streams[k], i, rng), 0) for _ in range(INSERTED))]
-            weight += [1 / len(places)] + [1 / len(places) / INSERTED] * INSERTED
+            whole = any(z.endswith(b"\0") and text.startswith(z, i) for z in sure)  # a stem is left as it stands
+            known += [(streams[k], i), *((_with_insert(streams[k], i, rng), 0) for _ in range(INSERTED * whole))]
+            weight += [1 / len(places)] + [1 / len(places) / INSERTED] * (INSERTED * whole)
     known_x = windows(known)
     weight = np.array(weight + [1.0] * len(lone))
     # The first choice of windows: by likeness to landmarks, each weighed by how toxic its documents are.
