@@ -132,7 +132,11 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS
 
 
 def fingerprint_links(prints: DataFrame, threshold: int = THRESHOLD, blocks: Sequence[PerfectCode] = BLOCKS) -> DataFrame:
-    """(a, b) once for every two values of the distinct `fp` that differ in 1 to `threshold` bits."""
+    """(a, b) once for every two values of the distinct `fp` that differ in 1 to `threshold` bits.
+
+    Spark takes the visits for as small as the fingerprints, and would collect and broadcast them, so
+    the join is a sort-merge one at every size.
+    """
     code = Anchors(blocks, threshold)
     schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("fp", T.LongType())])
     step = 1 << 13
@@ -155,7 +159,7 @@ def fingerprint_links(prints: DataFrame, threshold: int = THRESHOLD, blocks: Seq
 
     only = prints.select("fp")
     home = only.mapInArrow(homes, schema).alias("h")
-    visit = only.mapInArrow(visitors, schema).alias("v")
+    visit = only.mapInArrow(visitors, schema).alias("v").hint("merge")
     return home.join(
         visit,
         (F.col("h.anchor") == F.col("v.anchor"))

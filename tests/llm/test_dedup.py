@@ -113,6 +113,12 @@ def near_copy_docs():
     return docs + ["", None, " ", "single", "single", "two words"]
 
 
+def test_visits_are_never_broadcast(spark):
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = S.fingerprint_links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_of_texts(spark):
     docs = near_copy_docs()
     rows = [(100 - i, t, "x") for i, t in enumerate(docs)] + [(None, docs[0], "x")]
