@@ -171,6 +171,19 @@ def test_scratch_inside_deletes_what_was_written_within(spark):
     assert kept.count() == 3 and not Scratch(spark, "x").root.startswith(outer.root)
 
 
+def test_op9_collects_no_visits(spark, monkeypatch):
+    plans = []
+
+    def noted(links, *rest):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return connected_components(links, *rest)
+
+    monkeypatch.setattr(S, "connected_components", noted)
+    rows = QUERIES["op9_simhash"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
 def test_simhash_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     fp = {k: slow_fingerprint(t) for k, t in docs.items()}
