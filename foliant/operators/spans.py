@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import time
 from collections.abc import Callable
@@ -242,40 +243,107 @@ def join_spans(spans: list[dict]) -> str:
     """Texts from left to right, with a space where a gap has none."""
     out, end = "", None
     for s in spans:
-        if end is not None and s["x0"] - end > 1.2 and not out.endswith(" ") and not s["text"].startswith(" "):
+        text = s["text"]
+        if end is not None and s["x0"] - end > 1.2 and not out.endswith(" ") and not text.startswith(" "):
             out += " "
-        out, end = out + s["text"], s["x1"]
-    return re.sub("[ \t]+", " ", out).strip()
+        out, end = out + text, s["x1"]
+    return (re.sub("[ \t]+", " ", out) if "  " in out or "\t" in out else out).strip()
 
 
 def _size(x: dict, least: float = 0.0) -> float:
     return x["font_size"] or least
 
 
-def _on_line(span: dict, line: list[dict]) -> bool:
-    """Whether a span shares the baseline of those of `line`."""
-    top, bottom = min(s["y0"] for s in line), max(s["y1"] for s in line)
-    left, right = min(s["x0"] for s in line), max(s["x1"] for s in line)
-    tall = max(span["y1"] - span["y0"], _size(span, 1.0), 1.0)
-    line_tall = max(bottom - top, max(_size(s, 1.0) for s in line), 1.0)
-    overlap = min(span["y1"], bottom) - max(span["y0"], top)
-    apart = abs((span["y0"] + span["y1"]) / 2 - (top + bottom) / 2)
-    if overlap <= 0.25 * min(tall, line_tall) and apart >= 0.4 * max(tall, line_tall):
-        return False
-    gutter = max(0.0, span["x0"] - right, left - span["x1"])
-    a, b = _size(span), max(_size(s) for s in line)
-    if a and b and abs(a - b) > 0.30 * max(a, b) and gutter > 8:
-        return False
-    ocr = span["source"] == "ocr" or any(s["source"] == "ocr" for s in line)
-    return gutter <= (max(90.0, 0.16 * max(right, span["x1"], 1.0)) if ocr else 20.0)
+class _Cluster:
+    """Spans of a baseline, with what the next ones are held against."""
+
+    __slots__ = ("bottom", "left", "ocr", "right", "size", "size1", "spans", "top")
+
+    def __init__(self, span: dict):
+        self.spans = [span]
+        self.left, self.top, self.right, self.bottom = span["x0"], span["y0"], span["x1"], span["y1"]
+        self.size, self.size1, self.ocr = _size(span), _size(span, 1.0), span["source"] == "ocr"
+
+    def add(self, span: dict) -> None:
+        self.spans.append(span)
+        x0, y0, x1, y1, size = span["x0"], span["y0"], span["x1"], span["y1"], _size(span)
+        if x0 < self.left:
+            self.left = x0
+        if y0 < self.top:
+            self.top = y0
+        if x1 > self.right:
+            self.right = x1
+        if y1 > self.bottom:
+            self.bottom = y1
+        if size > self.size:
+            self.size = size
+        if (size or 1.0) > self.size1:
+            self.size1 = size or 1.0
+        self.ocr = self.ocr or span["source"] == "ocr"
+
+    def tall(self) -> float:
+        return max(self.bottom - self.top, self.size1, 1.0)
+
+
+def _home(span: dict, clusters: list[_Cluster]) -> _Cluster | None:
+    """The first cluster whose baseline a span shares."""
+    x0, y0, x1, y1 = span["x0"], span["y0"], span["x1"], span["y1"]
+    size, own_ocr = _size(span), span["source"] == "ocr"
+    tall, middle = max(y1 - y0, size or 1.0, 1.0), (y0 + y1) / 2
+    for c in clusters:
+        before, after = x0 - c.right, c.left - x1
+        if before > 20.0 or after > 20.0:
+            if not (own_ocr or c.ocr):
+                continue
+            far = max(90.0, 0.16 * max(c.right, x1, 1.0))
+            if before > far or after > far:
+                continue
+        line_tall = c.tall()
+        if min(y1, c.bottom) - max(y0, c.top) <= 0.25 * min(tall, line_tall) and abs(middle - (c.top + c.bottom) / 2) >= 0.4 * max(tall, line_tall):
+            continue
+        if (before > 8 or after > 8) and size and c.size and abs(size - c.size) > 0.30 * max(size, c.size):
+            continue
+        return c
+    return None
+
+
+def _clusters(spans: list[dict]) -> list[_Cluster]:
+    """Spans of a page by baseline, from the top: each goes to the first cluster that it is on line with.
+
+    A cluster that no span from here on down can reach, were it as tall as the page's tallest, is
+    looked at no more.
+    """
+    tallest = max(max(s["y1"] - s["y0"], _size(s, 1.0), 1.0) for s in spans)
+    upturned = max(0.0, max(s["y0"] - s["y1"] for s in spans)) / 2
+    slack = 1e-6 * (1 + sum(abs(s["y0"]) + abs(s["y1"]) + abs(_size(s)) for s in spans))  # for rounding
+    sound = math.isfinite(slack)
+    made: list[_Cluster] = []
+    near: list[_Cluster] = []
+    at = None
+    for s in sorted(spans, key=lambda s: (s["y0"], s["x0"])):
+        y = s["y0"]
+        if sound and y != at:
+            at, edge = y, y - slack
+            near = [c for c in near if c.bottom > edge or edge - upturned - (c.top + c.bottom) / 2 < 0.4 * max(tallest, c.tall())]
+        home = _home(s, near)
+        if home is None:
+            home = _Cluster(s)
+            made.append(home)
+            near.append(home)
+        else:
+            home.add(s)
+    return made
 
 
 def _halves(a: dict, b: dict) -> bool:
     """Whether two lines, one of OCR at least, are halves of one line."""
     if a["page"] != b["page"] or "ocr" not in (a["source"], b["source"]):
         return False
+    over = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+    if over <= 0:
+        return False
     tall = [max(x["y1"] - x["y0"], _size(x, 1.0), 1.0) for x in (a, b)]
-    if min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]) <= 0.45 * min(tall):
+    if over <= 0.45 * min(tall):
         return False
     p, q = _size(a), _size(b)
     if p and q and abs(p - q) > 0.18 * max(p, q):
@@ -294,25 +362,27 @@ def lines_of(spans: list[dict]) -> list[dict]:
         pages.setdefault(s["page"], []).append(s)
     made = []
     for page, own in pages.items():
-        clusters: list[list[dict]] = []
-        for s in sorted(own, key=lambda s: (s["y0"], s["x0"])):
-            home = next((c for c in clusters if _on_line(s, c)), None)
-            if home is None:
-                clusters.append([s])
-            else:
-                home.append(s)
-        for number, cluster in enumerate(clusters):
-            row = sorted(cluster, key=lambda s: (s["x0"], s["y0"]))
+        for number, cluster in enumerate(_clusters(own)):
+            row = cluster.spans
+            if len(row) > 1:
+                row = sorted(row, key=lambda s: (s["x0"], s["y0"]))
             text = join_spans(row)
             if not text:
                 continue
-            main = max(row, key=lambda s: (len(s["text"]), _size(s)))
+            main, bold, italic = row[0], False, False
+            longest, largest = len(main["text"]), _size(main)
+            for s in row:
+                bold, italic = bold or s["bold"], italic or s["italic"]
+                n = len(s["text"])
+                if n > longest or (n == longest and _size(s) > largest):
+                    main, longest, largest = s, n, _size(s)
             made.append(
                 {
                     "doc_id": main["doc_id"], "text": text, "page": page, "font_name": main["font_name"] or "",
-                    "font_size": round(max(_size(s) for s in row), 2), "bold": any(s["bold"] for s in row),
-                    "italic": any(s["italic"] for s in row), "block": main["block"], "line": number, "source": main["source"] or "native",
-                    "span_count": len(row), **_box(row),
+                    "font_size": round(cluster.size, 2), "bold": bool(bold), "italic": bool(italic),
+                    "block": main["block"], "line": number, "source": main["source"] or "native",
+                    "span_count": len(row), "x0": round(cluster.left, 2), "y0": round(cluster.top, 2),
+                    "x1": round(cluster.right, 2), "y1": round(cluster.bottom, 2),
                 }
             )
     place = lambda x: (x["page"], x["y0"], x["x0"])
@@ -331,21 +401,23 @@ def lines_of(spans: list[dict]) -> list[dict]:
         else:
             out.append(line)
     peak = max((x["font_size"] for x in out if x["source"] == "ocr"), default=0.0)
-    return [
-        x | {"ord": k, "bold": x["bold"] or (x["source"] == "ocr" and peak > 0 and x["font_size"] >= 0.97 * peak)}
-        for k, x in enumerate(sorted(out, key=place))
-    ]
+    out.sort(key=place)
+    for k, x in enumerate(out):
+        x["ord"] = k
+        x["bold"] = x["bold"] or (x["source"] == "ocr" and peak > 0 and x["font_size"] >= 0.97 * peak)
+    return out
 
 
-def spans_to_lines(spans: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def spans_to_lines(spans: DataFrame, pages: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Lines (schema LINES) of spans (schema SPANS), with the pages' sizes, 612 by 792 where unknown.
 
-    Null boxes count as zero and a null text as blank; blank spans make no line.
+    Null boxes count as zero and a null text as blank; blank spans make no line. With `dealt` the spans
+    of a document are in one partition and in order already, and are not dealt and sorted again.
     """
     boxes = {c: F.coalesce(c, F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")}
-    src = spans.select(*SPANS.names).withColumns(boxes | {"text": F.coalesce("text", F.lit("")), "page": F.coalesce("page", F.lit(1))})
+    src = spans.select(*(c for c in SPANS.names if c not in ("line", "confidence"))).withColumns(boxes | {"text": F.coalesce("text", F.lit("")), "page": F.coalesce("page", F.lit(1))})
     bare = [f for f in LINES.fields if f.name not in ("page_width", "page_height")]
-    lines = per_document(src, ["ord"], lines_of, T.StructType(bare))
+    lines = per_document(src, None if dealt else ["ord"], lines_of, T.StructType(bare), together=dealt)
     return with_page_size(lines, pages)
 
 

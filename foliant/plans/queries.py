@@ -311,17 +311,21 @@ def multiline_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of a page's lines as a span of its own: two lines side by side, some words apart, some
     larger, every fifth line of OCR."""
-    words = _pages(spark, sf_dir).withColumn("w", F.split("text", " ")).select("*", F.posexplode("w").alias("k", "word")).where("word <> ''")
+    # Lines are dealt and numbered, not their words, which are some thirty times as many.
+    some = F.filter(F.transform(F.split("text", " "), lambda x, k: F.struct(k.alias("k"), x.alias("word"))), lambda x: x["word"] != "")
+    lines = _pages(spark, sf_dir).repartition("doc_id").withColumn("some", some)
+    above = F.sum(F.size("some")).over(doc_window().orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    words = lines.withColumn("above", F.coalesce(above, F.lit(0))).select("*", F.posexplode("some").alias("i", "w")).select("*", "w.k", "w.word")
     at, k = F.col("ord"), F.col("k")
     left = 72.0 + at % 2 * 270 + k * 45 + F.when(k % 6 == 5, 22).otherwise(0)
     top = 40.0 + F.floor(at / 2) % 12 * 50 + k % 3
     src = words.select(
-        "doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "k")) - 1).cast("int").alias("ord"), F.col("word").alias("text"),
+        "doc_id", (F.col("above") + F.col("i")).cast("int").alias("ord"), F.col("word").alias("text"),
         (F.floor(at / 24) + 1).cast("int").alias("page"), "font_name", (F.col("font_size") + F.when(k % 8 == 7, 6).otherwise(0)).alias("font_size"), "bold", "italic",
         left.alias("x0"), top.alias("y0"), (left + 40).alias("x1"), (top + F.col("font_size")).alias("y1"), "block", "line",
         F.when(at % 5 == 2, "ocr").otherwise("native").alias("source"), F.lit(None).cast("double").alias("confidence"),
     )
-    return spans.spans_to_lines(src).select("doc_id", "ord", "text", "page", "font_size", "bold", "span_count", "x0", "y0", "x1", "y1")
+    return spans.spans_to_lines(src, dealt=True).select("doc_id", "ord", "text", "page", "font_size", "bold", "span_count", "x0", "y0", "x1", "y1")
 
 
 def _flat(found: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Signals, spans, folds, selection, front text and routing on small tables with known results."""
 
 import itertools
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -275,6 +277,47 @@ def test_lines_of_spans(spark):
     assert visual(spark, [])[0] == []
 
 
+def plain_on_line(span, line):
+    """Whether a span shares the baseline of those of `line`, from all of them anew."""
+    size = lambda x, least=0.0: x["font_size"] or least
+    top, bottom = min(s["y0"] for s in line), max(s["y1"] for s in line)
+    left, right = min(s["x0"] for s in line), max(s["x1"] for s in line)
+    tall = max(span["y1"] - span["y0"], size(span, 1.0), 1.0)
+    line_tall = max(bottom - top, max(size(s, 1.0) for s in line), 1.0)
+    apart = abs((span["y0"] + span["y1"]) / 2 - (top + bottom) / 2)
+    if min(span["y1"], bottom) - max(span["y0"], top) <= 0.25 * min(tall, line_tall) and apart >= 0.4 * max(tall, line_tall):
+        return False
+    gutter = max(0.0, span["x0"] - right, left - span["x1"])
+    a, b = size(span), max(size(s) for s in line)
+    if a and b and abs(a - b) > 0.30 * max(a, b) and gutter > 8:
+        return False
+    ocr = span["source"] == "ocr" or any(s["source"] == "ocr" for s in line)
+    return gutter <= (max(90.0, 0.16 * max(right, span["x1"], 1.0)) if ocr else 20.0)
+
+
+def test_clusters_against_all_comparisons():
+    r = random.Random(5)
+    for _ in range(400):
+        high, rows = r.choice([30, 100, 400]), []
+        for k in range(r.randint(1, 60)):
+            x, y = r.choice([r.uniform(0, 600), r.randrange(0, 600, 20)]), r.choice([r.uniform(0, high), r.randrange(0, high, 5)])
+            rows.append({"n": k, "font_size": r.choice([None, 0.0, 8.0, 10.0, 30.0, r.uniform(1, 60)]), "source": r.choice(["ocr", "native", "native", None]), "x0": x, "y0": y, "x1": x + r.uniform(-10, 80), "y1": y + r.choice([0, 10, 12, r.uniform(-20, 40)])})
+        want = []
+        for s in sorted(rows, key=lambda s: (s["y0"], s["x0"])):
+            home = next((c for c in want if plain_on_line(s, c)), None)
+            home.append(s) if home else want.append([s])
+        assert [[s["n"] for s in c.spans] for c in spans._clusters(rows)] == [[s["n"] for s in c] for c in want]
+
+
+def test_a_page_of_many_lines_takes_time_in_proportion():
+    names = schemas.SPANS.names
+    rows = [dict(zip(names, span(2 * k + j, f"w{k}", (10 + 300 * j, 20 * k, 50 + 300 * j, 20 * k + 10)), strict=True)) for k in range(3000) for j in range(2)]
+    began = time.process_time()
+    out = spans.lines_of(rows)
+    assert time.process_time() - began < 5
+    assert [(x["ord"], x["text"], x["x0"]) for x in out] == [(2 * k + j, f"w{k}", 10.0 + 300 * j) for k in range(3000) for j in range(2)]
+
+
 def test_ocr_prominence(spark):
     _, out = visual(spark, [span(0, "Big", (10, 10, 60, 30), 20, source="ocr"), span(1, "near", (10, 100, 60, 119), 19.4, source="ocr"), span(2, "small", (10, 200, 60, 210), 10, source="ocr")])
     assert [r.bold for r in out] == [True, True, False]
