@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch) ->
     Each round replaces an edge by one to a smaller node of the same component, until every edge
     points at the smallest one. The tables of each round are written to the shared folder, so a
     lost executor costs no more than that round, and both sides of each join come from an exchange
-    that adaptive execution can split where a hub holds many edges. Edges with a null end, and
+    that adaptive execution can split where a hub holds many edges. The joins are sort-merge ones at
+    every size, as nodes grow with the edges and none are to be collected in the driver. Edges with a null end, and
     loops, are no links; an empty table gives an empty one.
     """
     cur = scratch.write(
@@ -27,11 +28,11 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch) ->
     while sign[0]:
         low = scratch.write(cur.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "low")
         large = scratch.write(
-            cur.join(low, cur.v == low.k, "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large"
+            cur.join(low.hint("merge"), cur.v == low.k, "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large"
         )
         low2 = scratch.write(large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "low")
         small = (
-            large.join(low2, large.u == low2.k)
+            large.join(low2.hint("merge"), large.u == low2.k)
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v")
             .union(low2.select("k", "m"))

@@ -181,10 +181,11 @@ def near_duplicates(
     Only distinct fingerprints are covered and compared, so copies cost one row each, however many.
     Texts without words have fingerprint zero and link like any other. Null ids never become a
     component's id unless it has no other. Repeated rows give repeated results; other columns are
-    not read; an empty table gives an empty one.
+    not read; an empty table gives an empty one. Rows, fingerprints and links grow with the documents,
+    so all joins of them are sort-merge ones at every size, and none is collected.
     """
     rows, named = _groups(Scratch(docs.sparkSession, "simhash"), docs, id_col, text_col, words, threshold, blocks)
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    return rows.join(named.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
 def _groups(
@@ -195,11 +196,11 @@ def _groups(
     rows = scratch.write(with_fingerprint(docs.select(id_col, text_col), text_col, words, [id_col]), "rows")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     joined = connected_components(fingerprint_links(distinct, threshold, blocks), "a", "b", scratch)
-    rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = distinct.join(joined.hint("merge"), distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.write(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(rooted.join(least, "root").select("fp", "root", "least", "component_id"), "named")
-    scratch.drop(distinct, joined, rooted)
+    least = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = scratch.write(rooted.join(least.hint("merge"), "root").select("fp", "root", "least", "component_id"), "named")
+    scratch.drop(distinct, joined, rooted, least)
     return rows, named
 
 
@@ -213,7 +214,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     An id that stands on rows of different texts can so be kept with several of them; no component goes.
     Rows with a null id cannot be told apart and stay. The ids to keep grow with the documents, so the
-    join is a sort-merge one at every size.
+    joins are sort-merge ones at every size.
     """
     scratch = Scratch(docs.sparkSession, "kept")
     rows, named = _groups(scratch, docs, id_col, text_col, **options)
@@ -224,9 +225,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nameless = docs.where(F.col(id_col).isNull())
     if not repeated.limit(1).count():
         return known.join(kept.select(id_col), id_col, "left_semi").select(docs.columns).union(nameless)
-    once = known.join(kept.join(repeated, id_col, "left_anti").select(id_col), id_col, "left_semi").select(docs.columns)
+    single = kept.join(repeated.hint("merge"), id_col, "left_anti").select(id_col)
+    once = known.join(single, id_col, "left_semi").select(docs.columns)
     # Only rows whose id is repeated need their own fingerprint again, under a name that no column has.
     own = next(c for c in ("fp", *(f"fp_{k}" for k in range(len(docs.columns) + 1))) if c not in docs.columns)
     more = known.join(repeated, id_col, "left_semi").select(docs.columns)
-    more = with_fingerprint(more, text_col, options.get("words", WORDS), name=own).join(kept.withColumnRenamed("fp", own), [id_col, own], "left_semi")
+    more = with_fingerprint(more, text_col, options.get("words", WORDS), name=own).join(kept.withColumnRenamed("fp", own).hint("merge"), [id_col, own], "left_semi")
     return once.union(more.dropDuplicates([id_col, own]).select(docs.columns)).union(nameless)

@@ -184,6 +184,22 @@ def test_op9_collects_no_visits(spark, monkeypatch):
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
 
 
+def test_op9_collects_no_rows_fingerprints_or_links(spark, monkeypatch):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plans, write = {}, Scratch.write
+
+    def note(df, name):
+        plans[f"{len(plans)} {name}"] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, **options: write(self, note(df, name), name, **options))
+    note(QUERIES["op9_simhash"](spark, "/root/testdata/sf0.001"), "op9")
+    docs = spark.createDataFrame(list(enumerate(near_copy_docs())), "doc_id long, text string")
+    note(S.drop_near_duplicates(docs.union(docs.where("doc_id < 9").withColumn("text", F.lit("another one")))), "kept")
+    assert sum("large" in name for name in plans) >= 3
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
+
+
 def test_simhash_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     fp = {k: slow_fingerprint(t) for k, t in docs.items()}
