@@ -195,6 +195,7 @@ def test_op9_collects_no_rows_fingerprints_or_links(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "write", lambda self, df, name, **options: write(self, note(df, name), name, **options))
     note(QUERIES["op9_simhash"](spark, "/root/testdata/sf0.001"), "op9")
     docs = spark.createDataFrame(list(enumerate(near_copy_docs())), "doc_id long, text string")
+    note(S.near_duplicates(docs), "linked")
     note(S.drop_near_duplicates(docs.union(docs.where("doc_id < 9").withColumn("text", F.lit("another one")))), "kept")
     assert sum("large" in name for name in plans) >= 3
     assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
